@@ -8,7 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from scorewright.functions.text import literal_map, normalise_punctuation, strip_space, words
+from scorewright.functions.text import let, literal_map, normalise_punctuation, strip_space, words
 
 # Failure marker and refusal sentences.
 FAILED = "Failed to obtain answer via API"
@@ -84,14 +84,15 @@ def count_of(text: Column, part: Column | str) -> Column:
 def infer_option(answer: Column, options: Column) -> Column:
     """Letter named by the answer; Z for refusals; null when none or several letters appear."""
     tokens = words(F.translate(answer, OPTION_SYMBOLS, " " * len(OPTION_SYMBOLS)))
-    hits = F.array_intersect(F.map_keys(options), tokens)
     refused = F.lit(False)
     for sentence in REFUSALS:
         refused = refused | answer.contains(sentence)
-    return (F.when(answer.contains(FAILED), F.lit(None).cast("string"))
-            .when(refused, "Z")
-            .when(F.size(hits) == 1, F.element_at(hits, 1))
-            .when((F.size(hits) == 0) & F.array_contains(tokens, "Z"), "Z"))
+
+    def pick(found: Column) -> Column:
+        hits = F.array_intersect(F.map_keys(options), found)
+        return F.when(F.size(hits) == 1, F.element_at(hits, 1)).when((F.size(hits) == 0) & F.array_contains(found, "Z"), "Z")
+
+    return F.when(answer.contains(FAILED), F.lit(None).cast("string")).when(refused, "Z").otherwise(let(tokens, pick))
 
 
 def infer_option_by_text(answer: Column, options: Column) -> Column:
@@ -140,8 +141,8 @@ def first_letter(text: Column, alphabet: str = "ABCDE", openings: Sequence[str]
 
 def yes_no(text: Column) -> Column:
     tokens = words(normalise_punctuation(F.lower(text)))
-    yes, no = F.array_contains(tokens, "yes"), F.array_contains(tokens, "no")
-    return F.when(yes & ~no, "Yes").when(no & ~yes, "No").otherwise("Unknown")
+    found = F.array_join(F.array_sort(F.array_intersect(tokens, F.array(F.lit("yes"), F.lit("no")))), " ")
+    return F.coalesce(F.try_element_at(literal_map({"yes": "Yes", "no": "No"}), found), F.lit("Unknown"))
 
 
 def first_of(text: Column, positive: str, negative: str) -> Column:
@@ -198,15 +199,18 @@ def most_frequent_choice(response: Column, letters: Sequence[str], option_texts:
     for mark in [",", ".", "!", "?", ";", ":", "'"]:
         text = F.regexp_replace(text, rf"^\{mark}+|\{mark}+$", "")
     text = F.concat(F.lit(" "), text, F.lit(" "))
-    tiers = [
-        F.array(*[count_of(text, f"({c})") for c in letters]),
-        F.array(*[count_of(text, c) for c in letters]),
-        F.array(*[count_of(text, option_texts[c]) for c in letters]),
-    ]
     names = F.array(*[F.lit(c) for c in letters])
-    counts = F.when(F.array_max(tiers[0]) > 0, tiers[0]).when(F.array_max(tiers[1]) > 0, tiers[1]).when(F.array_max(tiers[2]) > 0, tiers[2])
-    top = F.filter(F.zip_with(names, counts, lambda n, c: F.when(c == F.array_max(counts), n)), lambda x: x.isNotNull())
-    return F.when(counts.isNotNull(), F.array_join(top, ""))
+    tier = lambda t, parts: F.array(*[count_of(t, p) for p in parts])
+
+    def tiers(t: Column) -> Column:
+        return F.array(tier(t, [f"({c})" for c in letters]), tier(t, list(letters)), tier(t, [option_texts[c] for c in letters]))
+
+    def top(counts: Column) -> Column:
+        most = F.array_max(counts)
+        return F.array_join(F.filter(F.zip_with(names, counts, lambda n, k: F.when(k == most, n)), lambda x: x.isNotNull()), "")
+
+    chosen = F.get(F.filter(let(text, tiers), lambda c: F.array_max(c) > 0), F.lit(0))
+    return let(chosen, lambda c: F.when(c.isNotNull(), top(c)))
 
 
 def last_answer_tag(text: Column) -> Column:
@@ -216,13 +220,15 @@ def last_answer_tag(text: Column) -> Column:
 
 def tagged_option(text: Column, letters: str = "ABCDEF") -> Column:
     """Letter inside the last answer tag; marked forms (``A ``, ``A:``, ``[A``) win over bare letters; WRONG if none."""
-    inside = last_answer_tag(text)
-    out = F.when(F.lit(False), "")
-    for c in letters:
-        out = out.when(inside.contains(c + " ") | inside.contains(c + ":") | inside.contains("[" + c), c)
-    for c in letters:
-        out = out.when(inside.contains(c), c)
-    return out.otherwise("WRONG")
+    def pick(inside: Column) -> Column:
+        out = F.when(inside.isNull(), "WRONG")
+        for c in letters:
+            out = out.when(inside.contains(c + " ") | inside.contains(c + ":") | inside.contains("[" + c), c)
+        for c in letters:
+            out = out.when(inside.contains(c), c)
+        return out.otherwise("WRONG")
+
+    return let(last_answer_tag(text), pick)
 
 
 def ans_tag(text: Column) -> Column:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from scorewright.functions.extract import count_of
-from scorewright.functions.text import literal_map, normalise_answer, strip_space, words
+from scorewright.functions.text import let, literal_map, normalise_answer, strip_space, words
 
 FLOAT = T.DoubleType()
 
@@ -41,12 +41,12 @@ def consensus(pred: Column, golds: Column) -> Column:
 
 
 def vqa_consensus(pred: Column, golds: Column) -> Column:
-    return consensus(normalise_answer(pred), F.transform(golds, normalise_answer))
+    both = F.struct(normalise_answer(pred).alias("p"), F.transform(golds, normalise_answer).alias("g"))
+    return let(both, lambda s: consensus(s["p"], s["g"]))
 
 
 def default_vqa(pred: Column, golds: Column) -> Column:
-    p = normalise_answer(pred)
-    return F.transform(golds, lambda g: (normalise_answer(g) == p).cast("double"))
+    return let(normalise_answer(pred), lambda p: F.transform(golds, lambda g: (normalise_answer(g) == p).cast("double")))
 
 
 def array_mean(values: Column) -> Column:
@@ -151,14 +151,12 @@ def has_word(sentence: Column, word: Column) -> Column:
 
 
 def word_match(answer: Column, golds: Column) -> Column:
-    a = normalise_answer(answer)
-    return as_number(F.exists(golds, lambda g: has_word(a, normalise_answer(g))))
+    return let(normalise_answer(answer), lambda a: as_number(F.exists(golds, lambda g: has_word(a, normalise_answer(g)))))
 
 
 def reciprocal_rank(answer: Column, golds: Column) -> Column:
     """1 / position of the first gold that occurs as a whole word; 0 if none does."""
-    a = normalise_answer(answer)
-    hits = F.transform(golds, lambda g: has_word(a, normalise_answer(g)))
+    hits = let(normalise_answer(answer), lambda a: F.transform(golds, lambda g: has_word(a, normalise_answer(g))))
     at = F.array_position(hits, F.lit(True))
     return F.when(at > 0, 1.0 / at).otherwise(0.0)
 

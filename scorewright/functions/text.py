@@ -106,6 +106,11 @@ def literal_map(values: Mapping[str, object]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_space(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -280,17 +285,22 @@ def normalise_punctuation(text: Column, max_periods: int | None = 32) -> Column:
 
     Full stops that touch no digit are removed, the first ``max_periods`` of them (None = all).
     """
-    digit_comma = text.rlike(r"\d,\d")
-    out = text
-    for p in PUNCTUATION:
-        drop = text.contains(p + " ") | text.contains(" " + p) | digit_comma
-        out = F.replace(out, F.lit(p), F.when(drop, "").otherwise(" "))
-    pieces = F.split(out, r"(?<!\d)\.(?!\d)", -1)
-    if max_periods is None:
-        return F.array_join(pieces, "")
-    kept = F.array_join(F.slice(pieces, 1, max_periods + 1), "")
-    rest = F.array_join(F.slice(pieces, max_periods + 2, F.greatest(F.size(pieces), F.lit(1))), ".")
-    return F.when(F.size(pieces) > max_periods + 1, F.concat(kept, F.lit("."), rest)).otherwise(kept)
+    def drop_symbols(s: Column) -> Column:
+        out = s["t"]
+        for p in PUNCTUATION:
+            drop = s["t"].contains(p + " ") | s["t"].contains(" " + p) | s["d"]
+            out = F.replace(out, F.lit(p), F.when(drop, "").otherwise(" "))
+        return F.split(out, r"(?<!\d)\.(?!\d)", -1)
+
+    def join(pieces: Column) -> Column:
+        if max_periods is None:
+            return F.array_join(pieces, "")
+        kept = F.array_join(F.slice(pieces, 1, max_periods + 1), "")
+        rest = F.array_join(F.slice(pieces, F.lit(max_periods + 2), F.size(pieces)), ".")
+        return F.when(F.size(pieces) > max_periods + 1, F.concat(kept, F.lit("."), rest)).otherwise(kept)
+
+    source = F.struct(text.alias("t"), text.rlike(r"\d,\d").alias("d"))
+    return let(let(source, drop_symbols), join)
 
 
 def normalise_answer(text: Column) -> Column:

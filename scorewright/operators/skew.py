@@ -117,3 +117,12 @@ def unit_hash(*parts: Column, seed: str = "0") -> Column:
     """Repeatable number in [0, 1) from a key: the seeded stand-in for a random draw."""
     text = F.concat_ws(":", F.lit(seed), *[p.cast("string") for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out when the input has fewer tasks than cores (a few small files before costly row work).
+
+    Large inputs already have more splits than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -29,7 +29,8 @@ class Tables:
 
     def derive(self, table: str, select: str) -> DataFrame:
         """Rows of ``table`` reshaped by a SELECT list that both engines understand."""
-        return self.spark.sql(f"SELECT {select} FROM {{src}}", src=getattr(self, table))
+        kept = select.replace("{", "{{").replace("}", "}}")
+        return self.spark.sql(f"SELECT {kept} FROM {{src}}", src=getattr(self, table))
 
 
 def query(name: str, sql: str | None = None, doubles: str = "", ints: str = "", digits: int = 6):

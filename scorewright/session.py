@@ -32,6 +32,7 @@ def local_session(cpus: int | str = 8, name: str = "scorewright", memory: str =
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in RUNTIME.items():
         builder = builder.config(key, value)
