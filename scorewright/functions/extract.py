@@ -147,8 +147,8 @@ def yes_no(text: Column) -> Column:
 
 def first_of(text: Column, positive: str, negative: str) -> Column:
     """1 when the positive word comes first, 0 for the negative one, -1 when neither occurs."""
-    p = F.regexp_instr(text, F.lit(rf"(?i)\b{positive}\b"))
-    n = F.regexp_instr(text, F.lit(rf"(?i)\b{negative}\b"))
+    p = F.regexp_instr(text, F.lit(rf"(?iU)\b{positive}\b"))
+    n = F.regexp_instr(text, F.lit(rf"(?iU)\b{negative}\b"))
     return F.when((p == 0) & (n == 0), -1).when((n == 0) | ((p > 0) & (p < n)), 1).otherwise(0)
 
 
@@ -158,7 +158,7 @@ def leading_yes_no(text: Column) -> Column:
 
 
 def true_false(text: Column) -> Column:
-    marks = F.regexp_extract_all(text, F.lit(r"(?i)\b(t|f|true|false)\b"), F.lit(1))
+    marks = F.regexp_extract_all(text, F.lit(r"(?iU)\b(t|f|true|false)\b"), F.lit(1))
     return F.upper(F.substring(_only(marks), 1, 1))
 
 

@@ -147,7 +147,7 @@ def quoted_pattern(text: Column) -> Column:
 
 
 def has_word(sentence: Column, word: Column) -> Column:
-    return F.regexp_count(sentence, F.concat(F.lit(r"\b"), quoted_pattern(word), F.lit(r"\b"))) > 0
+    return F.regexp_count(sentence, F.concat(F.lit(r"(?U)\b"), quoted_pattern(word), F.lit(r"\b"))) > 0
 
 
 def word_match(answer: Column, golds: Column) -> Column:
@@ -168,9 +168,10 @@ def aligned_list_accuracy(pred: Column, gold: Column) -> Column:
 
 def token_f1(gold: Column, pred: Column) -> Column:
     """F1 from membership: predicted tokens found among the gold tokens over either token count."""
-    g, p = words(gold), words(pred)
-    found = F.size(F.filter(p, lambda t: F.array_contains(g, t)))
-    recall, precision = found / F.nullif(F.size(g), F.lit(0)), found / F.nullif(F.size(p), F.lit(0))
+    parts = F.struct(F.array_distinct(words(gold)).alias("known"), F.size(words(gold)).alias("g"), words(pred).alias("p"))
+    count = lambda s: F.struct(F.size(F.filter(s["p"], lambda t: F.array_contains(s["known"], t))).alias("found"), s["g"].alias("g"), F.size(s["p"]).alias("p"))
+    n = let(parts, count)
+    recall, precision = n["found"] / F.nullif(n["g"], F.lit(0)), n["found"] / F.nullif(n["p"], F.lit(0))
     f1 = 2 * recall * precision / F.nullif(recall + precision, F.lit(0.0))
     return F.when(recall + precision > 1e-4, f1).otherwise(0.0)
 
@@ -230,10 +231,11 @@ def dict_precision(pred: Column, gold: Column) -> Column:
 
 def dict_mean(pred: Column, gold: Column, value_score) -> Column:
     """Mean of a value score over the union of the keys; a key missing on one side counts as an empty list."""
-    keys = F.array_union(F.map_keys(pred), F.map_keys(gold))
-    empty = F.array().cast("array<string>")
-    scores = F.transform(keys, lambda k: value_score(F.coalesce(F.try_element_at(pred, k), empty), F.coalesce(F.try_element_at(gold, k), empty)))
-    return array_mean(scores)
+    def scores(s: Column) -> Column:
+        side = lambda m, k: F.coalesce(F.try_element_at(m, k), F.array())
+        return F.transform(F.array_union(F.map_keys(s["p"]), F.map_keys(s["g"])), lambda k: value_score(side(s["p"], k), side(s["g"], k)))
+
+    return array_mean(let(F.struct(pred.alias("p"), gold.alias("g")), scores))
 
 
 def exact_string(pred: Column, gold: Column) -> Column:

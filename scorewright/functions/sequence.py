@@ -31,18 +31,19 @@ def register_tokens(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def encode(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame, unknown: int = 0, output: str = "ids") -> DataFrame:
-    """Token arrays to id arrays through a vocabulary join; the vocabulary size decides how Spark joins."""
-    from scorewright.operators.skew import salted_join
+    """Token arrays to id arrays through a vocabulary join.
+
+    Spark broadcasts a vocabulary below its size limit; a larger one is joined with adaptive skew splitting for the frequent tokens.
+    """
     flat = df.select(key, F.posexplode(tokens).alias("_pos", "token"))
-    joined = salted_join(flat, vocabulary.select("token", "id"), ["token"], "left")
+    joined = flat.join(vocabulary.select("token", "id"), "token", "left")
     packed = joined.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("id", F.lit(unknown)).alias("id")))).alias("_p"))
     return packed.select(key, F.transform("_p", lambda s: s["id"].cast("bigint")).alias(output))
 
 
 def decode(df: DataFrame, key: str, ids: str, vocabulary: DataFrame, output: str = "tokens") -> DataFrame:
-    from scorewright.operators.skew import salted_join
     flat = df.select(key, F.posexplode(ids).alias("_pos", "id"))
-    joined = salted_join(flat, vocabulary.select("token", "id"), ["id"], "left")
+    joined = flat.join(vocabulary.select("token", "id"), "id", "left")
     packed = joined.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_pos", "token"))).alias("_p"))
     return packed.select(key, F.transform("_p", lambda s: s["token"]).alias(output))
 

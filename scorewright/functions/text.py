@@ -357,18 +357,18 @@ def _short_label(text: Column) -> Column:
 
 
 def _label(text: Column) -> Column:
-    tokens = words(normalise_punctuation(text))
     staged = text.startswith("Stage ") & _short_label(F.substring(text, F.lit(7), F.length(text)))
-    return _short_label(text) | staged | ((F.size(tokens) > 1) & F.forall(tokens, _short_label))
+    tokens = words(normalise_punctuation(text))
+    return _short_label(text) | staged | let(tokens, lambda ws: (F.size(ws) > 1) & F.forall(ws, _short_label))
 
 
 def is_label_phrase(text: Column) -> Column:
     """Text made of short labels: up to two characters, stages, or labels joined by blanks or "and"."""
-    return _label(text) | (text.contains(" and ") & F.forall(F.split(text, " and "), _label))
+    return F.exists(F.array(F.array(text), F.split(text, " and ")), lambda parts: F.forall(parts, _label))
 
 
 def flag_label_like_choices(question: Column, choices: Sequence[Column], marked: Column) -> Column:
     """A marked row is label-like when three of its choices are labels or its question names a single letter."""
-    labels = sum((is_label_phrase(c).cast("int") for c in choices), F.lit(0))
+    labels = F.size(F.filter(F.array(*choices), is_label_phrase))
     letter = F.exists(words(normalise_punctuation(question)), lambda w: w.rlike("^[A-Za-z]$"))
     return marked & ((labels >= 3) | letter)

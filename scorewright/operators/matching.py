@@ -116,12 +116,15 @@ def greedy_line_match(gold: DataFrame, pred: DataFrame, page: str, share: float
     copies paired in order.
     """
     pairs = line_candidates(gold, pred, page, share)
-    cost = F.levenshtein("gold_line", "pred_line") / F.greatest(F.length("gold_line"), F.length("pred_line"))
+    cost = F.when(F.col("gold_line") == F.col("pred_line"), 0.0).otherwise(F.levenshtein("gold_line", "pred_line") / F.greatest(F.length("gold_line"), F.length("pred_line")))
     priced = pairs.withColumn("cost", cost)
-    for_gold = priced.groupBy(page, "gold_line").agg(F.min(F.struct("cost", "pred_line")).alias("bg"))
-    for_pred = priced.groupBy(page, "pred_line").agg(F.min(F.struct("cost", "gold_line")).alias("bp"))
-    mutual = (for_gold.select(page, "gold_line", F.col("bg.cost").alias("cost"), F.col("bg.pred_line").alias("pred_line"))
-              .join(for_pred.select(page, "pred_line", F.col("bp.gold_line").alias("back")), [page, "pred_line"]).filter("back = gold_line").drop("back"))
+    ends = F.explode(F.array(F.struct(F.lit("g").alias("side"), F.col("gold_line").alias("line"), F.col("pred_line").alias("other")),
+                             F.struct(F.lit("p").alias("side"), F.col("pred_line").alias("line"), F.col("gold_line").alias("other"))))
+    best = priced.select(page, "cost", ends.alias("e")).groupBy(page, "e.side", "e.line").agg(F.min(F.struct(F.col("cost"), F.col("e.other").alias("other"))).alias("b"))
+    pick = lambda side: F.when(F.col("side") == side, F.col("line")).otherwise(F.col("b.other"))
+    # a pair chosen from both of its ends is mutual
+    mutual = best.select(page, pick("g").alias("gold_line"), pick("p").alias("pred_line"), F.col("b.cost").alias("cost")).groupBy(page, "gold_line", "pred_line").agg(
+        F.min("cost").alias("cost"), F.count(F.lit(1)).alias("_n")).filter("_n = 2").drop("_n")
     copy = lambda df, line: df.withColumn("_copy", F.row_number().over(Window.partitionBy(page, line).orderBy("pos")))
     g = copy(gold.withColumnRenamed("line", "gold_line"), "gold_line").join(mutual, [page, "gold_line"], "left")
     p = copy(pred.select(page, "pos", F.col("line").alias("pred_line")), "pred_line").select(page, "pred_line", "_copy", F.col("pos").alias("pred_pos"))

@@ -104,7 +104,7 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     """
     on = list(on)
     counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    limit = big.agg(F.count(F.lit(1)) * F.lit(HOT_SHARE)).scalar()
+    limit = counts.agg(F.sum("_n") * F.lit(HOT_SHARE)).scalar()
     hot = counts.filter(F.col("_n") > F.greatest(limit, F.lit(10000.0))).select(*on, F.lit(True).alias("_hot"))
     spread = big.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.floor(F.rand(7) * salts)).otherwise(F.lit(0)).cast("int")).drop("_hot")

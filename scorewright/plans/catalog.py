@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from scorewright.operators.skew import spread
 from scorewright.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,10 +28,14 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def derive(self, table: str, select: str) -> DataFrame:
-        """Rows of ``table`` reshaped by a SELECT list that both engines understand."""
+    def derive(self, table: str, select: str, deal: bool = False) -> DataFrame:
+        """Rows of ``table`` reshaped by a SELECT list that both engines understand.
+
+        ``deal`` spreads a table held in fewer files than there are cores before costly row work.
+        """
+        source = spread(getattr(self, table)) if deal else getattr(self, table)
         kept = select.replace("{", "{{").replace("}", "}}")
-        return self.spark.sql(f"SELECT {kept} FROM {{src}}", src=getattr(self, table))
+        return self.spark.sql(f"SELECT {kept} FROM {{src}}", src=source)
 
 
 def query(name: str, sql: str | None = None, doubles: str = "", ints: str = "", digits: int = 6):

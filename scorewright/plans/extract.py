@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from scorewright.functions import extract as E
 from scorewright.plans.catalog import over, query
-from scorewright.plans.text import map_sql, punctuation_sql, quoted
+from scorewright.plans.text import map_sql, plain, punctuation_sql, quoted
 
 OPTIONS = {"A": "Urgent box", "B": "high ring", "C": "Medium bolt", "D": "low gear"}
 LETTER = "substr('ABCD', CAST(o_custkey % 4 + 1 AS INTEGER), 1)"
@@ -60,7 +60,7 @@ simple("c05_first_letter", "orders", CHOICE, _first_letter_sql(E.ANSWER_OPENINGS
 simple("c05_first_letter_video", "orders", CHOICE, _first_letter_sql(E.VIDEO_OPENINGS, "ABCD"), lambda: E.first_letter(c("answer"), "ABCD", E.VIDEO_OPENINGS))
 simple("c05_first_letter_long_video", "orders", CHOICE, _first_letter_sql(E.LONG_VIDEO_OPENINGS, "ABCDE"), lambda: E.first_letter(c("answer"), "ABCDE", E.LONG_VIDEO_OPENINGS))
 
-YES = "doc_id AS idx, CASE doc_id % 5 WHEN 0 THEN concat('Yes, ', text) WHEN 1 THEN concat(text, ' no.') WHEN 2 THEN concat('No; but yes. ', text) WHEN 3 THEN concat('A then B ', text) ELSE text END AS answer"
+YES = f"doc_id AS idx, CASE doc_id % 5 WHEN 0 THEN concat('Yes, ', {plain('text')}) WHEN 1 THEN concat({plain('text')}, ' no.') WHEN 2 THEN concat('No; but yes. ', {plain('text')}) WHEN 3 THEN concat('A then B ', {plain('text')}) ELSE {plain('text')} END AS answer"
 _YW = f"list_filter(regexp_split_to_array({punctuation_sql('lower(answer)')}, '\\s+'), lambda w: w <> '')"
 simple("c06_yes_no", "documents", YES, f"CASE WHEN list_contains({_YW}, 'yes') AND NOT list_contains({_YW}, 'no') THEN 'Yes' WHEN list_contains({_YW}, 'no') AND NOT list_contains({_YW}, 'yes') THEN 'No' ELSE 'Unknown' END", lambda: E.yes_no(c("answer")))
 
