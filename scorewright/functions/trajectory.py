@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from scorewright.functions.text import let
 from scorewright.operators.skew import ranked, with_halo
 
 # The coordinate grid is single precision, so its real step differs from 0.3.
@@ -40,10 +41,12 @@ def trajectory_tokens(points: Column) -> Column:
 
 def decode_trajectory(tokens: Column) -> Column:
     """Valid token values paired in order; an odd last value is dropped."""
-    values = F.filter(F.transform(tokens, dequantise), lambda v: v.isNotNull())
-    pairs = F.floor(F.size(values) / 2).cast("int")
-    point = lambda i: F.array(F.get(values, i * 2), F.get(values, i * 2 + 1))
-    return F.when(pairs > 0, F.transform(F.sequence(F.lit(0), pairs - 1), point)).otherwise(F.array().cast("array<array<double>>"))
+    def pair(values: Column) -> Column:
+        pairs = F.floor(F.size(values) / 2).cast("int")
+        points = F.transform(F.sequence(F.lit(0), F.greatest(pairs - 1, F.lit(0))), lambda i: F.array(F.get(values, i * 2), F.get(values, i * 2 + 1)))
+        return F.when(pairs > 0, points).otherwise(F.array().cast("array<array<double>>"))
+
+    return let(F.filter(F.transform(tokens, dequantise), lambda v: v.isNotNull()), pair)
 
 
 def displacement(pred: Column, gold: Column) -> Column:
@@ -77,7 +80,7 @@ def split_status(status: Column) -> Column:
 def command_text(command: Column) -> Column:
     """Phrase of the largest command value (the first one of equals)."""
     at = F.array_position(command, F.array_max(command)).cast("int")
-    return F.element_at(F.array(*[F.lit(d) for d in DIRECTIONS]), F.least(at, F.lit(len(DIRECTIONS))))
+    return F.when(at > 0, F.element_at(F.array(*[F.lit(d) for d in DIRECTIONS]), F.least(at, F.lit(len(DIRECTIONS)))))
 
 
 def target_steps(seconds: float, dt: float) -> int:
@@ -96,23 +99,27 @@ def scene_window(frames: DataFrame, scene: str, order: list[str], values: dict[s
     window = Window.partitionBy(scene, "_chunk").orderBy("_pos").rowsBetween(0, span - 1)
     frame = F.struct(*[v.alias(n) for n, v in values.items()])
     rows = chunked.withColumn("_w", F.collect_list(frame).over(window)).filter(F.col("_own") & (F.size("_w") == span))
+    part = lambda name, first, n: F.transform(F.slice("_w", first, n), lambda f: f[name])
     out = [scene, F.col("_pos").alias("start")]
     for n in values:
-        out.append(F.transform(F.slice("_w", 1, history), lambda f, n=n: f[n]).alias(f"history_{n}"))
-        out.append(F.transform(F.slice("_w", history + 1, future), lambda f, n=n: f[n]).alias(f"future_{n}"))
-        out.append(F.element_at("_w", history + target)[n].alias(f"target_{n}"))
+        out += [part(n, 1, history).alias(f"history_{n}"), part(n, history + 1, future).alias(f"future_{n}"),
+                F.element_at("_w", history + target)[n].alias(f"target_{n}")]
     return rows.select(*out)
 
 
 def prompt_text(frame_count: Column, seconds: float, velocity: Column, acceleration: Column, command: Column, history: Column) -> Column:
     """Sentence with frame count, speed, heading, acceleration, action phrase and recent trajectory tokens."""
+    # single precision values, ties to even: the text is written from float32 numbers
+    one = lambda x: x.cast("float").cast("double")
+    velocity, acceleration = (one(velocity[0]), one(velocity[1])), (one(acceleration[0]), one(acceleration[1]))
+    fixed = lambda x, n: F.bround(x, n)
     speed = F.sqrt(F.pow(velocity[0], F.lit(2.0)) + F.pow(velocity[1], F.lit(2.0)))
     heading = F.degrees(F.atan2(velocity[1], velocity[0]))
     return F.concat_ws(
         " ",
         F.format_string(f"The ego vehicle history spans %d frames. Predict the driving action and front camera view after {seconds:.2f} seconds.", frame_count),
-        F.format_string("Current velocity: speed=%.2f m/s, heading=%.1f deg.", speed, heading),
-        F.format_string("Current acceleration: ax=%.2f m/s^2, ay=%.2f m/s^2.", acceleration[0], acceleration[1]),
+        F.format_string("Current velocity: speed=%.2f m/s, heading=%.1f deg.", fixed(speed, 2), fixed(heading, 1)),
+        F.format_string("Current acceleration: ax=%.2f m/s^2, ay=%.2f m/s^2.", fixed(acceleration[0], 2), fixed(acceleration[1], 2)),
         F.concat(F.lit("You plan to take the following action: "), command_text(command), F.lit(".")),
         F.concat(F.lit("Recent trajectory (ego frame) tokens: "), F.array_join(trajectory_tokens(history), ""), F.lit(".")))
 

@@ -68,7 +68,7 @@ def best_ngram_match(df: DataFrame, key: str, needle: str, hay: str, tokens, sep
     base = df.select(key, F.col(needle).alias("_needle"), tokens(F.col(needle)).alias("_want"), tokens(F.col(hay)).alias("_have"))
     n = F.size("_want")
     last = F.size("_have") - n
-    grams = F.when((n > 0) & (last >= 0), F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice("_have", i + 1, n)))
+    grams = F.when((n > 0) & (last >= 0), F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.transform(F.sequence(i, i + n - 1), lambda k: F.get("_have", k))))
     near = F.filter(F.transform(grams, lambda g, i: F.struct(i.alias("i"), g.alias("g"))), lambda s: F.arrays_overlap(s["g"], F.col("_want")))
     flat = base.select(key, "_needle", "_want", F.explode(near).alias("c")).withColumn("_gram", F.array_join("c.g", sep))
     sim = matcher_ratio(F.col("_gram"), F.col("_needle")) if similarity == "matcher" else 1 - edit_ratio(F.col("_needle"), F.col("_gram"))

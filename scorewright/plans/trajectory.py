@@ -91,7 +91,7 @@ def scene_window(t):
                       F.aggregate("future_value", F.lit(0.0), lambda s, v: s + v).alias("future_sum"), c("target_event_id").alias("target"))
 
 
-PROMPT = "event_id AS idx, user_id % 3 AS c1, value / 8 AS vx, event_id % 16 / 8e0 AS vy, value / 64 AS ax"
+PROMPT = "event_id AS idx, user_id % 3 AS c1, CAST(CAST(value / 8 AS FLOAT) AS DOUBLE) AS vx, event_id % 16 / 8e0 AS vy, CAST(CAST(value / 64 AS FLOAT) AS DOUBLE) AS ax"
 
 
 @query("j09_prompt_text", over("events", PROMPT, f"""SELECT idx, 'The ego vehicle history spans 4 frames. Predict the driving action and front camera view after 0.50 seconds. Current velocity: speed=' || printf('%.2f', sqrt(vx * vx + vy * vy)) || ' m/s, heading=' || printf('%.1f', degrees(atan2(vy, vx))) || ' deg. Current acceleration: ax='
