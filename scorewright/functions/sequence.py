@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scorewright.functions.text import let
+
 IGNORE = -100
 
 
@@ -184,8 +186,8 @@ def random_mask(ids: Column, share: Column, key: Column, seed: str = "0") -> Col
     """Exactly max(1, round(n * share)) true positions, chosen by hash order (half rounds to even)."""
     k = F.greatest(F.rint(F.size(ids) * share), F.lit(1)).cast("int")
     hashes = F.transform(positions(ids), lambda i: position_hash(key, i, seed))
-    limit = F.element_at(F.array_sort(hashes), k)
-    return F.transform(hashes, lambda h: h <= limit)
+    cut = let(hashes, lambda hs: F.struct(hs.alias("all"), F.element_at(F.array_sort(hs), k).alias("limit")))
+    return let(cut, lambda s: F.transform(s["all"], lambda h: h <= s["limit"]))
 
 
 def rectangle_mask(ids: Column, share: Column, side: int, u: Sequence[Column]) -> Column:
@@ -247,10 +249,9 @@ def entropy(probabilities: Column) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits).cast("double")
-    powers = F.transform(logits, lambda x: F.exp(x.cast("double") - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(powers, lambda x: x / total)
+    powers = let(F.array_max(logits).cast("double"), lambda top: F.transform(logits, lambda x: F.exp(x.cast("double") - top)))
+    summed = let(powers, lambda ps: F.struct(ps.alias("all"), F.aggregate(ps, F.lit(0.0), lambda s, x: s + x).alias("total")))
+    return let(summed, lambda s: F.transform(s["all"], lambda x: x / s["total"]))
 
 
 def encode_pair(context: Column, continuation: Column) -> Column:
