@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scorewright.functions.text import let
+
 FRAME = ("scene", "frame")
 
 
@@ -33,11 +35,10 @@ def rectangles_meet(a: dict[str, Column], b: dict[str, Column]) -> Column:
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
     meet = F.lit(True)
     for one, other in ((a, b), (b, a)):
-        turn = other["yaw"] - one["yaw"]
-        for axis, size in ((0.0, one["l"]), (math.pi / 2, one["w"])):
-            gap = F.abs(dx * F.cos(one["yaw"] + axis) + dy * F.sin(one["yaw"] + axis))
-            reach = F.abs(F.cos(turn - axis)) * other["l"] / 2 + F.abs(F.sin(turn - axis)) * other["w"] / 2
-            meet = meet & (gap <= size / 2 + reach)
+        c, s = F.cos(one["yaw"]), F.sin(one["yaw"])
+        ct, st = F.abs(F.cos(other["yaw"] - one["yaw"])), F.abs(F.sin(other["yaw"] - one["yaw"]))
+        meet = meet & (F.abs(dx * c + dy * s) <= one["l"] / 2 + other["l"] / 2 * ct + other["w"] / 2 * st)
+        meet = meet & (F.abs(dy * c - dx * s) <= one["w"] / 2 + other["l"] / 2 * st + other["w"] / 2 * ct)
     return meet
 
 
@@ -137,17 +138,25 @@ def time_to_collision(ego: DataFrame, future: DataFrame) -> DataFrame:
 
 def project_on_line(line: Column, px: Column, py: Column) -> Column:
     """Distance along a polyline of its point nearest to (px, py); the first of equally near ones."""
+    def segment(i: Column) -> Column:
+        ends = F.struct(F.get(line, i).alias("a"), F.get(line, i + 1).alias("b"))
+        sides = let(ends, lambda e: F.struct(e["a"][0].alias("x"), e["a"][1].alias("y"), (e["b"][0] - e["a"][0]).alias("dx"), (e["b"][1] - e["a"][1]).alias("dy")))
+        return let(sides, lambda g: F.struct(g["x"].alias("x"), g["y"].alias("y"), g["dx"].alias("dx"), g["dy"].alias("dy"), F.sqrt(g["dx"] * g["dx"] + g["dy"] * g["dy"]).alias("n")))
+
+    def nearest(g: Column) -> Column:
+        along = F.when(g["n"] > 0, ((px - g["x"]) * g["dx"] + (py - g["y"]) * g["dy"]) / g["n"]).otherwise(0.0)
+        return F.struct(g.alias("g"), F.least(F.greatest(along, F.lit(0.0)), g["n"]).alias("along"))
+
+    def priced(s: Column) -> Column:
+        g, share = s["g"], F.when(s["g"]["n"] > 0, s["along"] / s["g"]["n"]).otherwise(0.0)
+        gap = let(share, lambda k: F.pow(px - g["x"] - g["dx"] * k, F.lit(2.0)) + F.pow(py - g["y"] - g["dy"] * k, F.lit(2.0)))
+        return F.struct(g["n"].alias("n"), s["along"].alias("along"), gap.alias("gap"))
+
     def step(acc: Column, i: Column) -> Column:
-        a, b = F.get(line, i), F.get(line, i + 1)
-        dx, dy = b[0] - a[0], b[1] - a[1]
-        length = F.sqrt(dx * dx + dy * dy)
-        along = ((px - a[0]) * dx + (py - a[1]) * dy) / F.nullif(length, F.lit(0.0))
-        along = F.least(F.greatest(F.coalesce(along, F.lit(0.0)), F.lit(0.0)), length)
-        share = F.coalesce(along / F.nullif(length, F.lit(0.0)), F.lit(0.0))
-        gap = F.pow(px - a[0] - dx * share, F.lit(2.0)) + F.pow(py - a[1] - dy * share, F.lit(2.0))
-        nearer = gap < acc["gap"]
-        return F.struct((acc["done"] + length).alias("done"), F.when(nearer, gap).otherwise(acc["gap"]).alias("gap"),
-                        F.when(nearer, acc["done"] + along).otherwise(acc["at"]).alias("at"))
+        # bound values: interpreted lambdas would compute every repeated part again
+        return let(let(let(segment(i), nearest), priced), lambda p: F.struct(
+            (acc["done"] + p["n"]).alias("done"), F.least(p["gap"], acc["gap"]).alias("gap"),
+            F.when(p["gap"] < acc["gap"], acc["done"] + p["along"]).otherwise(acc["at"]).alias("at")))
 
     start = F.struct(F.lit(0.0).alias("done"), F.lit(float("inf")).alias("gap"), F.lit(0.0).alias("at"))
     return F.aggregate(F.sequence(F.lit(0), F.size(line) - 2), start, step, lambda acc: acc["at"])
@@ -157,7 +166,7 @@ def progress(route: Column, ego_path: Column) -> Column:
     """Way made along the route between the first and last ego point, to 0.1; null for short lines or a step back."""
     first, last = F.element_at(ego_path, 1), F.element_at(ego_path, -1)
     way = project_on_line(route, last[0], last[1]) - project_on_line(route, first[0], first[1])
-    return F.when((F.size(route) >= 2) & (F.size(ego_path) >= 2), F.when(way >= 0, F.round(way, 1)))
+    return F.when((F.size(route) >= 2) & (F.size(ego_path) >= 2), let(way, lambda w: F.when(w >= 0, F.round(w, 1))))
 
 
 def full_score(*scores: Column) -> Column:
