@@ -12,19 +12,37 @@ from scorewright.session import partitions
 HOT_SHARE = 0.002
 
 
-def _bucketed(df: DataFrame, first: str, buckets: int) -> DataFrame:
-    """Add ``_bucket``: the quantile range of a numeric or time column, found in two levels of 32 cuts at most."""
-    is_time = dict(df.dtypes)[first].startswith("timestamp")
-    value = F.col(first).cast("timestamp").cast("double") if is_time else F.col(first).cast("double")
-    coarse, fine = max(1, buckets // 32), min(32, buckets)
-    cuts = [i / (coarse * fine) for i in range(coarse * fine)]
-    bounds = df.select(value.alias("v")).agg(F.percentile_approx("v", F.array(*[F.lit(c) for c in cuts]), 20000).alias("_bounds"))
-    # one row: the cut list, at most 2048 numbers
-    tagged = df.withColumn("_value", value).withColumn("_one", F.lit(1)).join(F.broadcast(bounds.withColumn("_one", F.lit(1))), "_one", "left")
-    heads = F.filter("_bounds", lambda b, i: (i % fine == 0) & (b <= F.col("_value")))
-    tagged = tagged.withColumn("_head", F.greatest(F.coalesce(F.size(heads), F.lit(1)), F.lit(1)) - 1)
-    part = F.filter(F.slice("_bounds", F.col("_head") * fine + 1, fine), lambda b: b < F.col("_value"))
-    return tagged.withColumn("_bucket", F.coalesce(F.col("_head") * fine + F.size(part), F.lit(0))).drop("_bounds", "_value", "_one", "_head")
+def _as_number(df: DataFrame, name: str) -> Column:
+    is_time = dict(df.dtypes)[name].startswith(("timestamp", "date"))
+    return F.col(name).cast("timestamp").cast("double") if is_time else F.col(name).try_cast("double")
+
+
+def _range_number(bounds: str, value: str, fine: int) -> Column:
+    """How many cuts lie below the value, looked up in two levels of at most ``fine`` comparisons each."""
+    heads = F.filter(bounds, lambda b, i: (i % fine == 0) & (b < F.col(value)))
+    head = F.greatest(F.size(heads), F.lit(1)) - 1
+    return head * fine + F.size(F.filter(F.slice(bounds, head * fine + 1, fine), lambda b: b < F.col(value)))
+
+
+def _bucketed(df: DataFrame, order: Sequence[str], buckets: int) -> DataFrame:
+    """Add ``_bucket``: quantile ranges of the first order column (a number or time).
+
+    A value so frequent that it fills several quantiles gets buckets of its own, cut by the quantiles of the second
+    order column, so ties on the first column do not end in one task either.
+    """
+    fine = min(64, buckets)
+    cuts = F.array(*[F.lit(i / buckets) for i in range(buckets)])
+    names = order[:2]
+    values = df.select(*[_as_number(df, n).alias(f"v{i}") for i, n in enumerate(names)])
+    bounds = values.agg(*[F.percentile_approx(f"v{i}", cuts, 20000).alias(f"_bounds{i}") for i in range(len(names))])
+    # one row: the cut lists, at most 2048 numbers each
+    tagged = df.withColumns({f"_value{i}": _as_number(df, n) for i, n in enumerate(names)}).join(F.broadcast(bounds), how="cross")
+    first = F.coalesce(_range_number("_bounds0", "_value0", fine), F.lit(0))
+    below = F.lit(0)
+    if len(names) > 1:
+        frequent = F.get("_bounds0", first + 1) == F.col("_value0")
+        below = F.when(frequent, F.coalesce(_range_number("_bounds1", "_value1", fine), F.lit(0)) + 1).otherwise(0)
+    return tagged.withColumn("_bucket", first * 4096 + below).drop(*[f"_{k}{i}" for k in ("value", "bounds") for i in range(len(names))])
 
 
 def ordered(
@@ -45,7 +63,7 @@ def ordered(
     buckets = max(8, min(partitions(df.sparkSession), 2048))
     by, sums, following = list(by), dict(sums or {}), dict(following or {})
     keys = [*by, "_bucket"]
-    tagged = _bucketed(df, order[0], buckets)
+    tagged = _bucketed(df, order, buckets)
     head = F.struct(*[F.col(c) for c in order], *[F.col(c).alias(f"_f{i}") for i, c in enumerate(following.values())])
     stats = tagged.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_size"),

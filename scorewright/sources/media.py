@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from scorewright.operators.skew import ordered, ranked
 
@@ -113,7 +113,12 @@ def concat_datasets(tables: Mapping[str, DataFrame], index: str = "idx") -> Data
     """Named tables under each other with SUB_DATASET, original_index and a new dense index in table and index order."""
     tagged = [df.withColumn("SUB_DATASET", F.lit(n)).withColumn("_table", F.lit(i)) for i, (n, df) in enumerate(tables.items())]
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged).withColumnRenamed(index, "original_index")
-    return ranked(every, ["_table", "original_index"], name=index).drop("_table")
+    placed = ranked(every, ["original_index"], ["_table"], name="_rank")
+    sizes = every.groupBy("_table").agg(F.count(F.lit(1)).alias("_size"))
+    # one row per named table
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_table").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_table", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"))
+    return placed.join(F.broadcast(shifts), "_table").withColumn(index, F.col("_rank") + F.col("_shift")).drop("_table", "_rank", "_shift")
 
 
 def split_dataset(df: DataFrame, name: str, index: str = "idx") -> DataFrame:
