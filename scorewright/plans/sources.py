@@ -63,7 +63,7 @@ def group_members(t):
 TRIPLE = "doc_id, concat('/x/', CAST(doc_id AS VARCHAR(20)), '.jpg') AS a, concat('/x/', CAST(doc_id AS VARCHAR(20)), '.caption') AS b, concat('/x/', CAST(doc_id AS VARCHAR(20)), '.shortcaption') AS s, text"
 
 
-@query("a07_image_triplets", "SELECT CAST(doc_id AS VARCHAR) AS base, length(text) AS image_size, CASE WHEN doc_id % 3 = 0 THEN '' ELSE trim(text, ' ') END AS caption, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'short' END AS short_caption FROM documents WHERE doc_id % 5 > 0", ints="image_size")
+@query("a07_image_triplets", "SELECT CAST(doc_id AS VARCHAR) AS base, length(text) AS image_size, CASE WHEN doc_id % 3 = 0 THEN '' ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS caption, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'short' END AS short_caption FROM documents WHERE doc_id % 5 > 0", ints="image_size")
 def image_triplets(t):
     d = t.derive("documents", TRIPLE)
     file = lambda path, content: F.struct(c(path).alias("path"), content.alias("content"))

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from scorewright.functions.text import strip_space
 from scorewright.operators.skew import ordered, ranked
 
 
@@ -58,7 +59,7 @@ def triplets(files: DataFrame) -> DataFrame:
     base = F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1)
     kind = F.regexp_extract("path", r"\.([^./]*)$", 1)
     pick = lambda k: F.max(F.when(kind == k, F.col("content")))
-    text = lambda k: F.trim(F.coalesce(pick(k).cast("string"), F.lit("")))
+    text = lambda k: strip_space(F.coalesce(pick(k).cast("string"), F.lit("")))
     rows = files.withColumn("base", base).groupBy("base").agg(pick("jpg").alias("image"), text("caption").alias("caption"), text("shortcaption").alias("short_caption"))
     return rows.filter(F.col("image").isNotNull())
 
