@@ -45,18 +45,17 @@ def merge_linked_fragments(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return merged.select(head("id"), head("pos"), head("category"), text, F.size("m").cast("bigint").alias("parts")).unionByName(alone)
 
 
-def token_counts(df: DataFrame, key: str, tokens: Column, name: str) -> DataFrame:
-    return df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias(name))
-
-
 def bag_overlap(df: DataFrame, key: str, gold: Column, pred: Column) -> DataFrame:
-    """Shared token count with repeats, and both token counts, per key."""
-    g, p = token_counts(df, key, gold, "gold_n"), token_counts(df, key, pred, "pred_n")
-    joined = g.join(p, [key, "token"], "full")
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    sums = joined.groupBy(key).agg(F.sum(F.least(n("gold_n"), n("pred_n"))).alias("right"), F.sum(n("gold_n")).alias("gold_tokens"), F.sum(n("pred_n")).alias("pred_tokens"))
-    rest = df.select(key).join(sums, key, "left")
-    return rest.select(key, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("right", "gold_tokens", "pred_tokens")])
+    """Shared token count with repeats, and both token counts, per key.
+
+    Both sides are counted in one aggregation over (key, token), combined before its only shuffle; keys without tokens
+    stay through an empty token.
+    """
+    tag = lambda tokens, side: F.transform(tokens, lambda x: F.struct(x.alias("token"), F.lit(side).alias("g")))
+    flat = df.select(key, F.explode_outer(F.concat(tag(gold, 1), tag(pred, 0))).alias("t")).select(key, "t.token", "t.g")
+    here = F.col("token").isNotNull()
+    counts = flat.groupBy(key, "token").agg(F.count_if(here & (F.col("g") == 1)).alias("gn"), F.count_if(here & (F.col("g") == 0)).alias("pn"))
+    return counts.groupBy(key).agg(F.sum(F.least("gn", "pn")).alias("right"), F.sum("gn").alias("gold_tokens"), F.sum("pn").alias("pred_tokens"))
 
 
 def best_ngram_match(df: DataFrame, key: str, needle: str, hay: str, tokens, sep: str = " ", similarity: str = "matcher") -> DataFrame:

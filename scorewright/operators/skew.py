@@ -35,8 +35,9 @@ def _bucketed(df: DataFrame, order: Sequence[str], buckets: int) -> DataFrame:
     names = order[:2]
     values = df.select(*[_as_number(df, n).alias(f"v{i}") for i, n in enumerate(names)])
     bounds = values.agg(*[F.percentile_approx(f"v{i}", cuts, 20000).alias(f"_bounds{i}") for i in range(len(names))])
-    # one row: the cut lists, at most 2048 numbers each
-    tagged = df.withColumns({f"_value{i}": _as_number(df, n) for i, n in enumerate(names)}).join(F.broadcast(bounds), how="cross")
+    # scalar subqueries: the cut lists, at most 2048 numbers each
+    tagged = df.withColumns({f"_value{i}": _as_number(df, n) for i, n in enumerate(names)})
+    tagged = tagged.withColumns({f"_bounds{i}": bounds.select(f"_bounds{i}").scalar() for i in range(len(names))})
     first = F.coalesce(_range_number("_bounds0", "_value0", fine), F.lit(0))
     below = F.lit(0)
     if len(names) > 1:

@@ -75,9 +75,9 @@ def vanilla_accuracy(t):
 PAIR = "concat('c', CAST(conv_id AS VARCHAR(20)), '_', CAST(turn AS VARCHAR(9))) AS idx, length(text) % 5 > 0 AS hit, turn"
 
 
-@query("g06_pair_accuracy", over("conversations", PAIR, ", g AS (SELECT split_part(idx, '_', 1) AS k, min(CASE WHEN hit THEN 1 ELSE 0 END) AS ok, count(*) AS n FROM d WHERE turn < 3 GROUP BY k) SELECT avg(CASE WHEN ok = 1 AND n >= 2 THEN 1.0 ELSE 0 END) * 100 AS accuracy, count(*) AS groups, count(*) FILTER (ok = 1 AND n >= 2) AS right_groups FROM g"), "accuracy", "groups right_groups")
+@query("g06_pair_accuracy", over("conversations", PAIR, ", g AS (SELECT split_part(idx, '_', 1) AS k, min(CASE WHEN hit THEN 1 ELSE 0 END) AS ok, count(*) AS n FROM d GROUP BY k) SELECT avg(CASE WHEN ok = 1 AND n >= 2 THEN 1.0 ELSE 0 END) * 100 AS accuracy, count(*) AS groups, count(*) FILTER (ok = 1 AND n >= 2) AS right_groups FROM g"), "accuracy", "groups right_groups")
 def pair_accuracy(t):
-    return C.pair_accuracy(t.derive("conversations", PAIR).filter("turn < 3"), "idx", "hit")
+    return C.pair_accuracy(t.derive("conversations", PAIR), "idx", "hit")
 
 
 QUADS = "o_orderkey - o_orderkey % 4 AS grp, o_orderkey % 4 AS pos, CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END AS v"
@@ -146,10 +146,10 @@ def step_mastery(t):
     return C.step_mastery(t.derive("lineitem", STEPPED), "id", "step", "ok")
 
 
-@query("g13_concept_accuracy", """WITH t AS (SELECT p_partkey AS concept, p_brand AS root FROM part), s AS (SELECT l_partkey AS concept, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS hit FROM lineitem WHERE l_linenumber < 4),
+@query("g13_concept_accuracy", """WITH t AS (SELECT p_partkey AS concept, p_brand AS root FROM part), s AS (SELECT l_partkey AS concept, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS hit FROM lineitem),
  c AS (SELECT concept, avg(hit) AS acc FROM s GROUP BY concept) SELECT root, avg(acc) AS acc, count(acc) AS concepts FROM t LEFT JOIN c USING (concept) GROUP BY root""", "acc", "concepts")
 def concept_accuracy(t):
-    steps = t.lineitem.filter("l_linenumber < 4").select(F.col("l_partkey").alias("concept"), (F.col("l_quantity") > 25).cast("int").alias("hit"))
+    steps = t.lineitem.select(F.col("l_partkey").alias("concept"), (F.col("l_quantity") > 25).cast("int").alias("hit"))
     return C.concept_accuracy(steps, t.part.select(F.col("p_partkey").alias("concept"), F.col("p_brand").alias("root")))
 
 

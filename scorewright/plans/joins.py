@@ -42,9 +42,9 @@ def multi_way_inner(t):
     return t.customer.join(nations, c("c_nationkey") == c("n_nationkey")).select("c_custkey", "n_name", "r_name")
 
 
-@query("h06_one_of_many", f"SELECT o_orderkey, l_partkey, l_suppkey FROM orders LEFT JOIN (SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber < 3 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {unit_sql('l_orderkey', 'l_partkey')}, l_partkey, l_suppkey) = 1) ON o_orderkey = l_orderkey")
+@query("h06_one_of_many", f"SELECT o_orderkey, l_partkey, l_suppkey FROM orders LEFT JOIN (SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {unit_sql('l_orderkey', 'l_partkey')}, l_partkey, l_suppkey) = 1) ON o_orderkey = l_orderkey")
 def one_of_many(t):
-    choices = t.lineitem.filter("l_linenumber < 3").select(c("l_orderkey").alias("o_orderkey"), "l_partkey", "l_suppkey")
+    choices = t.lineitem.select(c("l_orderkey").alias("o_orderkey"), "l_partkey", "l_suppkey")
     return joins.one_of_many(t.orders.select("o_orderkey"), choices, "o_orderkey", "l_partkey")
 
 

@@ -125,9 +125,9 @@ _AN = normalise_sql("pred")
 _HAS = lambda g: f"({normalise_sql(g)} = '' OR contains(' ' || {_AN} || ' ', ' ' || {normalise_sql(g)} || ' '))"
 
 
-@query("d11_word_match", over("benchmark", WORDS, f"SELECT idx, CASE WHEN {_HAS('b')} OR {_HAS('e')} THEN 1.0 ELSE 0 END AS score, CASE WHEN {_HAS('b')} THEN 1.0 WHEN {_HAS('a')} THEN 0.5 WHEN {_HAS('e')} THEN 1 / 3 ELSE 0 END AS rank FROM d WHERE regexp_matches(a || b || e, '^[a-zA-Z]+$')"), "score rank")
+@query("d11_word_match", over("benchmark", WORDS, f"SELECT idx, CASE WHEN {_HAS('b')} OR {_HAS('e')} THEN 1.0 ELSE 0 END AS score, CASE WHEN {_HAS('b')} THEN 1.0 WHEN {_HAS('a')} THEN 0.5 WHEN {_HAS('e')} THEN 1 / 3 ELSE 0 END AS rank FROM d"), "score rank")
 def word_match(t):
-    df = t.derive("benchmark", WORDS).filter(F.concat("a", "b", "e").rlike("^[a-zA-Z]+$"))
+    df = t.derive("benchmark", WORDS)
     return df.select("idx", S.word_match(c("pred"), ARR("b", "e")).alias("score"), S.reciprocal_rank(c("pred"), ARR("b", "a", "e")).alias("rank"))
 
 
@@ -142,7 +142,7 @@ BAG_SQL = f"""g AS (SELECT idx, w, count(*) AS n FROM (SELECT idx, unnest({_TOK(
 
 @query("d13_bag_overlap", over("documents", BAGS, f", {BAG_SQL} SELECT idx, coalesce(rgt, 0) AS \"right\", coalesce(gold_tokens, 0) AS gold_tokens, coalesce(pred_tokens, 0) AS pred_tokens FROM d LEFT JOIN o USING (idx)"), ints="right gold_tokens pred_tokens")
 def bag_overlap(t):
-    return matching.bag_overlap(t.derive("documents", BAGS), "idx", words(c("gold")), words(c("pred")))
+    return matching.bag_overlap(t.derive("documents", BAGS, deal=True), "idx", words(c("gold")), words(c("pred")))
 
 
 MEMBER = "doc_id AS idx, text AS gold, lower(substr(text, 1, 400)) AS pred"
@@ -267,11 +267,12 @@ def click_in_box(t):
     return t.derive("orders", CLICK).select("idx", S.click_in_box(c("px"), c("py"), box, c("iw"), c("ih")).alias("score"))
 
 
-@query("d24_point_distance_to_box", over("orders", CLICK, """, b AS (SELECT idx, px, py, x / iw AS a, y / ih AS b, (x + w - 1) / iw AS e, (y + h - 1) / ih AS f FROM d WHERE px <= 1),
+@query("d24_point_distance_to_box", over("orders", CLICK, """, b AS (SELECT idx, CASE WHEN px > 1 OR py > 1 THEN px / iw ELSE px END AS px, CASE WHEN px > 1 OR py > 1 THEN py / ih ELSE py END AS py, x / iw AS a, y / ih AS b, (x + w - 1) / iw AS e, (y + h - 1) / ih AS f FROM d),
  s AS (SELECT idx, sqrt(pow(greatest(0, abs(px - (a + e) / 2) - (e - a) / 2), 2) + pow(greatest(0, abs(py - (b + f) / 2) - (f - b) / 2), 2)) AS distance FROM b) SELECT * FROM s WHERE distance > 0"""), "distance")
 def point_distance_to_box(t):
     box = S.relative_box(*[c(n) for n in ("x", "y", "w", "h", "iw", "ih")])
-    df = t.derive("orders", CLICK).filter("px <= 1")
+    df, pixels = t.derive("orders", CLICK), (c("px") > 1) | (c("py") > 1)
+    df = df.withColumns({"px": F.when(pixels, c("px") / c("iw")).otherwise(c("px")), "py": F.when(pixels, c("py") / c("ih")).otherwise(c("py"))})
     return df.select("idx", S.point_distance_to_box(c("px"), c("py"), box).alias("distance")).filter("distance > 0").orderBy(F.desc("distance"), "idx")
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from scorewright.functions import text as X
+from scorewright.operators.skew import spread
 from scorewright.plans.catalog import over, query
 
 U32 = "4294967296.0"
@@ -198,7 +199,7 @@ def punctuation_sql(text: str) -> str:
 
 @query("b19_normalise_punctuation", f"SELECT doc_id, {punctuation_sql('text')} AS text FROM documents")
 def normalise_punctuation(t):
-    return t.documents.select("doc_id", X.normalise_punctuation(F.col("text")).alias("text"))
+    return spread(t.documents).select("doc_id", X.normalise_punctuation(F.col("text")).alias("text"))
 
 
 def map_sql(values: dict) -> str:
@@ -231,7 +232,7 @@ _NARROW = " " + "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
  k AS (SELECT doc_id, string_agg(CASE WHEN n >= 11 AND NOT regexp_matches(ch, '[a-zA-Z0-9]') THEN repeat(ch, 4) ELSE repeat(ch, n) END, '' ORDER BY i) AS text FROM r GROUP BY doc_id)
  SELECT doc_id, regexp_replace(replace(replace(replace(replace(replace(replace(translate(text, {quoted(_WIDE)}, {quoted(_NARROW)}), '\\t', ''), '\\n', ''), chr(9), ''), chr(10), ''), '/t', ''), '/n', ''), '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS text FROM k"""))
 def clean_document_text(t):
-    return t.derive("documents", DIRTY).select("doc_id", X.clean_document_text(F.col("text")).alias("text"))
+    return t.derive("documents", DIRTY, deal=True).select("doc_id", X.clean_document_text(F.col("text")).alias("text"))
 
 
 JUDGED = "doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN concat('x Failed to obtain answer via API.', text) ELSE text END AS prediction, CASE WHEN doc_id % 4 = 0 THEN -1 ELSE doc_id % 2 END AS score"
