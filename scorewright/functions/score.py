@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import difflib
 import math
+import re
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from scorewright.functions.extract import count_of
 from scorewright.functions.text import let, literal_map, normalise_answer, strip_space, words
 
 FLOAT = T.DoubleType()
@@ -590,7 +590,6 @@ def word_count(text: Column) -> Column:
 
 
 def keyword_count(text: Column, keyword: str) -> Column:
-    import re
     return F.regexp_count(F.lower(text), F.lit(r"(?U)\b" + re.escape(keyword.lower()) + r"\b"))
 
 
