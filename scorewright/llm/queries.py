@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from scorewright.llm.line_dedup import line_dedup
+from scorewright.llm.near_duplicates import near_duplicates
 from scorewright.llm.tables import table
 from scorewright.llm.token_counts import token_counts
 
@@ -23,3 +25,48 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+# lower case of A-Z alone, and the words of a text, in the check statements
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+ORACLE["op7_near_duplicates"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.root)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id, d.doc_id = c.root AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) c USING (doc_id)
+"""
+
+
+@query
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("long").alias("n_bytes_left"), F.md5("text").alias("text_md5"), "text")
+
+
+ORACLE["op3_line_dedup"] = r"""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM s),
+w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w WHERE w > 0),
+m AS (SELECT a.doc_id AS d, b.doc_id AS e, a.p - b.p AS shift, a.p, a.i, a.w FROM p a JOIN p b ON a.line = b.line AND (b.doc_id, b.p) < (a.doc_id, a.p)),
+r AS (SELECT *, p - row_number() OVER (PARTITION BY d, e, shift ORDER BY p) AS run FROM m),
+t AS (SELECT *, sum(w) OVER (PARTITION BY d, e, shift, run) AS words FROM r),
+gone AS (SELECT DISTINCT d AS doc_id, i FROM t WHERE words >= 50),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT s.doc_id, len(ls)::BIGINT AS n_lines, coalesce(g.n, 0) AS n_removed, strlen(coalesce(k.text, ''))::BIGINT AS n_bytes_left,
+       md5(coalesce(k.text, '')) AS text_md5, coalesce(k.text, '') AS text
+FROM s LEFT JOIN k USING (doc_id) LEFT JOIN g USING (doc_id)
+"""
