@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from scorewright.llm.decontaminate import contaminated
 from scorewright.llm.line_dedup import line_dedup
 from scorewright.llm.near_duplicates import near_duplicates
 from scorewright.llm.tables import table
@@ -70,3 +71,26 @@ SELECT s.doc_id, len(ls)::BIGINT AS n_lines, coalesce(g.n, 0) AS n_removed, strl
        md5(coalesce(k.text, '')) AS text_md5, coalesce(k.text, '') AS text
 FROM s LEFT JOIN k USING (doc_id) LEFT JOIN g USING (doc_id)
 """
+
+
+@query
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "start_word", "n_words", F.round("similarity", 6).alias("similarity"))
+
+
+ORACLE["op1_decontaminate"] = r"""
+WITH t AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS ws FROM documents
+           UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') FROM benchmark),
+s AS (SELECT kind, id, len(ws) AS n, unnest(range(1, greatest(len(ws) - 3, 2))) - 1 AS p, ws FROM t WHERE len(ws) > 0),
+g AS (SELECT kind, id, n, p, array_to_string(ws[p + 1:p + 5], ' ') AS g FROM s),
+a AS (SELECT DISTINCT d.id AS doc_id, i.n AS size, d.n, greatest(0, least(d.p - i.p, d.n - i.n)) AS start FROM g d JOIN g i ON d.g = i.g AND d.kind = 'd' AND i.kind = 'i'),
+v AS (SELECT a.doc_id, a.size, a.start, g.g, count(*) AS c FROM a JOIN g ON g.kind = 'd' AND g.id = a.doc_id AND g.p >= a.start AND g.p <= a.start + greatest(least(a.size, a.n) - 5, 0) GROUP BY ALL),
+k AS (SELECT id AS item_id, n, g, count(*) AS c FROM g WHERE kind = 'i' GROUP BY ALL),
+vt AS (SELECT doc_id, size, start, sum(c) AS total FROM v GROUP BY ALL),
+kt AS (SELECT item_id, sum(c) AS total FROM k GROUP BY ALL),
+m AS (SELECT v.doc_id, v.size, v.start, k.item_id, sum(least(v.c, k.c)) AS low FROM v JOIN k ON v.g = k.g AND v.size = k.n GROUP BY ALL),
+r AS (SELECT m.*, vt.total + kt.total - low AS high FROM m JOIN vt USING (doc_id, size, start) JOIN kt USING (item_id)),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY low / high DESC, start) AS rn FROM r WHERE low * 100 >= 75 * high)
+SELECT doc_id, item_id, start::BIGINT AS start_word, size::BIGINT AS n_words, round(low / high, 6) AS similarity FROM b WHERE rn = 1
+"""
