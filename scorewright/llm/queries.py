@@ -12,6 +12,7 @@ from scorewright.llm.line_dedup import line_dedup
 from scorewright.llm.near_duplicates import near_duplicates
 from scorewright.llm.tables import table
 from scorewright.llm.token_counts import token_counts
+from scorewright.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -94,3 +95,9 @@ r AS (SELECT m.*, vt.total + kt.total - low AS high FROM m JOIN vt USING (doc_id
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY low / high DESC, start) AS rn FROM r WHERE low * 100 >= 75 * high)
 SELECT doc_id, item_id, start::BIGINT AS start_word, size::BIGINT AS n_words, round(low / high, 6) AS similarity FROM b WHERE rn = 1
 """
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity(docs, table(spark, folder, "labels"), keep_text=False)

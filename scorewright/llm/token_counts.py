@@ -10,6 +10,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from scorewright.llm.tables import bounded_batches
+
 CACHE_ENTRIES = 1_000_000
 # The white space and the split pattern of byte-level byte-pair vocabularies.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -124,6 +126,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", limit: in
     text; special strings inside texts are one token each. A null or empty text has 0 tokens. Repeated rows give repeated results; other
     columns pass through, except that one named like a result is replaced. Each Python worker keeps counts of at most ``entries`` words.
     """
+    bounded_batches(docs.sparkSession)
     results = ("n_bytes", "n_tokens", "over_limit")
     kept = [c for c in docs.columns if c != text and c not in results]
     source = docs.select(*kept, F.col(text).alias("n_tokens"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
