@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from scorewright.llm.components import components
-from scorewright.llm.tables import saved
+from scorewright.llm.tables import bounded_batches, saved
 from scorewright.llm.words import lists, mix, shingle_sets
 
 KEEP = 48  # hashes retained per set
@@ -161,6 +161,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     are confirmed on whole sets of 63-bit shingle hashes. component_id is the smallest doc_id of the group (a row's own id if it has no
     words); a null id never becomes one unless the group has no other. Repeated rows give repeated results.
     """
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("row_id"), F.col(text).cast("string").alias("set_print"))
     schema = source.select("row_id").schema.add("n_shingles", "long").add("set_print", "long").add("sketch", ArrayType(LongType()))
     rows = saved(source.mapInArrow(_sketches, schema))
