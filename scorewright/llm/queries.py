@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scorewright.llm.decontaminate import contaminated
 from scorewright.llm.line_dedup import line_dedup
 from scorewright.llm.near_duplicates import near_duplicates
+from scorewright.llm.quality import quality
 from scorewright.llm.tables import table
 from scorewright.llm.token_counts import token_counts
 from scorewright.llm.toxicity import toxicity
@@ -101,3 +102,9 @@ SELECT doc_id, item_id, start::BIGINT AS start_word, size::BIGINT AS n_words, ro
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return toxicity(docs, table(spark, folder, "labels"), keep_text=False)
+
+
+@query
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality(docs, table(spark, folder, "labels"), keep_text=False)
