@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scorewright.llm.decontaminate import contaminated
+from scorewright.llm.language_model import language_scores
 from scorewright.llm.line_dedup import line_dedup
 from scorewright.llm.near_duplicates import near_duplicates
 from scorewright.llm.quality import quality
@@ -108,3 +109,8 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality(docs, table(spark, folder, "labels"), keep_text=False)
+
+
+@query
+def op9_language_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return language_scores(table(spark, folder, "documents"))
