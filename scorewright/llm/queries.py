@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scorewright.llm.decontaminate import contaminated
+from scorewright.llm.html_text import extract_text
 from scorewright.llm.language_model import language_scores
 from scorewright.llm.line_dedup import line_dedup
 from scorewright.llm.near_duplicates import near_duplicates
@@ -114,3 +115,8 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_language_scores(spark: SparkSession, folder: str) -> DataFrame:
     return language_scores(table(spark, folder, "documents"))
+
+
+@query
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(table(spark, folder, "pages").select("page_id", "url", "html"))
