@@ -11,6 +11,7 @@ from scorewright.llm.decontaminate import contaminated
 from scorewright.llm.html_text import extract_text
 from scorewright.llm.language_model import language_scores
 from scorewright.llm.line_dedup import line_dedup
+from scorewright.llm.mixing import mixed
 from scorewright.llm.near_duplicates import near_duplicates
 from scorewright.llm.quality import quality
 from scorewright.llm.tables import table
@@ -120,3 +121,8 @@ def op9_language_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed(table(spark, folder, "documents").select("doc_id", "text", "source")).drop("key")
