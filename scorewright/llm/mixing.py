@@ -12,6 +12,7 @@ WEIGHTS = (5, 2, 1)  # of the sources in code point order, repeating
 MOST_COPIES = 3
 LEAF_ROWS = 20_000  # documents a leaf of the tree holds on average
 FAN_IN = 64
+DRAWS = 32  # at the root of the tree
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> list[float]:
@@ -71,7 +72,17 @@ def _level(rows: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
         # large documents first, so the one left over is small
         group = group.sort_values(["size", "tie"], ascending=[False, True], kind="stable")
         place = [seed, level, int(group["source_no"].iloc[0]), int(group["bucket"].iloc[0])]
-        group["part"] = pivot(group["size"].to_numpy(np.float64), group["part"].to_numpy(), place, last)
+        size, part = group["size"].to_numpy(np.float64), group["part"].to_numpy()
+        best, off = None, np.inf
+        # the last document rounded may be a large one: of a few draws the one nearest to the words wanted is taken
+        for turn in range(DRAWS if last else 1):
+            out = pivot(size, part, [*place, turn], last)
+            miss = abs(float(((out - part) * size).sum()))
+            if miss < off:
+                best, off = out, miss
+            if off * 1000 <= float((part * size).sum()):
+                break
+        group["part"] = best
         return group
 
     return rows.groupBy("source_no", "bucket").applyInPandas(run, rows.schema)
