@@ -13,6 +13,7 @@ from scorewright.llm.language_model import language_scores
 from scorewright.llm.line_dedup import line_dedup
 from scorewright.llm.mixing import mixed
 from scorewright.llm.near_duplicates import near_duplicates
+from scorewright.llm.neighbours import nearest_vectors
 from scorewright.llm.quality import quality
 from scorewright.llm.tables import table
 from scorewright.llm.token_counts import token_counts
@@ -126,3 +127,8 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed(table(spark, folder, "documents").select("doc_id", "text", "source")).drop("key")
+
+
+@query
+def op2_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_vectors(table(spark, folder, "embeddings"))
