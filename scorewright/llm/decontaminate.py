@@ -52,15 +52,19 @@ def _weighted(a: Column, b: Column) -> tuple[Column, Column]:
     return low, F.size(a) + F.size(b) - low
 
 
+def text_key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, start_word, n_words, hamming, similarity): the best window of each document for each item it contains.
+    """(doc_id, text_key, item_id, start_word, n_words, hamming, similarity): the best window of each document for each item it contains.
 
     Words are runs of anything but space and 0x09-0x0D in lower case. A window has as many words as the item (the whole document, if shorter) and
     starts where a shingle of the document lines up with an equal one of an item of that size: other windows share no shingle, so
     their similarity is 0. Windows and items of one size whose SimHash prints are within ``RADIUS`` bits are found by equal block values after
     each item block is varied by up to ``BLOCK_RADIUS`` bits; their shingles, weighted by how often they occur, must then be similar to 0.75
     or more (smaller weights over larger weights). Ties go to the smaller start. Null or wordless texts and items match nothing. Rows that
-    repeat an id and text give one result; a null id is kept as such.
+    repeat an id and text give one result; a null id is kept as such. text_key is ``text_key(text)``, which tells rows of one id apart.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).alias("item"), _words(item_text).alias("w")).where(F.size("w") > 0)
@@ -68,8 +72,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     places = items.select("len", F.posexplode("sh").alias("q", "h")).distinct()
     if places.count() <= BROADCAST_SHINGLES:
         places = F.broadcast(places)
-    key = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    rows = docs.select(F.col(doc_id).alias("id"), key.alias("key"), _words(text).alias("w"))
+    rows = docs.select(F.col(doc_id).alias("id"), text_key(text).alias("key"), _words(text).alias("w"))
     spots = rows.select("id", "key", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"))).alias("p", "h")).join(places, "h")
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("len")))
     spots = spots.select("id", "key", F.struct("len", start.alias("start")).alias("v")).distinct()
@@ -88,5 +91,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     pairs = pairs.select("id", "key", "item", "start", "len", "hamming", low.alias("low"), high.alias("high")).where(F.col("low") * 100 >= F.col("high") * SIMILAR_PERCENT)
     best = F.max(F.struct((F.col("low") / F.col("high")).alias("similarity"), (-F.col("start")).alias("back"), F.col("len"), F.col("hamming")))
     found = pairs.groupBy("id", "key", "item").agg(best.alias("m"))
-    found = found.select(F.col("id").alias(doc_id), F.col("item").alias(item_id), (-F.col("m.back")).cast("long").alias("start_word"), F.col("m.len").cast("long").alias("n_words"), F.col("m.hamming").alias("hamming"), F.col("m.similarity").alias("similarity"))
+    found = found.select(F.col("id").alias(doc_id), F.col("key").alias("text_key"), F.col("item").alias(item_id), (-F.col("m.back")).cast("long").alias("start_word"), F.col("m.len").cast("long").alias("n_words"), F.col("m.hamming").alias("hamming"), F.col("m.similarity").alias("similarity"))
     return found.distinct()

@@ -32,7 +32,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(s))
             prints.append(_fingerprint(s) if len(s) else None)
             kept.append(s[:KEEP])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), lists(kept)], ["row_id", "n_shingles", "set_print", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), lists(kept)], ["row_id", "row_key", "n_shingles", "set_print", "sketch"])
 
 
 def _bit(prints: np.ndarray) -> np.ndarray:
@@ -153,27 +153,36 @@ def _links(docs: DataFrame, text: str, sketches: DataFrame) -> DataFrame | None:
     return labels
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row per row of ``docs``, grouped by 5-word shingle similarity of 0.75 or more.
+    """(doc_id, n_shingles, component_id, kept, row_key, stays): one row per row of ``docs``, grouped by 5-word shingle similarity of 0.75 or more.
 
     Words are runs of anything but space and 0x09-0x0D, with A-Z as a-z; a text of fewer than five words has one shingle, its whole sequence;
     a null or wordless text has none and is linked with nothing. Rows with equal shingle sets are one node, so copies are never paired. Links
     are confirmed on whole sets of 63-bit shingle hashes. component_id is the smallest doc_id of the group (a row's own id if it has no
-    words); a null id never becomes one unless the group has no other. Repeated rows give repeated results.
+    words); a null id never becomes one unless the group has no other. Repeated rows give repeated results. ``stays`` marks one distinct
+    (doc_id, text) of each group, by its ``row_key``, where ids alone would not do.
     """
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.col(doc_id).alias("row_id"), F.col(text).cast("string").alias("set_print"))
-    schema = source.select("row_id").schema.add("n_shingles", "long").add("set_print", "long").add("sketch", ArrayType(LongType()))
+    source = docs.select(F.col(doc_id).alias("row_id"), row_key(doc_id, text).alias("row_key"), F.col(text).cast("string").alias("set_print"))
+    schema = source.select("row_id", "row_key").schema.add("n_shingles", "long").add("set_print", "long").add("sketch", ArrayType(LongType()))
     rows = saved(source.mapInArrow(_sketches, schema))
     nodes = rows.where("set_print is not null").groupBy(F.col("set_print").alias("node"))
     sketches = saved(nodes.agg(F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     labels = _links(docs, text, sketches)
-    slim = rows.select("row_id", "n_shingles", "set_print")
+    slim = rows.select("row_id", "row_key", "n_shingles", "set_print")
     if labels is None:
         slim = slim.withColumn("root", F.col("set_print"))
     else:
         slim = slim.join(labels.withColumnRenamed("node", "set_print"), "set_print", "left").withColumn("root", F.coalesce("root", "set_print"))
-    least = slim.where("root is not null").groupBy("root").agg(F.min("row_id").alias("component_id"))
+    # an id of null comes last
+    first = F.min(F.struct(F.col("row_id").isNull().alias("no_id"), "row_id", "row_key"))
+    least = slim.where("root is not null").groupBy("root").agg(first.alias("first"))
     out = slim.join(least, "root", "left")
-    component = F.when(F.col("root").isNull(), F.col("row_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("row_id").alias(doc_id), "n_shingles", component.alias("component_id"), F.coalesce(F.col("row_id") == component, F.lit(False)).alias("kept"))
+    alone = F.col("root").isNull()
+    component = F.when(alone, F.col("row_id")).otherwise(F.col("first.row_id"))
+    return out.select(F.col("row_id").alias(doc_id), "n_shingles", component.alias("component_id"), F.coalesce(F.col("row_id") == component, F.lit(False)).alias("kept"),
+                      "row_key", (alone | (F.col("row_key") == F.col("first.row_key"))).alias("stays"))

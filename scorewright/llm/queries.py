@@ -36,7 +36,7 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(table(spark, folder, "documents"))
+    return near_duplicates(table(spark, folder, "documents")).drop("row_key", "stays")
 
 
 # lower case of A-Z alone, and the words of a text, in the check statements

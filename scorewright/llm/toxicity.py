@@ -17,6 +17,7 @@ PREFIXES = (4, 5, 6, 7)  # bytes of a word's beginning that are features of thei
 MAX_POSITIVE = 6_000  # confirmed examples the classifiers learn from, as a hash share of them
 MAX_UNLABELLED = 12_000  # unlabelled texts they learn from, likewise
 CLASSIFIERS = 3
+LEAST_CONFIRMED = 300  # confirmed texts for each classifier, else there are fewer
 LEAST_SHARE = 0.01  # of the confirmed texts that have a feature: rarer ones come from copies and shared passages
 LEAST_RATIO = 3.0  # how much more often confirmed texts have a feature than unlabelled ones, which hold the class too
 MAX_FEATURES = 50_000
@@ -118,7 +119,7 @@ class Classifier:
                     slope[a:] = yes[a:] / b
                 else:
                     slope[:a] = prior / a * (yes[:a] - 1)
-                g = np.bincount(flat, slope[owner], len(weights))
+                g = np.bincount(flat, slope[owner], len(weights)).astype(np.float64)
                 g[-1] = slope.sum()
                 g[:-1] += decay * weights[:-1]
                 step += 1
@@ -141,7 +142,8 @@ def _train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: st
     # the list of confirmed ids is bounded by MAX_POSITIVE
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where(~held_out("id", folds, fold))
     rows = rows.join(F.broadcast(sure), F.col("id") == F.col("__sure"), "left")
-    spread = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(CLASSIFIERS)).cast("int")
+    bags = max(1, min(CLASSIFIERS, n_yes // LEAST_CONFIRMED))
+    spread = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(bags)).cast("int")
     drawn = hash_share("id", MAX_UNLABELLED / max(n_docs, 1), 2)
     confirmed = F.col("__sure").isNotNull()
     # a confirmed text that is also drawn counts on both sides, as the risk asks
