@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scorewright.llm.tables import saved
+
 SHINGLE = 5
 SIMILAR_PERCENT = 75
 BITS = 64
@@ -69,20 +71,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).alias("item"), _words(item_text).alias("w")).where(F.size("w") > 0)
     items = items.select("item", F.size("w").alias("len"), _shingles(F.col("w")).alias("sh"))
+    # written first: else the optimiser pushes tests on the prints below and computes them again from the text
+    items = saved(items.select("*", _simhash(F.col("sh")).alias("item_print")))
     places = items.select("len", F.posexplode("sh").alias("q", "h")).distinct()
     if places.count() <= BROADCAST_SHINGLES:
         places = F.broadcast(places)
-    rows = docs.select(F.col(doc_id).alias("id"), text_key(text).alias("key"), _words(text).alias("w"))
-    spots = rows.select("id", "key", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"))).alias("p", "h")).join(places, "h")
+    rows = docs.select(F.col(doc_id).alias("id"), text_key(text).alias("key"), F.col(text).cast("string").alias("text"))
+    spots = rows.select("id", "key", _words("text").alias("w"))
+    spots = spots.select("id", "key", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"))).alias("p", "h")).join(places, "h")
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("len")))
     spots = spots.select("id", "key", F.struct("len", start.alias("start")).alias("v")).distinct()
     spots = spots.groupBy("id", "key").agg(F.collect_set("v").alias("vs"))
-    # only the documents with a lined-up shingle keep their words
+    # only the documents with a lined-up shingle are cut into windows
     held = rows.withColumnRenamed("id", "row").withColumnRenamed("key", "row_key").join(spots, F.col("row").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key")))
-    windows = held.select("id", "key", "w", F.explode("vs").alias("v")).select("id", "key", "v.len", "v.start", F.slice("w", F.col("v.start") + 1, F.col("v.len")).alias("w"))
+    windows = held.select("id", "key", _words("text").alias("w"), "vs").select("id", "key", "w", F.explode("vs").alias("v"))
+    windows = windows.select("id", "key", "v.len", "v.start", F.slice("w", F.col("v.start") + 1, F.col("v.len")).alias("w"))
     windows = windows.select("id", "key", "len", "start", _shingles(F.col("w")).alias("own"))
-    windows = windows.select("*", _simhash(F.col("own")).alias("print"))
-    sought = items.select("item", "len", "sh", _simhash(F.col("sh")).alias("item_print")).select("item", "len", "sh", "item_print", F.explode(_blocks(F.col("item_print"))).alias("b"))
+    windows = saved(windows.select("*", _simhash(F.col("own")).alias("print")))
+    sought = items.select("item", "len", "sh", "item_print", F.explode(_blocks(F.col("item_print"))).alias("b"))
     sought = sought.join(F.broadcast(_near_values(spark)), F.col("b.value") == F.col("value")).select("item", "len", "sh", "item_print", F.col("b.block").alias("block"), F.col("near").alias("at"))
     probes = windows.select("*", F.explode(_blocks(F.col("print"))).alias("b")).select("id", "key", "len", "start", "own", "print", F.col("b.block").alias("block"), F.col("b.value").alias("at"))
     apart = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
