@@ -27,23 +27,24 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates; equal rows are one."""
-    stay = near_duplicates(docs).where("stays").select("row_key").distinct()
-    keyed = docs.withColumn("row_key", row_key("doc_id", "text"))
-    return keyed.join(stay, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
+    stay = near_duplicates(docs).where("stays").select(F.col("row_key").alias("__key")).distinct()
+    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
+    return keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found_id"), "text_key").distinct()
-    keyed = docs.withColumn("own_key", text_key("text"))
-    return keyed.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("own_key") == F.col("text_key")), "left_anti").select(*docs.columns)
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    keyed = docs.withColumn("__own", text_key("text"))
+    return keyed.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, each as often as it is taken: ``copy`` counts from 1. Equal rows are taken together."""
-    taken = mixed(docs).groupBy("key").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    keyed = docs.withColumn("key", row_key("doc_id", "text")).join(taken, "key").dropDuplicates(["key"])
-    return keyed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns, "copy")
+    taken = mixed(docs).groupBy(F.col("key").alias("__key")).agg(F.sum("copies").alias("__copies")).where("__copies > 0")
+    keyed = docs.withColumn("__key", row_key("doc_id", "text")).join(taken, "__key").dropDuplicates(["__key"])
+    copy = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy")
+    return keyed.select(*[c for c in docs.columns if c != "copy"], copy)
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", cut_repeated_lines), ("near duplicates", keep_one_of_each), ("decontamination", drop_contaminated), ("mixing", mix)]
