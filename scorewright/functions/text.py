@@ -280,10 +280,10 @@ def build_judge_prompts(question: Column, options: Column, prediction: Column, k
             .otherwise(filled["choice"]))
 
 
-def normalise_punctuation(text: Column, max_periods: int | None = 32) -> Column:
+def normalise_punctuation(text: Column, max_periods: int | None = None) -> Column:
     """Symbols are dropped when the input has them beside a blank or holds a digit comma digit; else they turn into a blank.
 
-    Full stops that touch no digit are removed, the first ``max_periods`` of them (None = all).
+    Full stops that touch no digit are removed. ``max_periods`` is for compatibility with scorers that stop after so many of them.
     """
     def drop_symbols(s: Column) -> Column:
         out = s["t"]

@@ -13,6 +13,11 @@ from scorewright.operators.reports import grouping_report, rows
 OFFSET = 1_000_000
 
 
+def rotation_offset(top: Column) -> Column:
+    """Distance between the indices of two rotations: 1e6, grown tenfold until it exceeds the largest main index."""
+    return F.greatest(F.lit(OFFSET), F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(top, F.lit(1)))) + 1)).cast("bigint")
+
+
 def circular_expand(df: DataFrame, letters: str, offset: Column | int | None = None) -> DataFrame:
     """k rotations of every k-option row: index + offset * i, options and answer moved to their new letters.
 
@@ -21,7 +26,7 @@ def circular_expand(df: DataFrame, letters: str, offset: Column | int | None = N
     """
     if offset is None:
         top = df.agg(F.max("idx")).scalar()
-        offset = F.greatest(F.lit(OFFSET), F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(top, F.lit(1)))) + 1)).cast("bigint")
+        offset = rotation_offset(top)
     names = F.array(*[F.lit(c) for c in letters])
     texts = F.filter(F.array(*[F.col(c) for c in letters]), lambda x: x.isNotNull())
     base = df.withColumn("_t", texts).withColumn("_k", F.size("_t")).withColumn("_off", offset if isinstance(offset, Column) else F.lit(offset))
@@ -72,11 +77,20 @@ def vanilla_accuracy(predictions: DataFrame, answers: DataFrame, options: Column
     return joined.withColumn("choice", choice).withColumn("hit", F.coalesce((F.col("choice") == F.col("gold")).cast("int"), F.lit(0)))
 
 
-def circular_accuracy(predictions: DataFrame, answers: DataFrame, options: Column | None = None, offset: int = OFFSET) -> DataFrame:
-    """A main row hits only when all its rotations do; unresolved rotations miss."""
+def circular_accuracy(predictions: DataFrame, answers: DataFrame, options: Column | None = None, offset: Column | int | None = None) -> DataFrame:
+    """A main row hits only when all its rotations do; unresolved rotations miss.
+
+    Rotations of a question share ``g_index``, which ``circular_expand`` carries on the answers. Predictions and answers without it need the
+    ``offset`` of the expansion; it is not to be told from the indices, as the largest of them may be a main or a rotated one.
+    """
     scored = vanilla_accuracy(predictions, answers, options)
     if "g_index" not in scored.columns:
-        scored = scored.withColumn("g_index", F.col("idx") % offset)
+        if "g_index" in answers.columns:
+            scored = scored.join(answers.select("idx", "g_index"), "idx")
+        elif offset is None:
+            raise ValueError("answers carry g_index, or the offset of the expansion is given")
+        else:
+            scored = scored.withColumn("g_index", F.col("idx") % (offset if isinstance(offset, Column) else F.lit(offset)))
     groups = scored.groupBy("g_index").agg(F.min("hit").alias("group_hit"), rows("rotations"))
     main = scored.filter(F.col("idx") == F.col("g_index")).drop("hit")
     return main.join(groups, "g_index").withColumnRenamed("group_hit", "hit")

@@ -44,12 +44,19 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, width: float) -> D
 
 
 def covered(spans: DataFrame, points: DataFrame, key: str, width: float) -> DataFrame:
-    """Spans (key, start, end, ...) with a point (key, t) strictly inside, found bin by bin."""
-    ids = [c for c in spans.columns]
-    cut = spans.withColumn("_bin", _bins(F.col("start"), F.col("end"), width))
-    inside = points.select(F.col(key), F.col("t").alias("_t"), F.floor(F.col("t") / width).alias("_bin")).distinct()
-    hit = cut.join(inside, [key, "_bin"]).filter((F.col("_t") > F.col("start")) & (F.col("_t") < F.col("end")))
-    return hit.select(*ids).distinct()
+    """Spans (key, start, end, ...) with a point (key, t) strictly inside; equal spans all stay.
+
+    A span meets the list of distinct points of each of its bins, not the points row by row.
+    """
+    bin_of = lambda at: F.floor(at / width)
+    held = points.select(F.col(key), F.col("t").cast("double").alias("_t")).where("_t IS NOT NULL").groupBy(key, bin_of(F.col("_t")).alias("_bin")).agg(
+        F.sort_array(F.collect_set("_t")).alias("_ts"))
+    tagged = spans.withColumn("_id", F.struct(*spans.columns))
+    per = tagged.groupBy(key, "_id").agg(F.count(F.lit(1)).alias("_times"))
+    cut = per.withColumn("_bin", _bins(F.col("_id.start"), F.col("_id.end"), width)).join(held, [key, "_bin"])
+    inside = F.exists("_ts", lambda t: (t > F.col("_id.start")) & (t < F.col("_id.end")))
+    hit = cut.filter(inside).groupBy(key, "_id").agg(F.first("_times").alias("_times"))
+    return hit.select("_id.*", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select(*spans.columns)
 
 
 def merge_by_time(frames: DataFrame, subtitles: DataFrame, key: str, width: float) -> DataFrame:

@@ -39,18 +39,19 @@ def map_labels(df: DataFrame, column: str, names: Mapping[str, str]) -> DataFram
     return df.join(F.broadcast(table), column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
-def missing_pairs(left: DataFrame, a: str, right: DataFrame, b: str, done: DataFrame) -> DataFrame:
+def missing_pairs(left: DataFrame, a: str, right: DataFrame, b: str, done: DataFrame, chunk: int = 4096) -> DataFrame:
     """All (a, b) without a row in ``done``.
 
-    Both lists are short dimensions: the second one is gathered to one array (limit checked) and each ``a`` lists the
-    values it lacks, so no table is crossed.
+    The second list is cut into numbered chunks of about ``chunk`` values by a hash. A left value meets a chunk, not a value, and lists
+    what the chunk holds and ``done`` lacks, so the pairs that come out are the only ones formed.
     """
-    names = right.select(b).distinct()
-    count = names.count()
-    if count > 100_000:
-        raise ValueError(f"{count} values of {b}: too many for a completeness matrix")
-    every = names.agg(F.sort_array(F.collect_set(b))).scalar()
-    have = done.select(a, b).distinct().groupBy(a).agg(F.collect_set(b).alias("_have"))
-    rows = left.select(a).distinct().join(have, a, "left").withColumn("_all", every)
-    lacking = F.array_except("_all", F.coalesce("_have", F.array().cast(names.schema[0].dataType.simpleString().join(["array<", ">"]))))
-    return rows.select(a, F.explode(lacking).alias(b))
+    names = right.select(b).where(F.col(b).isNotNull()).distinct()
+    # one number passes the driver
+    chunks = max(1, -(-names.count() // chunk))
+    number = F.pmod(F.xxhash64(b), F.lit(chunks)).cast("int").alias("_chunk")
+    every = names.groupBy(number).agg(F.sort_array(F.collect_list(b)).alias("_all"))
+    have = done.select(a, b).where(F.col(b).isNotNull()).distinct().groupBy(a, number).agg(F.collect_list(b).alias("_have"))
+    keys = left.select(a).distinct().select(a, F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"))
+    rows = keys.join(every, "_chunk").join(have, [a, "_chunk"], "left")
+    empty = F.array().cast(f"array<{names.schema[0].dataType.simpleString()}>")
+    return rows.select(a, F.explode(F.array_except("_all", F.coalesce("_have", empty))).alias(b))

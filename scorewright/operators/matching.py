@@ -8,7 +8,7 @@ from scorewright.functions.score import edit_ratio, matcher_ratio
 from scorewright.session import ensure_checkpoint_dir
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root) of every linked id, root = smallest id of its connected group.
 
     Each round takes the smallest root among the neighbours and then jumps to the root's root; the table is cut from its
@@ -19,7 +19,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     edges = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
     edges = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().checkpoint()
     roots = edges.groupBy(F.col("x").alias("id")).agg(F.least(F.first("x"), F.min("y")).alias("root")).checkpoint()
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(roots, F.col("y") == F.col("id")).groupBy("x").agg(F.min("root").alias("near"))
         lower = roots.join(near, F.col("id") == F.col("x"), "left").select("id", "root", F.least("root", F.coalesce("near", "root")).alias("low"))
         up = roots.select(F.col("id").alias("_id"), F.col("root").alias("_up"))
@@ -28,7 +28,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         roots = moved.select("id", "root")
         if done:
             return roots
-    raise RuntimeError(f"groups still changing after {max_rounds} rounds")
 
 
 def merge_linked_fragments(nodes: DataFrame, links: DataFrame) -> DataFrame:

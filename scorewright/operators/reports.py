@@ -62,19 +62,16 @@ def accuracy_report(df: DataFrame, hit: str = "hit", names: Mapping[str, str] |
 def two_level_report(df: DataFrame, hit: str = "hit") -> DataFrame:
     """Category means; l2_category = unweighted mean of its category means; the extra split ALL holds every row."""
     df = split_or_none(df)
-    both = grouping_report(df, {"ALL": ["category", "l2_category"], "split": ["split", "category", "l2_category"],
-                                "ALL_all": [], "split_all": ["split"]}, [mean(hit, "acc"), rows()])
-    parts = F.split("value", "/")
-    per_split = F.col("dim").startswith("split")
-    flat = both.select(
-        F.when(per_split, parts[0]).otherwise("ALL").alias("split"),
-        F.when(F.col("dim") == "split", parts[1]).when(F.col("dim") == "ALL", parts[0]).alias("category"),
-        F.when(F.col("dim") == "split", parts[2]).when(F.col("dim") == "ALL", parts[1]).alias("l2_category"), "acc", "n")
-    overall = flat.filter(F.col("category").isNull()).select("split", F.lit("overall").alias("dim"), F.lit("all").alias("value"), "acc")
-    cells = flat.filter(F.col("category").isNotNull())
+    sets = [["category", "l2_category"], ["split", "category", "l2_category"], [], ["split"]]
+    both = df.groupingSets([[F.col(c) for c in s] for s in sets], "split", "category", "l2_category").agg(
+        mean(hit, "acc"), rows(), F.grouping("split").alias("_every"), F.grouping("category").alias("_total"))
+    flat = both.withColumn("split", F.when(F.col("_every") == 1, "ALL").otherwise(F.col("split")))
+    overall = flat.filter("_total = 1").select("split", F.lit("overall").alias("dim"), F.lit("all").alias("value"), "acc")
+    cells = flat.filter("_total = 0").select("split", "category", "l2_category", "acc", "n")
     per_category = cells.groupBy("split", "category").agg((F.sum(F.col("acc") * F.col("n")) / F.sum("n")).alias("acc"))
     categories = per_category.select("split", F.lit("category").alias("dim"), F.col("category").alias("value"), "acc")
-    members = cells.select("split", "category", "l2_category").join(per_category, ["split", "category"])
+    other = per_category.select(F.col("split").alias("_s"), F.col("category").alias("_c"), F.col("acc"))
+    members = cells.select("split", "category", "l2_category").join(other, F.col("split").eqNullSafe(F.col("_s")) & F.col("category").eqNullSafe(F.col("_c")))
     level2 = members.groupBy("split", "l2_category").agg(F.avg("acc").alias("acc")).select(
         "split", F.lit("l2_category").alias("dim"), F.col("l2_category").alias("value"), "acc")
     return overall.unionByName(categories).unionByName(level2)
@@ -277,10 +274,11 @@ def type_rating(df: DataFrame, kind: Column) -> DataFrame:
 
 def success_total_rollup(df: DataFrame) -> DataFrame:
     """(dim, task_type, success, overall) rows kept and summed by dimension, by task and over all; acc in % to two places."""
-    long = grouping_report(df, {"row": ["dim", "task_type"], "dim": ["dim"], "task": ["task_type"], "overall": []},
-                           [F.sum("success").alias("success"), F.sum("overall").alias("total")])
-    key = F.when(F.col("dim") == "row", F.replace("value", F.lit("/"), F.lit(". "))).when(F.col("dim") == "overall", "overall").otherwise(F.col("value"))
-    return long.select(F.col("dim").alias("level"), key.alias("key"), "success", "total", F.round(F.col("success") / F.col("total") * 100, 2).alias("acc"))
+    cube = df.cube("dim", "task_type").agg(F.sum("success").alias("success"), F.sum("overall").alias("total"), F.grouping_id().alias("_gid"))
+    level = F.element_at(F.array(F.lit("row"), F.lit("dim"), F.lit("task"), F.lit("overall")), (F.col("_gid") + 1).cast("int"))
+    long = cube.withColumn("level", level)
+    key = F.when(F.col("level") == "row", F.concat_ws(". ", "dim", "task_type")).when(F.col("level") == "overall", "overall").otherwise(F.coalesce("dim", "task_type"))
+    return long.select("level", key.alias("key"), "success", "total", F.round(F.col("success") / F.col("total") * 100, 2).alias("acc"))
 
 
 def macro_over_sources(df: DataFrame, hit: str = "hit", source: str = "source") -> DataFrame:

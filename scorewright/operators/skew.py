@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -115,21 +116,26 @@ def with_halo(df: DataFrame, position: str, before: int, after: int, chunk_rows:
     return df.withColumn("_chunk", F.explode(F.sequence(first, last))).withColumn("_own", F.col("_chunk") == own)
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 32) -> DataFrame:
-    """Equi join whose hot keys on the ``big`` side are spread over ``salts`` copies of the matching ``small`` rows.
+def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", rows: int = 1_000_000) -> DataFrame:
+    """Equi join whose hot keys on the ``big`` side are spread over copies of the matching ``small`` rows.
 
-    Only hot keys are copied. The hot list has at most 1/HOT_SHARE rows by definition, so broadcasting it is safe.
+    Only keys above HOT_SHARE are spread, so the list that is broadcast has at most 1/HOT_SHARE rows; each gets one salt per ``rows`` of its rows.
+    The salt is a hash of the row, so a stage that runs again deals the same way. Rows with a null key match nothing and stay out of the join.
     ``how`` is inner, left, left_semi or left_anti (each big row meets exactly one copy).
     """
     on = list(on)
-    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    keyed = big.filter(whole)
+    counts = keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     limit = counts.agg(F.sum("_n") * F.lit(HOT_SHARE)).scalar()
-    hot = counts.filter(F.col("_n") > F.greatest(limit, F.lit(10000.0))).select(*on, F.lit(True).alias("_hot"))
-    spread = big.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.floor(F.rand(7) * salts)).otherwise(F.lit(0)).cast("int")).drop("_hot")
-    copies = small.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return spread.join(copies, [*on, "_salt"], how).drop("_salt")
+    hot = counts.filter(F.col("_n") > limit).select(*on, F.greatest(F.lit(2), F.ceil(F.col("_n") / rows)).cast("int").alias("_salts"))
+    salt = F.pmod(F.xxhash64(*[c for c, kind in big.dtypes if "map<" not in kind]), F.coalesce("_salts", F.lit(1))).cast("int")
+    dealt = keyed.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_salts")
+    copies = small.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    joined = dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+    if how in ("inner", "left_semi"):
+        return joined
+    return joined.unionByName(big.filter(~whole), allowMissingColumns=True)
 
 
 def unit_hash(*parts: Column, seed: str = "0") -> Column:

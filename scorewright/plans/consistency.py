@@ -47,7 +47,7 @@ def all_correct_by_key(t):
 
 
 # rotations of an order line group: the order key is the main index, the line number the rotation
-ROTATED = "l_orderkey + 1000000 * (l_linenumber - 1) AS idx, substr('ABCD', CAST(l_suppkey % 4 + 1 AS INTEGER), 1) AS answer, concat('The answer is ', substr('ABCD', CAST((l_suppkey + CASE WHEN l_partkey % 9 = 0 THEN 1 ELSE 0 END) % 4 + 1 AS INTEGER), 1), CASE WHEN l_partkey % 50 = 0 THEN ' or D' ELSE '.' END) AS prediction, l_returnflag, l_partkey"
+ROTATED = "l_orderkey + 10000000000 * (l_linenumber - 1) AS idx, l_orderkey AS g_index, substr('ABCD', CAST(l_suppkey % 4 + 1 AS INTEGER), 1) AS answer, concat('The answer is ', substr('ABCD', CAST((l_suppkey + CASE WHEN l_partkey % 9 = 0 THEN 1 ELSE 0 END) % 4 + 1 AS INTEGER), 1), CASE WHEN l_partkey % 50 = 0 THEN ' or D' ELSE '.' END) AS prediction, l_returnflag, l_partkey"
 
 
 def _letters():
@@ -55,11 +55,11 @@ def _letters():
 
 
 @query("g04_circular_accuracy", over("lineitem", ROTATED, """, u AS (SELECT idx, min(answer) AS answer, min(prediction) AS prediction FROM d GROUP BY idx),
- s AS (SELECT idx, idx % 1000000 AS g, CASE WHEN len(list_intersect(['A','B','C','D'], string_split(translate(prediction, '.', ' '), ' '))) = 1 AND list_contains(string_split(translate(prediction, '.', ' '), ' '), answer) THEN 1 ELSE 0 END AS hit FROM u),
+ s AS (SELECT idx, idx % 10000000000 AS g, CASE WHEN len(list_intersect(['A','B','C','D'], string_split(translate(prediction, '.', ' '), ' '))) = 1 AND list_contains(string_split(translate(prediction, '.', ' '), ' '), answer) THEN 1 ELSE 0 END AS hit FROM u),
  g AS (SELECT g, min(hit) AS hit, count(*) AS rotations FROM s GROUP BY g) SELECT s.idx, g.hit, g.rotations FROM s JOIN g ON s.idx = g.g"""), ints="idx hit rotations")
 def circular_accuracy(t):
-    rows = t.derive("lineitem", ROTATED).groupBy("idx").agg(F.min("answer").alias("answer"), F.min("prediction").alias("prediction"))
-    return C.circular_accuracy(rows.select("idx", "prediction"), rows.select("idx", "answer"), _letters()).select("idx", "hit", "rotations")
+    rows = t.derive("lineitem", ROTATED).groupBy("idx", "g_index").agg(F.min("answer").alias("answer"), F.min("prediction").alias("prediction"))
+    return C.circular_accuracy(rows.select("idx", "prediction"), rows.select("idx", "g_index", "answer"), _letters()).select("idx", "hit", "rotations")
 
 
 PRED = "item_id AS idx, concat('Option ', substr('ABCD', CAST(length(text) % 4 + 1 AS INTEGER), 1), ' fits.') AS prediction"

@@ -15,13 +15,14 @@ def accuracy_report(t):
     return R.accuracy_report(t.derive("orders", ORDERS))
 
 
-WIDE = "1-URGENT 2-HIGH 3-MEDIUM 5-LOW".split()
+WIDE = "1-URGENT 2-HIGH 3-MEDIUM 4-NONE 5-LOW".split()
+SHORT_NAMES = {"all": "Overall", "4-NOT SPECIFIED": "4-NONE"}
 
 
 @query("f01_accuracy_report_wide", over("orders", ORDERS, "SELECT split, avg(hit) AS Overall, " + ", ".join(
-    f"avg(CASE WHEN category = '{c}' THEN hit END) AS \"{c}\"" for c in WIDE) + " FROM d GROUP BY split"), "Overall " + " ".join(WIDE))
+    f"avg(CASE WHEN category = '{c.replace('4-NONE', '4-NOT SPECIFIED')}' THEN hit END) AS \"{c}\"" for c in WIDE) + " FROM d GROUP BY split"), "Overall " + " ".join(WIDE))
 def accuracy_report_wide(t):
-    long = R.accuracy_report(t.derive("orders", ORDERS), names={"all": "Overall"})
+    long = R.accuracy_report(t.derive("orders", ORDERS), names=SHORT_NAMES)
     return R.widen(long, ["split"], "value", "acc", ["Overall", *WIDE])
 
 

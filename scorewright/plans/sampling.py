@@ -25,23 +25,23 @@ def resample_shards(t):
     return P.resample_shards(t.documents.select("source").distinct(), "source", 500)
 
 
-WEIGHTS = {"en": 0.5, "de": 0.3, "fr": 0.2}
+WEIGHTS = {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}
 
 
 def _mix_sql(choice):
-    return f"""WITH s AS (SELECT i AS step, {unit_sql('i', seed='9')} AS u FROM range(3000) r(i)), p AS (SELECT step, {choice} AS lang FROM s), k AS (SELECT step, lang, row_number() OVER (PARTITION BY lang ORDER BY step) - 1 AS turn FROM p),
+    return f"""WITH s AS (SELECT i AS step, {unit_sql('i', seed='9')} AS u FROM range((SELECT count(*) FROM documents)) r(i)), p AS (SELECT step, {choice} AS lang FROM s), k AS (SELECT step, lang, row_number() OVER (PARTITION BY lang ORDER BY step) - 1 AS turn FROM p),
      d AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {unit_sql('doc_id', seed='9')}, doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT step, lang, doc_id FROM k JOIN d USING (lang) WHERE d.i = k.turn % d.n"""
 
 
-@query("i03_mix_sources", _mix_sql("CASE WHEN u < 0.5 THEN 'en' WHEN u < 0.8 THEN 'de' ELSE 'fr' END"), ints="step")
+@query("i03_mix_sources", _mix_sql("CASE WHEN u < 0.4 THEN 'en' WHEN u < 0.7 THEN 'de' WHEN u < 0.9 THEN 'fr' ELSE 'es' END"), ints="step")
 def mix_sources(t):
-    return P.mix_sources(t.documents.select("lang", "doc_id"), "lang", "doc_id", WEIGHTS, 3000, seed="9")
+    return P.mix_sources(t.documents.select("lang", "doc_id"), "lang", "doc_id", WEIGHTS, t.documents.count(), seed="9")
 
 
-@query("i03_mix_sources_two_level", _mix_sql("CASE WHEN u < 0.25 THEN 'en' WHEN u < 0.625 THEN 'de' ELSE 'fr' END"), ints="step")
+@query("i03_mix_sources_two_level", _mix_sql("CASE WHEN u < 0.125 THEN 'en' WHEN u < 0.5 THEN 'de' WHEN u < 0.875 THEN 'fr' ELSE 'es' END"), ints="step")
 def mix_sources_two_level(t):
-    tasks = {"en": "caption", "de": "chat", "fr": "chat"}
-    return P.mix_sources(t.documents.select("lang", "doc_id"), "lang", "doc_id", {"en": 1.0, "de": 2.0, "fr": 2.0}, 3000, seed="9", tasks=tasks, task_weights={"caption": 1.0, "chat": 3.0})
+    tasks = {"en": "caption", "de": "chat", "fr": "chat", "es": "caption"}
+    return P.mix_sources(t.documents.select("lang", "doc_id"), "lang", "doc_id", {"en": 1.0, "de": 2.0, "fr": 2.0, "es": 1.0}, t.documents.count(), seed="9", tasks=tasks, task_weights={"caption": 1.0, "chat": 3.0})
 
 
 def _sources(t):

@@ -23,18 +23,18 @@ def scored(name, table, select, sql, column, cte="", doubles="score", **kw):
 PASS = f"item_id AS idx, CASE item_id % 3 WHEN 0 THEN upper({plain('text')}) WHEN 1 THEN concat('  ', {plain('text')}, ' ') ELSE concat(text, '.') END AS pred, {plain('text')} AS gold"
 scored("d01_exact", "benchmark", PASS, "CASE WHEN lower(trim(pred)) = lower(trim(gold)) THEN 1.0 ELSE 0 END", lambda: S.exact(c("pred"), c("gold")))
 
-# each document is asked for two passages by position; passages occur inside some documents
-DOCS = "doc_id AS idx, text AS pred, doc_id % 40 AS item_id, lang"
+# each document is asked for one passage by position, over all passages; passages occur inside some documents
 
 
-@query("d02_contains_answer", """WITH g AS (SELECT item_id, text FROM benchmark), p AS (SELECT doc_id AS idx, text AS pred, doc_id % 40 AS item_id FROM documents)
- SELECT idx, CASE WHEN contains(lower(replace(trim(pred), chr(10), ' ')), lower(replace(trim(g.text), chr(10), ' '))) OR contains(lower(replace(trim(pred), chr(10), ' ')), lower(substr(g.text, 1, 12))) THEN 1.0 ELSE 0 END AS score,
- CASE WHEN contains(replace(replace(trim(pred), chr(10), ' '), ' ', ''), replace(replace(substr(trim(g.text), 1, 12), chr(10), ' '), ' ', '')) THEN 1.0 ELSE 0 END AS formula FROM p JOIN g USING (item_id)""", "score formula")
+@query("d02_contains_answer", """WITH g AS (SELECT item_id, text FROM benchmark), p AS (SELECT doc_id AS idx, text AS pred, doc_id % (SELECT count(*) FROM benchmark) AS item_id FROM documents)
+ SELECT idx, CASE WHEN contains(lower(replace(trim(pred), chr(10), ' ')), lower(replace(trim(g.text), chr(10), ' '))) OR contains(lower(replace(trim(pred), chr(10), ' ')), lower(replace(trim(g.text || '.'), chr(10), ' '))) THEN 1.0 ELSE 0 END AS score,
+ CASE WHEN contains(replace(replace(trim(pred), chr(10), ' '), ' ', ''), replace(replace(trim(g.text), chr(10), ' '), ' ', '')) THEN 1.0 ELSE 0 END AS formula FROM p JOIN g USING (item_id)""", "score formula")
 def contains_answer(t):
     gold = t.benchmark.select("item_id", c("text").alias("gold"))
-    df = t.derive("documents", DOCS).join(gold, "item_id")
-    golds = F.array(c("gold"), F.substring("gold", 1, 12))
-    return df.select("idx", S.contains_answer(c("pred"), golds).alias("score"), S.contains_answer(c("pred"), F.array(F.substring(F.trim("gold"), 1, 12)), formula=True).alias("formula"))
+    items = t.benchmark.agg(F.count(F.lit(1))).scalar()
+    df = t.documents.select(c("doc_id").alias("idx"), c("text").alias("pred"), (c("doc_id") % items).alias("item_id")).join(gold, "item_id")
+    golds = F.array(c("gold"), F.concat("gold", F.lit(".")))
+    return df.select("idx", S.contains_answer(c("pred"), golds).alias("score"), S.contains_answer(c("pred"), F.array(F.trim("gold")), formula=True).alias("formula"))
 
 
 VOTES = "o_orderkey AS idx, concat('w', CAST(o_custkey % 3 AS VARCHAR(9))) AS pred, concat('w', CAST(o_orderkey % 3 AS VARCHAR(9))) AS a, concat('w', CAST(o_orderkey % 2 AS VARCHAR(9))) AS b, 'w1' AS e, concat('w', CAST(o_custkey % 2 AS VARCHAR(9))) AS f"
@@ -47,7 +47,7 @@ def consensus(t):
     return df.select("idx", *[F.get("m", F.lit(i)).alias(f"m{i}") for i in range(4)])
 
 
-NORM = "item_id AS idx, concat(substr(text, 1, 40), ' The one') AS pred, concat(substr(text, 1, 40), ' 1!') AS a, substr(text, 1, 40) AS b"
+NORM = "item_id AS idx, concat(text, ' The one') AS pred, concat(text, ' 1!') AS a, text AS b"
 
 
 @query("d03_vqa_consensus", over("benchmark", NORM, f"SELECT idx, CASE WHEN {normalise_sql('pred')} = {normalise_sql('a')} THEN 0 ELSE 0 END + least(1.0, (CASE WHEN {normalise_sql('pred')} = {normalise_sql('b')} THEN 1 ELSE 0 END) / 3) AS m0, least(1.0, (CASE WHEN {normalise_sql('pred')} = {normalise_sql('a')} THEN 1 ELSE 0 END) / 3) AS m1 FROM d"), "m0 m1")
@@ -62,7 +62,7 @@ def default_vqa(t):
     return df.select("idx", F.get("m", F.lit(0)).alias("m0"), F.get("m", F.lit(1)).alias("m1"))
 
 
-TURNS = f"conv_id * 100 + turn AS idx, {plain('text')} AS gold, concat(' ', upper(substr({plain('text')}, 1, 30)), replace(substr({plain('text')}, 31), 'e', CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'e' END)) AS pred"
+TURNS = f"concat(CAST(conv_id AS VARCHAR(20)), ':', CAST(turn AS VARCHAR(20))) AS idx, {plain('text')} AS gold, concat(' ', upper(substr({plain('text')}, 1, 30)), replace(substr({plain('text')}, 31), 'e', CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'e' END)) AS pred"
 _FOLD = lambda x: f"array_to_string(list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda w: w <> ''), ' ')"
 _LONG = "greatest(length(gold), length(pred))"
 
@@ -72,7 +72,7 @@ def edit_ratio(t):
     return t.derive("conversations", TURNS, deal=True).select("idx", S.edit_ratio(c("gold"), c("pred")).alias("score"))
 
 
-SHORT = f"conv_id * 100 + turn AS idx, substr({plain('text')}, 1, 20) AS gold, substr(replace({plain('text')}, 'e', CASE WHEN turn % 2 = 0 THEN '' ELSE 'xx' END), 1, CASE WHEN conv_id % 2 = 0 THEN 20 ELSE 10 END) AS pred"
+SHORT = f"concat(CAST(conv_id AS VARCHAR(20)), ':', CAST(turn AS VARCHAR(20))) AS idx, {plain('text')} AS gold, replace({plain('text')}, CASE WHEN conv_id % 2 = 0 THEN 'e' ELSE ' ' END, CASE WHEN turn % 2 = 0 THEN '' ELSE 'xx' END) AS pred"
 _A = f"CASE WHEN {_LONG} = 0 THEN 1.0 ELSE 1 - levenshtein(gold, pred) / {_LONG} END"
 
 
@@ -145,7 +145,7 @@ def bag_overlap(t):
     return matching.bag_overlap(t.derive("documents", BAGS, deal=True), "idx", words(c("gold")), words(c("pred")))
 
 
-MEMBER = "doc_id AS idx, text AS gold, lower(substr(text, 1, 400)) AS pred"
+MEMBER = "doc_id AS idx, text AS gold, lower(text) AS pred"
 scored("d14_token_f1", "documents", MEMBER, f"(SELECT CASE WHEN z.h = 0 OR z.h IS NULL THEN 0.0 ELSE 2 * (z.h / z.g) * (z.h / z.p) / (z.h / z.g + z.h / z.p) END FROM (SELECT len(list_filter({_TOK('pred')}, lambda w: list_contains({_TOK('gold')}, w))) AS h, len({_TOK('gold')}) AS g, len({_TOK('pred')}) AS p) z)", lambda: S.token_f1(c("gold"), c("pred")))
 
 _SETS = lambda x: f"list_distinct({_TOK(x)})"
@@ -245,7 +245,7 @@ POINTS = "o_orderkey AS idx, o_custkey % 100 / 100e0 AS x, o_orderkey % 100 / 10
 scored("d21_coordinate_sequence", "orders", POINTS, "CASE WHEN idx % 10 = 0 THEN 0 ELSE (exp(-10 * e / sqrt(2)) + exp(-10 * sqrt(2) * e / sqrt(2))) / 2 END",
        lambda: S.coordinate_sequence(F.when(c("idx") % 10 == 0, F.array(F.array("x", "y"))).otherwise(F.array(F.array(c("x") + c("e"), c("y")), F.array(c("y") - c("e"), c("x") + c("e")))), F.array(F.array("x", "y"), F.array("y", "x"))))
 
-BOX = "l_orderkey * 1000000 + l_partkey AS idx, l_linenumber, l_quantity AS x, l_discount * 100 AS y, l_tax * 100 AS dx, l_quantity / 2 AS w, 10e0 AS h"
+BOX = "l_orderkey * 1000000000 + l_partkey AS idx, l_linenumber, l_quantity AS x, l_discount * 100 AS y, l_tax * 100 AS dx, l_quantity / 2 AS w, 10e0 AS h"
 _IW = "greatest(0, least(x + w, x + dx + w) - greatest(x, x + dx))"
 
 
@@ -333,7 +333,7 @@ def penalised_fact_score(t):
     return facts.select("idx", (c("s") * S.fact_penalty(c("n"))).alias("score"))
 
 
-NGRAM = "conv_id * 100 + turn AS idx, concat(split_part({0}, ' ', 3), ' ', split_part({0}, ' ', 4), ' ', split_part({0}, ' ', 6)) AS needle, {0} AS hay".format(plain("text"))
+NGRAM = "concat(CAST(conv_id AS VARCHAR(20)), ':', CAST(turn AS VARCHAR(20))) AS idx, concat(split_part({0}, ' ', 3), ' ', split_part({0}, ' ', 4), ' ', split_part({0}, ' ', 6)) AS needle, {0} AS hay".format(plain("text"))
 
 
 @query("d33_best_ngram_match", over("conversations", NGRAM, f""", k AS (SELECT idx, needle, {_TOK('needle')} AS w, {_TOK('hay')} AS h FROM d), n AS (SELECT *, len(w) AS n FROM k),

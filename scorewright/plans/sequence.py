@@ -24,7 +24,7 @@ def vocabulary(t):
 
 @query("k01_register_tokens", f"WITH v AS ({VOC}), n AS (SELECT DISTINCT p_name AS token FROM part UNION SELECT 'the') SELECT token, id FROM v UNION ALL SELECT token, (SELECT max(id) FROM v) + row_number() OVER (ORDER BY token) FROM n WHERE token NOT IN (SELECT token FROM v)", ints="id")
 def register_tokens(t):
-    tokens = t.part.select(c("p_name").alias("token")).unionByName(t.region.limit(1).select(F.lit("the").alias("token")))
+    tokens = t.part.select(c("p_name").alias("token")).unionByName(t.spark.createDataFrame([("the",)], "token string"))
     return K.register_tokens(vocabulary(t), tokens)
 
 
@@ -39,7 +39,7 @@ def encode_decode(t):
 
 # ids of a row: word length + 20 of each word, with a header end wherever a word has three letters
 _IDS = f"list_transform({_W('text')}, lambda w: CASE WHEN length(w) = 3 THEN 9 ELSE length(w) + 20 END)"
-ROWS = "conv_id * 100 + turn AS idx, text"
+ROWS = "conv_id * 1000000 + turn AS idx, text"
 
 
 def _rows(t):

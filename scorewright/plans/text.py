@@ -76,7 +76,7 @@ def drop_long(t):
     return counted.select("doc_id", "n", F.explode(modes).alias("mode"))
 
 
-MEMBERS = "page_id, CASE WHEN page_id % 3 = 0 THEN url END AS jpg, CASE WHEN page_id % 2 = 0 THEN url END AS png, CASE WHEN page_id % 5 = 0 THEN html END AS txt, substr(html, 1, 40) AS caption, url AS extra"
+MEMBERS = "page_id, CASE WHEN page_id % 3 = 0 THEN url END AS jpg, CASE WHEN page_id % 2 = 0 THEN url END AS png, CASE WHEN page_id % 5 = 0 THEN html END AS txt, html AS caption, url AS extra"
 
 
 @query("b07_coalesce_alternatives", over("pages", MEMBERS, "SELECT coalesce(jpg, png) AS images, coalesce(txt, caption) AS input_ids FROM d"))
@@ -171,7 +171,7 @@ def option_text(t):
     return df.select("idx", X.option_text(X.build_options(df)).alias("block"))
 
 
-QUESTIONS = """item_id, CASE WHEN item_id % 3 = 0 THEN concat('问', text) ELSE text END AS question, substr(text, 1, 20) AS prediction, CASE item_id % 4 WHEN 0 THEN 'yes_no' WHEN 1 THEN 'sort' ELSE 'choice' END AS kind"""
+QUESTIONS = """item_id, CASE WHEN item_id % 3 = 0 THEN concat('问', text) ELSE text END AS question, text AS prediction, CASE item_id % 4 WHEN 0 THEN 'yes_no' WHEN 1 THEN 'sort' ELSE 'choice' END AS kind"""
 
 
 def _fill_sql(name):
@@ -194,7 +194,7 @@ def punctuation_sql(text: str) -> str:
         q = quoted(p)
         out = f"replace({out}, {q}, CASE WHEN contains({text}, {q} || ' ') OR contains({text}, ' ' || {q}) OR regexp_matches({text}, '[0-9],[0-9]') THEN '' ELSE ' ' END)"
     marked = f"regexp_replace(regexp_replace({out}, '([0-9])\\.', '\\1' || chr(1), 'g'), '\\.([0-9])', chr(1) || '\\1', 'g')"
-    return f"(SELECT replace(array_to_string(z.p[1:33], '') || CASE WHEN len(z.p) > 33 THEN '.' || array_to_string(z.p[34:], '.') ELSE '' END, chr(1), '.') FROM (SELECT string_split({marked}, '.') AS p) z)"
+    return f"(SELECT replace(replace({marked}, '.', ''), chr(1), '.'))"
 
 
 @query("b19_normalise_punctuation", f"SELECT doc_id, {punctuation_sql('text')} AS text FROM documents")

@@ -9,7 +9,7 @@ c = F.col
 STEP = J.GRID_STEP
 _Q = lambda v: f"CAST(least(greatest(ceil(({v} + 100) / {STEP} - 0.5), 0), 666) AS INT)"
 _D = lambda i: f"CAST(CAST(-100 + {i} * CAST({STEP} AS DOUBLE) AS FLOAT) AS DOUBLE)"
-VALUES = "l_orderkey * 1000000 + l_partkey AS idx, l_suppkey, l_linenumber, l_extendedprice / 500 - 110 AS v, l_quantity * 4e0 - 101 AS w"
+VALUES = "l_orderkey * 1000000000 + l_partkey AS idx, l_suppkey, l_linenumber, l_extendedprice / 500 - 110 AS v, l_quantity * 4e0 - 101 AS w"
 
 
 @query("j01_quantise", over("lineitem", VALUES, f"SELECT idx, l_suppkey, l_linenumber, '<bev_' || {_Q('v')} || '>' AS token FROM d"))
@@ -17,7 +17,7 @@ def quantise(t):
     return t.derive("lineitem", VALUES).select("idx", "l_suppkey", "l_linenumber", J.quantise(c("v")).alias("token"))
 
 
-TOKENS = "l_orderkey * 1000000 + l_partkey AS idx, l_suppkey, CASE l_suppkey % 4 WHEN 0 THEN '<bev_x>' WHEN 1 THEN concat('<bev_', CAST(l_partkey % 900 AS VARCHAR(9)), '>') ELSE concat('<bev_', CAST(l_suppkey AS VARCHAR(9)), '>') END AS token"
+TOKENS = "l_orderkey * 1000000000 + l_partkey AS idx, l_suppkey, CASE l_suppkey % 4 WHEN 0 THEN '<bev_x>' WHEN 1 THEN concat('<bev_', CAST(l_partkey % 900 AS VARCHAR(9)), '>') ELSE concat('<bev_', CAST(l_suppkey AS VARCHAR(9)), '>') END AS token"
 
 
 @query("j02_dequantise", over("lineitem", TOKENS, f"SELECT idx, l_suppkey, token, CASE WHEN i BETWEEN 0 AND 666 THEN {_D('i')} END AS v FROM (SELECT *, try_cast(regexp_extract(token, '<bev_(\\d+)>', 1) AS INT) AS i FROM d)"), "v")
