@@ -482,19 +482,53 @@ def matcher_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
 
 
-def table_value(text: Column) -> Column:
-    """Comparable form of a table cell: number, date or normalised text."""
+def cell_text(text: Column) -> Column:
+    """Table cell without citations, bracketed details, outer quotes and final full stop, in lower case."""
     x = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[‘’´`]", "'"), "[“”]", '"'), "[‐‑‒–—−]", "-")
     for _ in range(2):
         x = F.regexp_replace(strip_space(x), r"((?<!^)\[[^\]]*\]|\[\d+\]|[•♦†‡*#+])*$", "")
         x = F.regexp_replace(strip_space(x), r"(?<!^)( \([^)]*\))*$", "")
         x = F.regexp_replace(strip_space(x), r'^"([^"]*)"$', "$1")
-    x = strip_space(F.lower(F.regexp_replace(F.regexp_replace(x, r"\.$", ""), r"\s+", " ")))
+    return strip_space(F.lower(F.regexp_replace(F.regexp_replace(x, r"\.$", ""), r"\s+", " ")))
+
+
+def table_value(text: Column) -> Column:
+    """Comparable form of a table cell: number, date or normalised text."""
+    x = cell_text(text)
     number = F.replace(x, F.lit(","), F.lit("")).try_cast("double")
     date = F.to_date(F.when(x.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.regexp_replace(F.regexp_replace(x, r"-(\d)(?!\d)", "-0$1"), r"-(\d)-", "-0$1-")))
     return F.coalesce(F.concat(F.lit("n:"), number.cast("string")), F.concat(F.lit("d:"), date.cast("string")), F.concat(F.lit("s:"), x))
 
 
+# Words a financial cell loses, and the powers of ten its scale words and percent sign stand for.
+FINANCE_WORDS = "dollar|gallons|square feet|shares|mbtu|mbpd|mbbls|mmbtu|unit|gwh|year|mmcf|mile|mboe"
+FINANCE_SCALES = {"thousand": 3, "million": 6, "billion": 9, "%": -2}
+
+
+def finance_values(text: Column) -> Column:
+    """(with_scale, without_scale) of a financial cell: numbers when both forms are numbers, else texts."""
+    plain = F.regexp_replace(F.translate(cell_text(text), "$(),", ""), rf"(?i)\b(?:{FINANCE_WORDS})s?\b", "")
+    scaled = free = plain
+    for word, power in FINANCE_SCALES.items():
+        form = rf" ?\b{word}\b" if word.isalpha() else f" ?{word}"
+        scaled, free = F.regexp_replace(scaled, form, f"e{power}"), F.regexp_replace(free, form, "")
+    number = lambda s: F.trim(s).try_cast("double").cast("string")
+    both = number(scaled).isNotNull() & number(free).isNotNull()
+    shown = lambda s: F.when(both, F.concat(F.lit("n:"), number(s))).otherwise(F.concat(F.lit("s:"), s))
+    return F.struct(shown(scaled).alias("with_scale"), shown(free).alias("without_scale"))
+
+
+def finance_scores(pred: Column, gold: Column) -> Column:
+    """exact: the cells are equal with their scales; relaxed: some form of one equals some form of the other."""
+    def compare(pair: Column) -> Column:
+        p, g = pair["p"], pair["g"]
+        exact = p["with_scale"] == g["with_scale"]
+        relaxed = exact | (p["with_scale"] == g["without_scale"]) | (p["without_scale"] == g["with_scale"]) | (p["without_scale"] == g["without_scale"])
+        return F.struct(exact.cast("double").alias("exact"), relaxed.cast("double").alias("relaxed"))
+
+    return let(F.struct(finance_values(pred).alias("p"), finance_values(gold).alias("g")), compare)
+
+
 def table_lists_equal(pred: Column, gold: Column) -> Column:
     """Order-free equality of cell lists as sets of values."""
     values = lambda a: F.array_sort(F.array_distinct(F.transform(a, table_value)))
@@ -532,12 +566,16 @@ def lcs_length(left: pd.Series, right: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two token lists."""
 
     def longest(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            diagonal = 0
-            for j, y in enumerate(b, 1):
-                diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-        return row[-1]
+        # one bit per token of a; a cleared bit of ``open_`` ends one more matched token, and a step takes all of a at once
+        places: dict = {}
+        for i, x in enumerate(a):
+            places[x] = places.get(x, 0) | 1 << i
+        full = (1 << len(a)) - 1
+        open_ = full
+        for y in b:
+            hit = open_ & places.get(y, 0)
+            open_ = ((open_ + hit) | (open_ - hit)) & full
+        return len(a) - open_.bit_count()
 
     return pd.Series([None if a is None or b is None else longest(list(a), list(b)) for a, b in zip(left, right)], dtype="Int32")
 

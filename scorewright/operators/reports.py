@@ -458,17 +458,20 @@ def step_precision_recall(df: DataFrame, item: str = "item") -> DataFrame:
     """Judged steps (item, side precision / recall, step_type, judgment) to precision, recall and F1 per metric.
 
     Precision = matched / (matched + wrong), recall = matched / (matched + unmatched); items without steps and items
-    scoring 0 are left out of the means, as the rule this follows does.
+    scoring 0 are left out of the means, as the rule this follows does. ``efficiency``, for all types together, is the mean share of an item's
+    precision steps that are not redundant.
     """
     n = lambda j: F.count_if(F.col("judgment") == j)
-    per = grouping_report(df, {"type": ["step_type"], "overall": []}, [n("Matched").alias("m"), n("Wrong").alias("w"), n("Unmatched").alias("u")], by=[item, "side"])
+    per = grouping_report(df, {"type": ["step_type"], "overall": []}, [n("Matched").alias("m"), n("Wrong").alias("w"), n("Unmatched").alias("u"), n("Redundant").alias("r"), rows("s")], by=[item, "side"])
     missed = F.when(F.col("side") == "precision", F.col("w")).otherwise(F.col("u"))
     value_col = F.col("m") / F.nullif(F.col("m") + missed, F.lit(0))
-    scored = per.select(F.when(F.col("dim") == "overall", "overall").otherwise(F.col("value")).alias("metric"), "side", value_col.alias("v"))
-    means = scored.filter(F.col("v") > 0).groupBy("metric").agg(
-        F.coalesce(F.avg(F.when(F.col("side") == "precision", F.col("v"))), F.lit(0.0)).alias("precision"),
-        F.coalesce(F.avg(F.when(F.col("side") == "recall", F.col("v"))), F.lit(0.0)).alias("recall"))
-    return means.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    scored = per.select(F.when(F.col("dim") == "overall", "overall").otherwise(F.col("value")).alias("metric"), "side", F.nullif(value_col, F.lit(0.0)).alias("v"), (1 - F.col("r") / F.col("s")).alias("e"))
+    precise = F.col("side") == "precision"
+    means = scored.groupBy("metric").agg(
+        F.coalesce(F.avg(F.when(precise, F.col("v"))), F.lit(0.0)).alias("precision"),
+        F.coalesce(F.avg(F.when(F.col("side") == "recall", F.col("v"))), F.lit(0.0)).alias("recall"),
+        F.avg(F.when(precise & (F.col("metric") == "overall"), F.col("e"))).alias("efficiency"), F.count("v").alias("_n"))
+    return means.filter("_n > 0").drop("_n").withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
 def staged_judgement(df: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def repeat_epochs(df: DataFrame, key: str, epochs: int, seed: str = "0") -> Data
 
 def resample_shards(shards: DataFrame, key: str, draws: int, seed: str = "0") -> DataFrame:
     """``draws`` shards with replacement: draw number i takes the shard at a hashed position."""
-    placed = ranked(shards.withColumn("_k", F.xxhash64(key)), ["_k", key], name="_i").drop("_k")
+    placed = ranked(shards.withColumn("_k", F.md5(F.col(key).cast("string"))), ["_k", key], name="_i").drop("_k")
     total = shards.agg(F.count(F.lit(1))).scalar()
     picks = shards.sparkSession.range(draws).select(F.col("id").alias("draw"), F.floor(unit_hash(F.col("id"), seed=seed) * total).alias("_i"))
     return picks.join(placed, "_i").drop("_i")

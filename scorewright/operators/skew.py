@@ -14,37 +14,44 @@ HOT_SHARE = 0.002
 
 
 def _as_number(df: DataFrame, name: str) -> Column:
-    is_time = dict(df.dtypes)[name].startswith(("timestamp", "date"))
-    return F.col(name).cast("timestamp").cast("double") if is_time else F.col(name).try_cast("double")
-
-
-def _range_number(bounds: str, value: str, fine: int) -> Column:
-    """How many cuts lie below the value, looked up in two levels of at most ``fine`` comparisons each."""
-    heads = F.filter(bounds, lambda b, i: (i % fine == 0) & (b < F.col(value)))
-    head = F.greatest(F.size(heads), F.lit(1)) - 1
+    """A number in the order of the column: times as seconds, texts by their first six bytes (longer ties meet in one bucket)."""
+    kind = dict(df.dtypes)[name]
+    if kind.startswith(("timestamp", "date")):
+        return F.col(name).cast("timestamp").cast("double")
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(name, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if kind.startswith(("decimal", "double", "float", "bigint", "int", "smallint", "tinyint", "boolean")):
+        return F.col(name).cast("double")
+    raise TypeError(f"cannot order by {name} of type {kind}")
+
+
+def _range_number(bounds: str, heads: str, value: str, fine: int) -> Column:
+    """How many cuts lie below the value: first among every ``fine``-th cut, then among the ``fine`` cuts from there on."""
+    head = F.greatest(F.size(F.filter(heads, lambda b: b < F.col(value))), F.lit(1)) - 1
     return head * fine + F.size(F.filter(F.slice(bounds, head * fine + 1, fine), lambda b: b < F.col(value)))
 
 
 def _bucketed(df: DataFrame, order: Sequence[str], buckets: int) -> DataFrame:
-    """Add ``_bucket``: quantile ranges of the first order column (a number or time).
+    """Add ``_bucket``: quantile ranges of the first order column (a number, time or text).
 
     A value so frequent that it fills several quantiles gets buckets of its own, cut by the quantiles of the second
     order column, so ties on the first column do not end in one task either.
     """
-    fine = min(64, buckets)
+    fine = max(1, round(buckets**0.5))
     cuts = F.array(*[F.lit(i / buckets) for i in range(buckets)])
     names = order[:2]
     values = df.select(*[_as_number(df, n).alias(f"v{i}") for i, n in enumerate(names)])
     bounds = values.agg(*[F.percentile_approx(f"v{i}", cuts, 20000).alias(f"_bounds{i}") for i in range(len(names))])
-    # scalar subqueries: the cut lists, at most 2048 numbers each
+    bounds = bounds.select("*", *[F.filter(f"_bounds{i}", lambda b, k: k % fine == 0).alias(f"_heads{i}") for i in range(len(names))])
+    # scalar subqueries: the cut lists, as many numbers as there are buckets, and every ``fine``-th of them
     tagged = df.withColumns({f"_value{i}": _as_number(df, n) for i, n in enumerate(names)})
-    tagged = tagged.withColumns({f"_bounds{i}": bounds.select(f"_bounds{i}").scalar() for i in range(len(names))})
-    first = F.coalesce(_range_number("_bounds0", "_value0", fine), F.lit(0))
-    below = F.lit(0)
+    tagged = tagged.withColumns({f"_{k}{i}": bounds.select(f"_{k}{i}").scalar() for i in range(len(names)) for k in ("bounds", "heads")})
+    number = lambda i: F.coalesce(_range_number(f"_bounds{i}", f"_heads{i}", f"_value{i}", fine), F.lit(0))
+    first, below = number(0), F.lit(0)
     if len(names) > 1:
         frequent = F.get("_bounds0", first + 1) == F.col("_value0")
-        below = F.when(frequent, F.coalesce(_range_number("_bounds1", "_value1", fine), F.lit(0)) + 1).otherwise(0)
-    return tagged.withColumn("_bucket", first * 4096 + below).drop(*[f"_{k}{i}" for k in ("value", "bounds") for i in range(len(names))])
+        below = F.when(frequent, number(1) + 1).otherwise(0)
+    return tagged.withColumn("_bucket", first.cast("bigint") * (buckets + 2) + below).drop(*[f"_{k}{i}" for k in ("value", "bounds", "heads") for i in range(len(names))])
 
 
 def ordered(
@@ -58,11 +65,11 @@ def ordered(
 ) -> DataFrame:
     """Ordered columns over whole groups: 0-based position, group size, running sums and the next row's value.
 
-    Rows are sorted inside range buckets of the first order column (a number or a time) and completed with the totals
+    Rows are sorted inside range buckets of the first order column (a number, time or text) and completed with the totals
     of the earlier buckets, so neither one global sort task nor one task per hot group is needed.
     ``sums`` maps output -> summed column, ``following`` maps output -> column read from the next row.
     """
-    buckets = max(8, min(partitions(df.sparkSession), 2048))
+    buckets = max(8, partitions(df.sparkSession))
     by, sums, following = list(by), dict(sums or {}), dict(following or {})
     keys = [*by, "_bucket"]
     tagged = _bucketed(df, order, buckets)

@@ -412,7 +412,8 @@ STEPS = """l_orderkey AS item, CASE WHEN l_returnflag = 'A' THEN 'recall' ELSE '
 @query("f39_step_precision_recall", over("lineitem", STEPS, """, p AS (SELECT item, side, step_type AS metric, judgment FROM d UNION ALL SELECT item, side, 'overall', judgment FROM d),
  v AS (SELECT metric, side, count(*) FILTER (judgment = 'Matched') / nullif(count(*) FILTER (judgment = 'Matched' OR judgment = CASE side WHEN 'precision' THEN 'Wrong' ELSE 'Unmatched' END), 0) AS v FROM p GROUP BY item, side, metric),
  m AS (SELECT metric, coalesce(avg(v) FILTER (side = 'precision'), 0) AS precision, coalesce(avg(v) FILTER (side = 'recall'), 0) AS recall FROM v WHERE v > 0 GROUP BY metric)
- SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM m"""), "precision recall f1")
+, e AS (SELECT item, count(*) FILTER (judgment <> 'Redundant') / count(*) AS e FROM d WHERE side = 'precision' GROUP BY item)
+ SELECT *, 2 * precision * recall / (precision + recall) AS f1, CASE WHEN metric = 'overall' THEN (SELECT avg(e) FROM e) END AS efficiency FROM m"""), "precision recall f1 efficiency")
 def step_precision_recall(t):
     return R.step_precision_recall(t.derive("lineitem", STEPS))
 
@@ -440,6 +441,27 @@ def companion_score(t):
     return R.companion_score(t.derive("orders", FETCHED), "reason")
 
 
+# each passage is asked in four rotations; the length of its text decides whether and in which one the answer is wrong
+TURNED = """WITH r AS (SELECT item_id, length(text) AS n, i FROM benchmark, (SELECT unnest(range(4)) AS i) x),
+ d AS (SELECT item_id + 10000000000 * i AS idx, item_id AS g_index, concat('length ', CAST(n % 3 AS VARCHAR(9))) AS category, substr('ABCD', CAST((item_id + 4 - i) % 4 + 1 AS INTEGER), 1) AS answer,
+  substr('ABCD', CAST((item_id + 4 - i + CASE WHEN n % 5 = 0 AND n % 4 = i THEN 1 ELSE 0 END) % 4 + 1 AS INTEGER), 1) AS said FROM r)"""
+
+
+@query("entry_circular_accuracy", TURNED + """, g AS (SELECT g_index, category, min(CASE WHEN answer = said THEN 1.0 ELSE 0.0 END) AS hit FROM d GROUP BY ALL)
+ SELECT 'none' AS split, 'overall' AS dim, 'all' AS value, avg(hit) AS acc, count(*) AS n FROM g UNION ALL SELECT 'none', 'category', category, avg(hit), count(*) FROM g GROUP BY category""", "acc", "n")
+def entry_circular_accuracy(t):
+    """Predictions joined with rotated answers, the choice extracted by name, scored by rotation groups and reported by category."""
+    from scorewright.evaluate import Spec, evaluate
+    rotated = t.benchmark.select("item_id", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    letter = lambda shift: F.get(F.split(F.lit("A,B,C,D"), ","), ((F.col("item_id") + 4 - F.col("i") + shift) % 4).cast("int"))
+    wrong = F.when((F.col("n") % 5 == 0) & (F.col("n") % 4 == F.col("i")), 1).otherwise(0)
+    options = F.create_map(*[F.lit(x) for a in "ABCD" for x in (a, f"passage {a} text")])
+    idx = (F.col("item_id") + F.lit(10**10) * F.col("i")).alias("idx")
+    answers = rotated.select(idx, F.col("item_id").alias("g_index"), F.concat(F.lit("length "), (F.col("n") % 3).cast("string")).alias("category"), letter(0).alias("answer"), options.alias("options"))
+    predictions = rotated.select(idx, F.concat(F.lit("The answer is "), letter(wrong), F.lit(".")).alias("prediction"))
+    return evaluate(predictions, answers, Spec(extract="infer", extract_from=("prediction", "options"), grouping="circular"))
+
+
 @query("entry_accuracy_by_source", """WITH d AS (SELECT lang, source, doc_id, CASE WHEN n_chars % 2 = 0 THEN text ELSE lower(text) END AS prediction, text AS answer FROM documents)
  SELECT lang, source, avg(CASE WHEN prediction = answer THEN 1.0 ELSE 0.0 END) AS acc, count(*) AS n FROM d GROUP BY lang, source""", "acc", "n")
 def entry_accuracy_by_source(t):

@@ -20,7 +20,8 @@ def repeat_epochs(t):
     return P.repeat_epochs(t.documents.select("doc_id"), "doc_id", 3)
 
 
-@query("i02_resample_shards")
+@query("i02_resample_shards", f"""WITH s AS (SELECT DISTINCT source FROM documents), p AS (SELECT source, row_number() OVER (ORDER BY md5(source), source) - 1 AS i, count(*) OVER () AS n FROM s)
+ SELECT draw, source FROM (SELECT i AS draw, {unit_sql('i', seed='0')} AS u FROM range(500) r(i)) x JOIN p ON p.i = floor(u * p.n)""", ints="draw")
 def resample_shards(t):
     return P.resample_shards(t.documents.select("source").distinct(), "source", 500)
 

@@ -354,6 +354,16 @@ def best_ngram_match_blocks(t):
 
 TABLE = "o_orderkey AS idx, CASE WHEN o_custkey % 2 = 0 THEN '1,200' ELSE '\"Blue Sky\" (note)' END AS a, CASE WHEN o_custkey % 3 = 0 THEN '2001-3-05' ELSE 'x' END AS b, CASE WHEN o_orderkey % 2 = 0 THEN '1200.0' ELSE 'blue sky.' END AS e, CASE WHEN o_orderkey % 3 = 0 THEN '2001-03-05' ELSE 'X[1]' END AS f"
 scored("d34_table_lists_equal", "orders", TABLE, "CASE WHEN ((a = '1,200') = (e = '1200.0')) AND ((b = '2001-3-05') = (f = '2001-03-05')) THEN 1.0 ELSE 0 END", lambda: S.table_lists_equal(ARR("f", "e", "f"), ARR("a", "b")))
+CELLS = """o_orderkey AS idx, o_orderkey % 4 AS kind, o_custkey % 50 AS k, CASE o_orderkey % 4 WHEN 0 THEN concat('$', CAST(o_custkey % 50 AS VARCHAR(9)), ' million dollars.') WHEN 1 THEN concat(CAST(o_custkey % 50 AS VARCHAR(9)), ' Thousand shares')
+ WHEN 2 THEN concat(CAST(o_custkey % 50 AS VARCHAR(9)), ' %') ELSE CAST(o_custkey % 50 + 1 AS VARCHAR(9)) END AS pred,
+ CASE o_orderkey % 4 WHEN 0 THEN concat('(', CAST(o_custkey % 50 AS VARCHAR(9)), ',000,000) (note)') WHEN 2 THEN concat('0.', lpad(CAST(o_custkey % 50 AS VARCHAR(9)), 2, '0')) ELSE CAST(o_custkey % 50 AS VARCHAR(9)) END AS gold"""
+
+
+@query("d34_finance_table_equal", over("orders", CELLS, "SELECT idx, CASE WHEN kind IN (0, 2) OR (kind = 1 AND k = 0) THEN 1.0 ELSE 0 END AS exact, CASE WHEN kind < 3 THEN 1.0 ELSE 0 END AS relaxed FROM d"), "exact relaxed")
+def finance_table_equal(t):
+    return t.derive("orders", CELLS).select("idx", S.finance_scores(c("pred"), c("gold")).alias("s")).select("idx", "s.exact", "s.relaxed")
+
+
 TEQ = "o_orderkey AS idx, CASE o_orderkey % 3 WHEN 0 THEN 'integer' WHEN 1 THEN 'float' ELSE 'text' END AS kind, concat(CAST(o_custkey % 4 AS VARCHAR(9)), CASE WHEN o_orderkey % 2 = 0 THEN '.0' ELSE '' END) AS pred, CAST(o_orderkey % 4 AS VARCHAR(9)) AS gold"
 scored("d35_typed_equal", "orders", TEQ, "CASE WHEN CASE kind WHEN 'integer' THEN NOT contains(pred, '.') AND pred = gold WHEN 'float' THEN CAST(pred AS DOUBLE) = CAST(gold AS DOUBLE) ELSE pred = gold END THEN 1.0 ELSE 0 END", lambda: S.typed_equal(c("pred"), c("gold"), c("kind")))
 scored("d36_line_edit_similarity", "conversations", SHORT, f"levenshtein(gold, pred) / nullif({_LONG}, 0)", lambda: S.line_edit_similarity(c("gold"), c("pred")))

@@ -1,4 +1,4 @@
-"""Named scorers and reports: user functions are looked up by name when a table is scored."""
+"""Named scorers, extractors and reports: user functions are looked up by name when a table is scored."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 SCORERS: dict[str, Callable[..., Column]] = {}
+EXTRACTORS: dict[str, Callable[..., Column]] = {}
 REPORTS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -19,6 +20,10 @@ def register_pandas_scorer(name: str, pandas_udf) -> None:
     SCORERS[name] = lambda *cols, **_: pandas_udf(*cols)
 
 
+def register_extractor(name: str, column_fn: Callable[..., Column]) -> None:
+    EXTRACTORS[name] = column_fn
+
+
 def register_report(name: str, df_fn: Callable[..., DataFrame]) -> None:
     REPORTS[name] = df_fn
 
@@ -28,5 +33,10 @@ def score(df: DataFrame, rule: str, *cols: str, output: str = "score", **options
     return df.withColumn(output, SCORERS[rule](*[F.col(c) for c in cols], **options).cast("double"))
 
 
+def extract(df: DataFrame, rule: str, *cols: str, output: str = "choice", **options) -> DataFrame:
+    """Add what the named extractor reads from the columns."""
+    return df.withColumn(output, EXTRACTORS[rule](*[F.col(c) for c in cols], **options))
+
+
 def report(df: DataFrame, name: str, **options) -> DataFrame:
     return REPORTS[name](df, **options)
