@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import math
 import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -561,6 +562,12 @@ def list_edit_distance(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else distance(list(a), list(b)) for a, b in zip(left, right)], dtype="Int32")
 
 
+@F.pandas_udf(T.IntegerType())
+def shared_tokens(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Size of the overlap of two token lists taken as bags."""
+    return pd.Series([None if a is None or b is None else (Counter(a) & Counter(b)).total() for a, b in zip(left, right)], dtype="Int32")
+
+
 @F.pandas_udf(T.IntegerType())
 def lcs_length(left: pd.Series, right: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two token lists."""

@@ -23,12 +23,12 @@ def repeat(value: int, n: Column) -> Column:
 def register_tokens(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
     """Vocabulary (token, id) extended by the unseen tokens, numbered in token order after the highest id.
 
-    The vocabulary is a small dimension; only its unseen part is numbered.
+    Numbers come from the exact positions in range buckets, so no task holds all new tokens.
     """
-    from pyspark.sql import Window
+    from scorewright.operators.skew import ranked
     new = tokens.select("token").distinct().join(vocabulary.select("token"), "token", "left_anti")
     top = vocabulary.agg(F.max("id")).scalar()
-    numbered = new.select("token", (top + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("token"))).cast("bigint").alias("id"))
+    numbered = ranked(new, ["token"], name="_place").select("token", (top + F.col("_place") + 1).cast("bigint").alias("id"))
     return vocabulary.select("token", F.col("id").cast("bigint")).unionByName(numbered)
 
 

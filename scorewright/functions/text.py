@@ -280,17 +280,17 @@ def build_judge_prompts(question: Column, options: Column, prediction: Column, k
             .otherwise(filled["choice"]))
 
 
-def normalise_punctuation(text: Column, max_periods: int | None = None) -> Column:
+def normalise_punctuation(text: Column, max_periods: int | None = None, after_digit: bool = False) -> Column:
     """Symbols are dropped when the input has them beside a blank or holds a digit comma digit; else they turn into a blank.
 
-    Full stops that touch no digit are removed. ``max_periods`` is for compatibility with scorers that stop after so many of them.
+    Full stops that touch no digit are removed; with ``after_digit`` also those that only follow one. ``max_periods`` is for compatibility with scorers that stop after so many of them.
     """
     def drop_symbols(s: Column) -> Column:
         out = s["t"]
         for p in PUNCTUATION:
             drop = s["t"].contains(p + " ") | s["t"].contains(" " + p) | s["d"]
             out = F.replace(out, F.lit(p), F.when(drop, "").otherwise(" "))
-        return F.split(out, r"(?<!\d)\.(?!\d)", -1)
+        return F.split(out, r"\.(?!\d)" if after_digit else r"(?<!\d)\.(?!\d)", -1)
 
     def join(pieces: Column) -> Column:
         if max_periods is None:
@@ -358,7 +358,7 @@ def _short_label(text: Column) -> Column:
 
 def _label(text: Column) -> Column:
     staged = text.startswith("Stage ") & _short_label(F.substring(text, F.lit(7), F.length(text)))
-    tokens = words(normalise_punctuation(text))
+    tokens = words(normalise_punctuation(text, after_digit=True))
     return _short_label(text) | staged | let(tokens, lambda ws: (F.size(ws) > 1) & F.forall(ws, _short_label))
 
 
@@ -370,5 +370,5 @@ def is_label_phrase(text: Column) -> Column:
 def flag_label_like_choices(question: Column, choices: Sequence[Column], marked: Column) -> Column:
     """A marked row is label-like when three of its choices are labels or its question names a single letter."""
     labels = F.size(F.filter(F.array(*choices), is_label_phrase))
-    letter = F.exists(words(normalise_punctuation(question)), lambda w: w.rlike("^[A-Za-z]$"))
+    letter = F.exists(words(normalise_punctuation(question, after_digit=True)), lambda w: w.rlike("^[A-Za-z]$"))
     return marked & ((labels >= 3) | letter)

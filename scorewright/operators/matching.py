@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scorewright.functions.score import edit_ratio, matcher_ratio
+from scorewright.functions.score import edit_ratio, matcher_ratio, shared_tokens
 from scorewright.session import ensure_checkpoint_dir
 
 
@@ -45,16 +45,9 @@ def merge_linked_fragments(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def bag_overlap(df: DataFrame, key: str, gold: Column, pred: Column) -> DataFrame:
-    """Shared token count with repeats, and both token counts, per key.
-
-    Both sides are counted in one aggregation over (key, token), combined before its only shuffle; keys without tokens
-    stay through an empty token.
-    """
-    tag = lambda tokens, side: F.transform(tokens, lambda x: F.struct(x.alias("token"), F.lit(side).alias("g")))
-    flat = df.select(key, F.explode_outer(F.concat(tag(gold, 1), tag(pred, 0))).alias("t")).select(key, "t.token", "t.g")
-    here = F.col("token").isNotNull()
-    counts = flat.groupBy(key, "token").agg(F.count_if(here & (F.col("g") == 1)).alias("gn"), F.count_if(here & (F.col("g") == 0)).alias("pn"))
-    return counts.groupBy(key).agg(F.sum(F.least("gn", "pn")).alias("right"), F.sum("gn").alias("gold_tokens"), F.sum("pn").alias("pred_tokens"))
+    """Shared token count with repeats, and both token counts, per row; counted inside the row, so no token is shuffled."""
+    size = lambda tokens: F.coalesce(F.size(tokens), F.lit(0)).cast("bigint")
+    return df.select(key, F.coalesce(shared_tokens(gold, pred), F.lit(0)).cast("bigint").alias("right"), size(gold).alias("gold_tokens"), size(pred).alias("pred_tokens"))
 
 
 def best_ngram_match(df: DataFrame, key: str, needle: str, hay: str, tokens, sep: str = " ", similarity: str = "matcher") -> DataFrame:

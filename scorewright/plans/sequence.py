@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from scorewright.functions import sequence as K
 from scorewright.functions.text import words
+from scorewright.operators.skew import ranked
 from scorewright.plans.catalog import over, query
 from scorewright.plans.text import unit_sql
 
@@ -16,10 +17,8 @@ VOC = "SELECT token, row_number() OVER (ORDER BY token) + 99 AS id FROM (SELECT
 
 
 def vocabulary(t):
-    from pyspark.sql import Window
     tokens = t.benchmark.select(F.explode(words(F.lower("text"))).alias("token")).distinct()
-    # the benchmark word list is the small dimension
-    return tokens.select("token", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("token")) + 99).cast("bigint").alias("id"))
+    return ranked(tokens, ["token"], name="_place").select("token", (c("_place") + 100).cast("bigint").alias("id"))
 
 
 @query("k01_register_tokens", f"WITH v AS ({VOC}), n AS (SELECT DISTINCT p_name AS token FROM part UNION SELECT 'the') SELECT token, id FROM v UNION ALL SELECT token, (SELECT max(id) FROM v) + row_number() OVER (ORDER BY token) FROM n WHERE token NOT IN (SELECT token FROM v)", ints="id")

@@ -23,8 +23,9 @@ for _f in ("csv", "tsv", "jsonl"):
 @query("a02_write_records_quoted", "SELECT '\"' || p_partkey || '\",\"' || p_name || '\"' AS line FROM part UNION ALL SELECT DISTINCT '\"p_partkey\",\"p_name\"' FROM part")
 def write_records_quoted(t):
     folder = records.scratch(t.spark, "quoted")
-    records.write_records(t.part.select("p_partkey", "p_name").coalesce(1), folder, "csv")
-    return t.spark.read.text(folder).select(c("value").alias("line"))
+    records.write_records(t.part.select("p_partkey", "p_name"), folder, "csv")
+    # every part file starts with the header
+    return t.spark.read.text(folder).select(c("value").alias("line")).distinct()
 
 
 @query("a03_parquet_to_tsv", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")

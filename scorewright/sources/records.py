@@ -18,12 +18,15 @@ def _format(path: str, fmt: str | None) -> str:
     return fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
 
 
-def read_records(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None) -> DataFrame:
-    """Load csv, tsv, json or jsonl, by suffix; give a schema to skip the inference pass."""
+def read_records(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+    """Load csv, tsv, json or jsonl, by suffix; give a schema to skip the inference pass.
+
+    ``multi_line`` lets quoted csv fields hold line breaks; such files cannot be split, so it is off by default.
+    """
     fmt = _format(path, fmt)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if fmt in ("csv", "tsv"):
-        options = {"header": True, "sep": "\t" if fmt == "tsv" else ",", "multiLine": True, "escape": '"', "inferSchema": schema is None}
+        options = {"header": True, "sep": "\t" if fmt == "tsv" else ",", "multiLine": multi_line, "escape": '"', "inferSchema": schema is None}
         return reader.options(**options).csv(path)
     if fmt in ("json", "jsonl"):
         return reader.option("multiLine", fmt == "json").json(path)
@@ -70,8 +73,10 @@ def id_list(text: Column) -> Column:
     return F.transform(given, lambda x: F.element_at(F.split(F.rtrim(x), "/"), -1))
 
 
-def read_id_list(spark: SparkSession, path: str) -> DataFrame:
-    """Ids of a list file. Line files are read line by line; only a JSON array needs the whole file in one row."""
-    head = spark.read.text(path).select(F.trim("value").alias("v")).filter("v <> ''").first()
-    whole = head is not None and head["v"].startswith("[")
+def read_id_list(spark: SparkSession, path: str, whole: bool | None = None) -> DataFrame:
+    """Ids of list files. Files are read line by line, a line being an id or a JSON array.
+
+    A JSON array over several lines needs the ``whole`` file in one row, which is the default for a path that ends in .json.
+    """
+    whole = path.rstrip("/").endswith(".json") if whole is None else whole
     return spark.read.text(path, wholetext=whole).select(F.explode(id_list(F.col("value"))).alias("id"))

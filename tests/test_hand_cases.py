@@ -76,7 +76,7 @@ def test_damerau(one, a, b, want):
 
 def test_periods_beyond_the_limit_stay(one):
     text = ".".join("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ")
-    assert one(lambda t: X.normalise_punctuation(t), t=text).count(".") == 3
+    assert one(lambda t: X.normalise_punctuation(t, max_periods=32), t=text).count(".") == 3
     assert one(lambda t: X.normalise_punctuation(t, None), t=text).count(".") == 0
 
 
