@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from scorewright.llm.tables import bounded_batches
-from scorewright.llm.words import slices
+from scorewright.llm.words import mix, slices
 
 PREFIXES = (4, 5, 6, 7)  # bytes of a word's beginning that are features of their own
+TIMES = 3  # occurrences of a feature that are told apart
 MAX_POSITIVE = 6_000  # confirmed examples the classifiers learn from, as a hash share of them
 MAX_UNLABELLED = 12_000  # unlabelled texts they learn from, likewise
 CLASSIFIERS = 3
@@ -35,7 +36,8 @@ def hash_share(doc_id: str, share: float, seed: int) -> Column:
 
 
 def text_features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text numbers, feature hashes) of a slice of texts: every word and the beginnings of longer words."""
+    """(text numbers, feature hashes) of a slice of texts, each once a text: every word and the beginnings of longer words, and the same again for
+    those that occur again, up to TIMES times."""
     for at, words in slices(texts):
         row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first)) + at
         found = [words.hashes()]
@@ -44,17 +46,23 @@ def text_features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             longer, prints = words.prefixes(size)
             found.append(prints)
             rows.append(row[longer])
-        yield np.concatenate(rows), np.concatenate(found)
+        rows, prints = np.concatenate(rows), np.concatenate(found)
+        order = np.lexsort((prints, rows))
+        rows, prints = rows[order], prints[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]) | (prints[1:] != prints[:-1])
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(rows)))
+        rows, prints = rows[first], prints[first]
+        again = [times >= n for n in range(2, TIMES + 1)]
+        yield np.concatenate([rows, *(rows[a] for a in again)]), np.concatenate([prints, *(mix(prints[a] + np.uint64(n)) for n, a in enumerate(again, 2))])
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, prints in text_features(batch.column(2)):
-            order = np.lexsort((prints, rows))
+            order = np.argsort(rows, kind="stable")
             rows, prints = rows[order], prints[order]
-            new = np.ones(len(rows), bool)
-            new[1:] = (rows[1:] != rows[:-1]) | (prints[1:] != prints[:-1])
-            rows, prints = rows[new], prints[new]
             present, starts = np.unique(rows, return_index=True)
             offsets = pa.array(np.append(starts, len(rows)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -181,8 +189,7 @@ def _scores(c: Classifier, texts: pa.Array, maybe: np.ndarray) -> np.ndarray:
         at = np.searchsorted(c.prints, prints)
         at[at == len(c.prints)] = 0
         hit = c.prints[at] == prints
-        seen = np.unique(rows[hit] * np.int64(len(c.prints)) + at[hit])  # each feature once a text
-        out += np.bincount(seen // len(c.prints), c.weights[seen % len(c.prints)], len(texts))
+        out += np.bincount(rows[hit], c.weights[at[hit]], len(texts))
     return out
 
 
