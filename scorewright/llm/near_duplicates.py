@@ -77,15 +77,34 @@ def _full_sets(docs: DataFrame, text: str, prints: DataFrame) -> DataFrame:
     return sets.groupBy("set_print").agg(F.first("shingles").alias("shingles"))
 
 
+def _texts_of(docs: DataFrame, text: str, prints: DataFrame) -> DataFrame:
+    """The texts whose set is in ``prints`` (and the few others that the bit filter lets pass)."""
+    bits = docs.sparkSession.sparkContext.broadcast(_wanted_bits(prints))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = bits.value
+        for batch in batches:
+            found = np.array([_fingerprint(s) if len(s) else -1 for s in shingle_sets(batch.column(0))], np.int64)
+            at = _bit(found).astype(np.int64)
+            hit = (found >= 0) & ((filled[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)) > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit))], ["text"])
+
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "text string")
+
+
 def _prefixes(sketches: DataFrame) -> DataFrame:
-    """(value, node, n): the rarest values of each sketch, so many that two sets with ``SHARED`` values in common meet in one list."""
+    """(value, node, n, popular): the rarest values of each sketch, so many that two sets with ``SHARED`` values in common meet in one list.
+
+    ``popular`` adds up how many sets share each value of the sketch: in a group of edited copies it is highest for the least edited ones.
+    """
     entries = sketches.select("node", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
     common = entries.groupBy("value").agg(F.count("*").alias("users")).where("users > 1")
     # values that no other set has come first in the order, so they use up the prefix without a list of their own
     shared = entries.join(common, "value").groupBy("node", "n", "kept").agg(F.array_sort(F.collect_list(F.struct("users", "value"))).alias("shared"))
     room = F.col("kept") - F.least(F.lit(SHARED), F.ceil(F.col("kept") * (SHARED / KEEP))) + 1 - (F.col("kept") - F.size("shared"))
-    chosen = shared.where(room > 0).select("node", "n", F.explode(F.slice("shared", 1, room.cast("int"))).alias("s"))
-    return chosen.select(F.col("s.value").alias("value"), "node", "n")
+    popular = F.aggregate("shared", F.lit(0).cast("long"), lambda n, s: n + s.users)
+    chosen = shared.where(room > 0).select("node", "n", popular.alias("popular"), F.explode(F.slice("shared", 1, room.cast("int"))).alias("s"))
+    return chosen.select(F.col("s.value").alias("value"), "node", "n", "popular")
 
 
 def _size_fits(a: Column | str, b: Column | str) -> Column:
@@ -116,29 +135,45 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, text: str)
     return saved(joined.where("100 * i >= 75 * (s - i)").select("a", "b"))
 
 
+def _shared_sizes(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
+    """(node, common): how many shingles of each whole set some other of ``nodes`` has too; nodes that share too little to be similar to any are left out."""
+    sets = saved(_full_sets(docs, text, nodes).join(nodes.select(F.col("node").alias("set_print")).distinct(), "set_print", "left_semi"))
+    flat = sets.select(F.col("set_print").alias("node"), F.explode("shingles").alias("h"))
+    shared = flat.groupBy("h").agg(F.count("*").alias("users")).where("users > 1").select("h")
+    common = flat.join(shared, "h").groupBy("node").agg(F.count("*").alias("common"))
+    return common.join(sets.select(F.col("set_print").alias("node"), F.size("shingles").alias("whole")), "node").where("100 * common >= 75 * whole").select("node", "common")
+
+
 def _links(docs: DataFrame, text: str, sketches: DataFrame) -> DataFrame | None:
     """Links that hold every group of similar sets together, without all pairs of a group.
 
     Each round compares one leader of every inverted list with the members that are in other groups and joins those that match. A leader has
-    then met all members of its list and leaves it. After ``LEADER_ROUNDS`` rounds large groups are one, and the members of a list that are
-    still in different groups are compared with each other, so no pair that shares a list stays untested.
+    then met all members of its list and leaves it. After ``LEADER_ROUNDS`` rounds large groups are one. The members of a list that are
+    still in different groups are then compared with each other, but for pairs that their counts of shared shingles rule out, so no link is lost.
     """
     members = saved(_prefixes(sketches))
+    # the rounds read the texts that are in some list, not all of them again
+    docs, text = saved(_texts_of(docs, text, members.select("node"))), "text"
     links: DataFrame | None = None
     labels: DataFrame | None = None
     for turn in range(LEADER_ROUNDS + 1):
         held = members.withColumn("root", F.col("node"))
         if labels is not None:
             held = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root")))
+        # the most popular members lead first, as one of them most likely links to most of a group; then any
+        first = -F.col("popular") if turn < LEADER_ROUNDS - 1 else F.lit(0)
+        lead = F.min(F.struct(first.alias("f"), F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root")))
         lead = held.groupBy("value").agg(lead.alias("l"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("value", "l.*")
         if turn < LEADER_ROUNDS:
             met = held.join(lead, "value").where((F.col("root") != F.col("leader_root")) & _size_fits("n", "leader_n"))
             pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         else:
-            left = held.join(lead.select("value"), "value", "left_semi")
-            other = left.select("value", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
-            met = left.join(other, "value").where((F.col("node") < F.col("other")) & (F.col("root") != F.col("other_root")) & _size_fits("n", "other_n"))
+            left = saved(held.join(lead.select("value"), "value", "left_semi"))
+            left = left.join(_shared_sizes(docs, text, left.select("node")), "node")
+            other = left.select("value", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"), F.col("common").alias("other_common"))
+            # what two sets have in common is no more than either shares with any, and similar sets need 3/7 of both sizes
+            fits = F.least("common", "other_common") * 7 >= (F.col("n") + F.col("other_n")) * 3
+            met = left.join(other, "value").where((F.col("node") < F.col("other")) & (F.col("root") != F.col("other_root")) & _size_fits("n", "other_n") & fits)
             pairs = met.select(F.col("node").alias("a"), F.col("other").alias("b"))
         pairs = saved(pairs.distinct())
         if pairs.isEmpty():
