@@ -127,7 +127,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, text: str)
     near = saved(near.where(_estimate() >= ESTIMATE).select("a", "b"))
     if near.isEmpty():
         return near
-    sets = saved(_full_sets(docs, text, near.select(F.explode(F.array("a", "b")).alias("p"))))
+    sets = saved(_full_sets(docs, text, near.select(F.col("a").alias("p")).unionByName(near.select(F.col("b").alias("p"))).distinct()))
     joined = near.join(sets.select(F.col("set_print").alias("b"), F.col("shingles").alias("set_b")), "b")
     joined = joined.join(sets.select(F.col("set_print").alias("a"), F.col("shingles").alias("set_a")), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
