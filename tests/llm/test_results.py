@@ -13,6 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from corpus_pipeline import STAGES
+from scorewright.llm import language_model
 from scorewright.llm.html_text import main_text, min_cut
 from scorewright.llm.mixing import pivot, targets
 from scorewright.llm.near_duplicates import near_duplicates
@@ -173,3 +174,15 @@ def test_stages_against_statements(spark, tmp_path):
         sizes.append((docs.count(), len(got)))
         docs = kept
     assert all(a >= b > 0 for a, b in sizes)
+
+
+def test_language_scores_do_not_depend_on_the_filter_bound(spark, monkeypatch):
+    """A filter above the bound is probed by segments: no n-gram is dropped, and scores are those of the broadcast filter."""
+    get = lambda: {r.doc_id: (r.n_known, r.base_score, r.score) for r in QUERIES["op9_language_scores"](spark, SMALL).collect()}
+    want = get()
+    monkeypatch.setattr(language_model, "MAX_FILTER_BITS", 1 << 16)
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 1 << 17)
+    got = get()
+    assert got.keys() == want.keys()
+    for i, (known, base, score) in want.items():
+        assert got[i][0] == known and got[i][1:] == pytest.approx((base, score), rel=1e-9)
