@@ -186,3 +186,16 @@ def test_language_scores_do_not_depend_on_the_filter_bound(spark, monkeypatch):
     assert got.keys() == want.keys()
     for i, (known, base, score) in want.items():
         assert got[i][0] == known and got[i][1:] == pytest.approx((base, score), rel=1e-9)
+
+
+def test_bigram_weights_come_from_all_training_texts(spark):
+    """Every training text counts, as often as it occurs, and a level of the context without observations takes the weight of the nearest."""
+    code = lambda context, pair, word: int(language_model._code(context, pair, word))
+    rows = [(i, False, 1, [code(5, 5, 2)], [1]) for i in range(100)] + [(100, False, 500, [code(5, 0, 4)], [1]), (101, True, 1, [code(9, 0, 4)], [9])]
+    leveled = spark.createDataFrame(rows, "id long, held_out boolean, copies long, codes array<int>, times array<int>")
+    levels, share, single = language_model._parts(np.array([r[3][0] for r in rows[:101]]), 1000, 100, without=1)
+    times = np.array([r[2] for r in rows[:101]])
+    choices = language_model._WEIGHTS
+    want = choices[np.argmax([(times * np.log10(w * share + (1 - w) * single)).sum() for w in choices])]
+    weights = language_model._tuned(leveled, 1000, 100)
+    assert weights[0] == 0 and set(weights[1:]) == {want} and choices[0] < want < choices[-1]
