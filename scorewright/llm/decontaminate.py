@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scorewright.llm.tables import saved
 
@@ -58,12 +58,38 @@ def text_key(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
+def _starts(spots: DataFrame) -> DataFrame:
+    """(id, key, len, start) of the windows that could be similar to an item of ``len`` words.
+
+    ``spots`` has each place p of a document (n words) whose shingle h occurs in items of that size, at most ``most`` times in one. The place
+    counts for the windows that hold it and fewer than ``most`` earlier places of h: a range of starts. The running sum over the ends of all
+    ranges is the largest weight a window and an item can share, which must be 3/7 of the weight of both (0.75 of what either has).
+    """
+    size = F.least("len", "n")
+    own, sought = F.greatest(size - (SHINGLE - 1), F.lit(1)), F.greatest(F.col("len") - (SHINGLE - 1), F.lit(1))
+    least = F.ceil((own + sought) * SIMILAR_PERCENT / (100 + SIMILAR_PERCENT) - 1e-9).cast("int")
+    # equal rows of a document have the same places
+    docs = spots.groupBy("id", "key", "n", "len").agg(F.collect_set(F.struct("p", "h", "most")).alias("marks")).where(F.size("marks") >= least)
+    marks = docs.select("id", "key", "n", "len", F.explode("marks").alias("m")).select("id", "key", "n", "len", "m.*")
+    each = marks.groupBy("id", "key", "n", "len", "h", "most").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    before = lambda i: F.coalesce(F.get("ps", i - F.col("most")) + 1, F.lit(0))
+    range_ = lambda p, i: F.struct(F.greatest(F.lit(0), p - own + 1, before(i)).alias("from"), F.least(p, F.col("n") - size).alias("to"))
+    ranges = each.select("id", "key", "n", "len", F.explode(F.transform("ps", range_)).alias("r")).where("r.from <= r.to")
+    ends = ranges.select("id", "key", "n", "len", F.explode(F.array(F.struct(F.col("r.from").alias("at"), F.lit(1).alias("d")), F.struct((F.col("r.to") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e"))
+    steps = ends.groupBy("id", "key", "n", "len", F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
+    along = Window.partitionBy("id", "key", "n", "len").orderBy("at")
+    shared = F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    runs = steps.select("id", "key", "n", "len", "at", shared.alias("shared"), F.lead("at").over(along).alias("next")).where(F.col("shared") >= least)
+    return runs.select("id", "key", "len", F.explode(F.sequence("at", F.col("next") - 1)).alias("start"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, text_key, item_id, start_word, n_words, hamming, similarity): the best window of each document for each item it contains.
 
     Words are runs of anything but space and 0x09-0x0D in lower case. A window has as many words as the item (the whole document, if shorter) and
-    starts where a shingle of the document lines up with an equal one of an item of that size: other windows share no shingle, so
-    their similarity is 0. Windows and items of one size whose SimHash prints are within ``RADIUS`` bits are found by equal block values after
+    starts anywhere the document's shingles, in whatever order, could reach the similarity with items of that size: ``_starts`` counts, for every
+    start, the shingles within the window that such an item has, each as often as one item has it, and no item shares more. An item of fewer
+    words than a shingle is one shingle, and so is such a document: they match when they are equal. Windows and items of one size whose SimHash prints are within ``RADIUS`` bits are found by equal block values after
     each item block is varied by up to ``BLOCK_RADIUS`` bits; their shingles, weighted by how often they occur, must then be similar to 0.75
     or more (smaller weights over larger weights). Ties go to the smaller start. Null or wordless texts and items match nothing. Rows that
     repeat an id and text give one result; a null id is kept as such. text_key is ``text_key(text)``, which tells rows of one id apart.
@@ -73,16 +99,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     items = items.select("item", F.size("w").alias("len"), _shingles(F.col("w")).alias("sh"))
     # written first: else the optimiser pushes tests on the prints below and computes them again from the text
     items = saved(items.select("*", _simhash(F.col("sh")).alias("item_print")))
-    places = items.select("len", F.posexplode("sh").alias("q", "h")).distinct()
+    times = lambda h: F.size(F.filter("sh", lambda x: x == h))
+    places = items.select("len", F.explode(F.transform(F.array_distinct("sh"), lambda h: F.struct(h.alias("h"), times(h).alias("most")))).alias("x"))
+    places = places.groupBy("len", "x.h").agg(F.max("x.most").alias("most"))
     if places.count() <= BROADCAST_SHINGLES:
         places = F.broadcast(places)
     rows = docs.select(F.col(doc_id).alias("id"), text_key(text).alias("key"), F.col(text).cast("string").alias("text"))
     spots = rows.select("id", "key", _words("text").alias("w"))
     spots = spots.select("id", "key", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"))).alias("p", "h")).join(places, "h")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("len")))
-    spots = spots.select("id", "key", F.struct("len", start.alias("start")).alias("v")).distinct()
-    spots = spots.groupBy("id", "key").agg(F.collect_set("v").alias("vs"))
-    # only the documents with a lined-up shingle are cut into windows
+    spots = _starts(spots).groupBy("id", "key").agg(F.collect_set(F.struct("len", "start")).alias("vs"))
+    # only the documents with such a start are cut into windows
     held = rows.withColumnRenamed("id", "row").withColumnRenamed("key", "row_key").join(spots, F.col("row").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key")))
     windows = held.select("id", "key", _words("text").alias("w"), "vs").select("id", "key", "w", F.explode("vs").alias("v"))
     windows = windows.select("id", "key", "v.len", "v.start", F.slice("w", F.col("v.start") + 1, F.col("v.len")).alias("w"))
