@@ -46,3 +46,12 @@ def test_passages_that_do_not_line_up(spark):
     want = every_start(docs, items)
     assert want[0, 1][1] == 0.92 and len(want) > 15
     assert found(spark, docs, items) == want
+
+
+def test_a_repeated_shingle_that_differs(spark):
+    """Prints count each occurrence as an element of its own, so one long repeat does not outweigh all other shingles."""
+    body = lambda k: [f"b{k}_{i}" for i in range(268)]
+    items = [(k, " ".join(body(k) + ["."] * 44)) for k in range(6)]
+    docs = [(k, " ".join(body(k) + ["_"] * 44)) for k in range(6)]
+    got = found(spark, docs, items)
+    assert set(got) == {(k, k) for k in range(6)} and got == every_start(docs, items)
