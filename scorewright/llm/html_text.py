@@ -17,7 +17,10 @@ _NAME_PARTS = re.compile(r"[a-z]+")
 _BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4
 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul""".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg math object select button canvas audio video".split())
+_RAW = frozenset("script style noscript template textarea title iframe".split())
+# without text of the page in them; they end with the block they are in, if not before
+_SKIPPED = frozenset("svg object select button canvas audio video annotation annotation-xml".split())
+_PAGE = frozenset("html body article main".split())
 _TAG_AWAY = frozenset("nav aside footer menu dialog search".split())
 _ROLE_AWAY = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 _COMMENT = frozenset("comment comments disqus respond reply replies".split())
@@ -55,9 +58,9 @@ def _mode(name: str, attributes: str, above: str) -> str:
             named.update(_NAME_PARTS.findall(value))
         elif key == "role":
             role = value
-    if name in _TAG_AWAY or named & _COMMENT:
+    if name in _TAG_AWAY or (name not in _PAGE and named & _COMMENT):
         return "away"
-    if role in _ROLE_AWAY or (name not in ("html", "body", "article", "main") and named & _NAME_AWAY):
+    if role in _ROLE_AWAY or (name not in _PAGE and named & _NAME_AWAY):
         return "soft"
     if name in ("article", "main") or role in ("main", "article"):
         return "article"
@@ -72,6 +75,7 @@ def blocks(page: str) -> list[tuple[str, float, _Open]]:
     here, number = _Open("", "", 0, None), 0
     parts: list[str] = []
     linked, links, at, skip = 0, 0, 0, ""
+    inner: list[str] = []  # blocks, and elements of the same name, open in a skipped element
 
     def close_block() -> None:
         nonlocal linked
@@ -93,9 +97,25 @@ def blocks(page: str) -> list[tuple[str, float, _Open]]:
     for m in _TOKEN.finditer(page):
         end, name, attributes = m.group(1), m.group(2), m.group(3)
         if skip:
-            if end and name and name.lower() == skip:
+            tag = (name or "").lower()
+            if end and tag == skip and tag not in inner:
                 skip, at = "", m.end()
-            continue
+                inner.clear()
+            elif skip in _SKIPPED and (tag in _BLOCKS or tag == skip):
+                if not end:
+                    if tag not in _VOID and not attributes.endswith("/"):
+                        inner.append(tag)
+                elif tag in inner:
+                    del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+                else:
+                    node = here
+                    while node is not None and node.name != tag:
+                        node = node.parent
+                    if node is not None:
+                        skip, at = "", m.start()
+                        inner.clear()
+            if skip or at == m.end():
+                continue
         if m.start() > at:
             text = page[at : m.start()]
             parts.append(text)
@@ -119,7 +139,7 @@ def blocks(page: str) -> list[tuple[str, float, _Open]]:
             if node is not None and node.parent is not None:
                 leave(node.parent)
             continue
-        if name in _RAW:
+        if name in _RAW or name in _SKIPPED:
             if not attributes.endswith("/"):
                 skip = name
             continue

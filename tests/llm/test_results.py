@@ -199,3 +199,17 @@ def test_bigram_weights_come_from_all_training_texts(spark):
     want = choices[np.argmax([(times * np.log10(w * share + (1 - w) * single)).sum() for w in choices])]
     weights = language_model._tuned(leveled, 1000, 100)
     assert weights[0] == 0 and set(weights[1:]) == {want} and choices[0] < want < choices[-1]
+
+
+def test_pages_beyond_the_tuned_ones():
+    first, second = "First long paragraph of the story, which goes on for a while and says many things.", "Another paragraph follows here with plenty of further words to read."
+    story = f"<p>{first}</p><p>{second}</p>"
+    both = [first, second]
+    for page in (f"<body class='has-comments'><article>{story}</article></body>", f"<body><article id='reply-12'>{story}</article></body>", f"<body class='no-replies comment'><main>{story}</main></body>"):
+        assert main_text(page).split("\n") == both
+    assert main_text(f"<body><div id=comments><article class=comment>{story}</article></div></body>") == ""
+    for name in ("button", "select", "svg", "object", "canvas", "audio", "video"):
+        assert main_text(f"<body><article><p>{first}</p><div><{name} class=x>gone</div><p>{second}</p></article></body>").split("\n") == both
+        assert main_text(f"<body><article><p>{first}</p><div><{name}><div>gone</div><{name}>gone</{name}>gone</{name}></div><p>{second}</p></article></body>").split("\n") == both
+    formula = "<math><semantics><mrow><mi>a</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='application/x-tex'>a = 2</annotation></semantics></math>"
+    assert main_text(f"<article><p>{first} So {formula} holds here.</p></article>") == f"{first} So a=2 holds here."
