@@ -94,6 +94,14 @@ def _starts(spots: DataFrame) -> DataFrame:
     return runs.select("id", "key", "len", F.explode(F.sequence("at", F.col("next") - 1)).alias("start"))
 
 
+def _lined(own: Column, sh: Column, start: Column, last: Column) -> Column:
+    """Whether a shingle is at the same place of window and item, or would be but for the beginning or the end (``last`` start) of the document."""
+    same = F.coalesce(F.exists(F.zip_with(own, sh, lambda a, b: a == b), lambda x: x), F.lit(False))
+    later = F.exists(F.transform(own, lambda h, p: F.array_contains(F.slice(sh, p + 1, F.size(sh)), h)), lambda x: x)
+    earlier = F.exists(F.transform(own, lambda h, p: F.array_contains(F.slice(sh, 1, p + 1), h)), lambda x: x)
+    return F.when(same, True).when((start == 0) & later, True).otherwise((start == last) & earlier)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, text_key, item_id, start_word, n_words, hamming, similarity): the best window of each document for each item it contains.
 
@@ -102,7 +110,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     start, the shingles within the window that such an item has, each as often as one item has it, and no item shares more. An item of fewer
     words than a shingle is one shingle, and so is such a document: they match when they are equal. Windows and items of one size whose SimHash prints are within ``RADIUS`` bits are found by equal block values after
     each item block is varied by up to ``BLOCK_RADIUS`` bits; their shingles, weighted by how often they occur, must then be similar to 0.75
-    or more (smaller weights over larger weights). Ties go to the smaller start. Null or wordless texts and items match nothing. Rows that
+    or more (smaller weights over larger weights). Ties go to a start at which an equal shingle lines up (``_lined``), then to the smaller start. Null or wordless texts and items match nothing. Rows that
     repeat an id and text give one result; a null id is kept as such. text_key is ``text_key(text)``, which tells rows of one id apart.
     """
     spark = docs.sparkSession
@@ -122,17 +130,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     # only the documents with such a start are cut into windows
     held = rows.withColumnRenamed("id", "row").withColumnRenamed("key", "row_key").join(spots, F.col("row").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key")))
     windows = held.select("id", "key", _words("text").alias("w"), "vs").select("id", "key", "w", F.explode("vs").alias("v"))
-    windows = windows.select("id", "key", "v.len", "v.start", F.slice("w", F.col("v.start") + 1, F.col("v.len")).alias("w"))
-    windows = windows.select("id", "key", "len", "start", _shingles(F.col("w")).alias("own"))
+    windows = windows.select("id", "key", "v.len", "v.start", F.size("w").alias("n"), F.slice("w", F.col("v.start") + 1, F.col("v.len")).alias("w"))
+    windows = windows.select("id", "key", "len", "start", "n", _shingles(F.col("w")).alias("own"))
     windows = saved(windows.select("*", _simhash(F.col("own")).alias("print")))
     sought = items.select("item", "len", "sh", "item_print", F.explode(_blocks(F.col("item_print"))).alias("b"))
     sought = sought.join(F.broadcast(_near_values(spark)), F.col("b.value") == F.col("value")).select("item", "len", "sh", "item_print", F.col("b.block").alias("block"), F.col("near").alias("at"))
-    probes = windows.select("*", F.explode(_blocks(F.col("print"))).alias("b")).select("id", "key", "len", "start", "own", "print", F.col("b.block").alias("block"), F.col("b.value").alias("at"))
+    probes = windows.select("*", F.explode(_blocks(F.col("print"))).alias("b")).select("id", "key", "len", "start", "n", "own", "print", F.col("b.block").alias("block"), F.col("b.value").alias("at"))
     apart = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     pairs = probes.join(sought, ["len", "block", "at"]).withColumn("hamming", apart).where(F.col("hamming") <= RADIUS)
     low, high = _weighted(F.col("own"), F.col("sh"))
-    pairs = pairs.select("id", "key", "item", "start", "len", "hamming", low.alias("low"), high.alias("high")).where(F.col("low") * 100 >= F.col("high") * SIMILAR_PERCENT)
-    best = F.max(F.struct((F.col("low") / F.col("high")).alias("similarity"), (-F.col("start")).alias("back"), F.col("len"), F.col("hamming")))
+    lined = _lined(F.col("own"), F.col("sh"), F.col("start"), F.col("n") - F.col("len"))
+    pairs = pairs.select("id", "key", "item", "start", "len", "hamming", low.alias("low"), high.alias("high"), lined.alias("lined")).where(F.col("low") * 100 >= F.col("high") * SIMILAR_PERCENT)
+    best = F.max(F.struct((F.col("low") / F.col("high")).alias("similarity"), "lined", (-F.col("start")).alias("back"), F.col("len"), F.col("hamming")))
     found = pairs.groupBy("id", "key", "item").agg(best.alias("m"))
     found = found.select(F.col("id").alias(doc_id), F.col("key").alias("text_key"), F.col("item").alias(item_id), (-F.col("m.back")).cast("long").alias("start_word"), F.col("m.len").cast("long").alias("n_words"), F.col("m.hamming").alias("hamming"), F.col("m.similarity").alias("similarity"))
     return found.distinct()

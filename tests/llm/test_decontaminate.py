@@ -13,18 +13,20 @@ def shingles(words):
 
 
 def every_start(docs, items):
-    """The best window at 0.75 or more of each document and item over all starts, ties to the smaller."""
+    """The best window at 0.75 or more of each document and item over all starts, ties to one that lines up, then to the smaller."""
+    parts = lambda x: [tuple(x[i : i + 5]) for i in range(max(len(x) - 4, 1))]
     out = {}
     for d, text in docs:
         for i, item in items:
             w, v = text.split(), item.split()
-            best = (0.0, 0)
+            best, end = (0.0, False, 0), len(w) - len(v)
+            places = {min(p - q, end) if p > q else 0 for p, a in enumerate(parts(w)) for q, b in enumerate(parts(v)) if a == b}
             for start in range(max(len(w) - len(v), 0) + 1):
                 a, b = shingles(w[start : start + len(v)]), shingles(v)
                 low = (a & b).total()
-                best = max(best, (low / (a.total() + b.total() - low), -start))
+                best = max(best, (low / (a.total() + b.total() - low), start in places, -start))
             if best[0] >= 0.75:
-                out[d, i] = (-best[1], pytest.approx(best[0]))
+                out[d, i] = (-best[2], pytest.approx(best[0]))
     return out
 
 
