@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from scorewright.llm.centroids import clustered
 from scorewright.llm.decontaminate import contaminated
 from scorewright.llm.html_text import extract_text
 from scorewright.llm.language_model import language_scores
@@ -132,3 +133,31 @@ def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op11_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clustered(table(spark, folder, "embeddings")).drop("centroid")
+
+
+def _cluster_sql(rounds: int) -> str:
+    """One block of common tables for each round: vectors assigned, centroids moved."""
+    apart = "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    parts = [r"""k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM k QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), v) <= 16)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""d{i} AS (SELECT k.r, c.c, {apart} AS d FROM k CROSS JOIN c{i} c),
+a{i} AS MATERIALIZED (SELECT r, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if i < rounds:
+            parts.append(f"""u{i} AS (SELECT a.c, unnest(k.v) AS x, unnest(range(64)) AS j FROM a{i} a JOIN k USING (r)),
+s{i} AS (SELECT c, j, sum(x) AS s, count(*) AS n FROM u{i} GROUP BY ALL),
+m{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN m{i} m USING (c))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT k.vec_id, a.c::INTEGER AS cluster, a.d::BIGINT AS distance, sum(a.d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(a.d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM k JOIN a{rounds} a USING (r) JOIN c{rounds} c USING (c)"""
+
+
+ORACLE["op11_centroid_clusters"] = _cluster_sql(3)
