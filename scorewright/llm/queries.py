@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scorewright.llm.centroids import clustered
+from scorewright.llm.conversations import damaged, repair_report
 from scorewright.llm.decontaminate import contaminated
 from scorewright.llm.html_text import extract_text
 from scorewright.llm.language_model import language_scores
@@ -161,3 +162,9 @@ FROM k JOIN a{rounds} a USING (r) JOIN c{rounds} c USING (c)"""
 
 
 ORACLE["op11_centroid_clusters"] = _cluster_sql(3)
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return repair_report(conversations, damaged(conversations))
