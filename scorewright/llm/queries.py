@@ -168,3 +168,33 @@ ORACLE["op11_centroid_clusters"] = _cluster_sql(3)
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     conversations = table(spark, folder, "conversations")
     return repair_report(conversations, damaged(conversations))
+
+
+ORACLE["op12_conversation_repair"] = r"""
+WITH RECURSIVE b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+z AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(k, ''), lambda x: ascii(x)::UBIGINT)),
+      lambda c, x: list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda y, i: xor(y >> 1, 3988292384::UBIGINT * (y & 1))))) % 20 AS f FROM b),
+r AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM z WHERE f <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, left(role, 1) AS i FROM r),
+g AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'd'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault, lag(i) OVER (PARTITION BY conv_id ORDER BY p) AS j, count(*) OVER (PARTITION BY conv_id) AS n FROM o),
+s AS (SELECT DISTINCT conv_id, n, 0 AS p, '' AS last, 0 AS cost, '' AS audit, '' AS made FROM g
+  UNION ALL SELECT conv_id, n, p, last, cost, audit, made FROM (
+    SELECT x.conv_id, x.n, g.p, CASE e WHEN 'D' THEN x.last WHEN 'K' THEN g.i ELSE x.nxt END AS last, x.cost + CASE e WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN e <> 'D' AND g.fault = 't' THEN 3 ELSE 0 END AS cost,
+      x.audit || e AS audit, x.made || CASE e WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || g.role || ':' || g.text ELSE chr(10) || CASE x.nxt WHEN 'u' THEN 'user:' ELSE 'assistant:' END || g.text END AS made
+    FROM (SELECT conv_id, n, p, cost + 3 * k AS cost, audit || repeat('I', k) AS audit, CASE WHEN k = 0 THEN last ELSE substr(seq, k, 1) END AS last, substr(seq, k + 1, 1) AS nxt,
+            made || CASE WHEN k = 0 THEN '' ELSE array_to_string(list_transform(string_split(left(seq, k), ''), lambda c: chr(10) || CASE c WHEN 'u' THEN 'user:' ELSE 'assistant:' END), '') END AS made
+          FROM (SELECT *, CASE WHEN last = 'u' THEN 'aua' ELSE 'uau' END AS seq FROM s WHERE p < n), unnest([0, 1, 2]) AS ks(k)) x
+    JOIN g ON g.conv_id IS NOT DISTINCT FROM x.conv_id AND g.p = x.p + 1, unnest(['D', 'K', 'R']) AS es(e)
+    WHERE e = 'D' OR (g.fault NOT IN ('b', 'd') AND (e = 'R' OR g.i = x.nxt OR (g.i = 's' AND x.last = ''))))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, last ORDER BY cost, audit) = 1),
+t AS (SELECT conv_id, cost + CASE last WHEN 's' THEN 6 WHEN 'u' THEN 3 ELSE 0 END AS cost, audit || CASE last WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END AS audit,
+      made || CASE last WHEN 's' THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 'u' THEN chr(10) || 'assistant:' ELSE '' END AS made FROM s WHERE p = n),
+w AS (SELECT conv_id, cost, audit, substr(made, 2) AS made FROM t QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'b') AS blank, count_if(fault = 'd') AS duplicate, count_if(fault = 't') AS truncated,
+      count_if(j IS NOT NULL AND j || i NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+SELECT a.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIGINT AS blank, coalesce(c.duplicate, 0)::BIGINT AS duplicate, coalesce(c.truncated, 0)::BIGINT AS truncated,
+       coalesce(c.illegal, 0)::BIGINT AS illegal, coalesce(w.cost, 0)::BIGINT AS cost, coalesce(w.audit, '') AS audit, sha256(coalesce(w.made, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
