@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scorewright.llm.centroids import clustered
@@ -16,6 +15,7 @@ from scorewright.llm.line_dedup import line_dedup
 from scorewright.llm.mixing import mixed
 from scorewright.llm.near_duplicates import near_duplicates
 from scorewright.llm.neighbours import nearest_vectors
+from scorewright.llm.personal_data import counted, personal_data
 from scorewright.llm.quality import quality
 from scorewright.llm.tables import table
 from scorewright.llm.token_counts import token_counts
@@ -32,6 +32,8 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @query
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers  # the others do without it
+
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -198,3 +200,9 @@ SELECT a.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIG
        coalesce(c.illegal, 0)::BIGINT AS illegal, coalesce(w.cost, 0)::BIGINT AS cost, coalesce(w.audit, '') AS audit, sha256(coalesce(w.made, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM a.conv_id
 """
+
+
+@query
+def op13_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return counted(personal_data(docs, keep_text=False))
