@@ -21,23 +21,22 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def _fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
     """(print, id, key, at): the least line hash of every window, and its place.
 
-    A window is the fewest whole lines from a line on, or up to a line, that hold ``min_words`` words. The print joins the minimum with a digest of
-    the window that chose it, so that a line common to many contexts does not bring those contexts together.
+    A window is the fewest whole lines from a line on, or up to a line, that hold ``min_words`` words. The print joins the minimum with the lines of
+    the window that chose it, in their order, so that a line common to many contexts does not bring those contexts together and equal prints are
+    equal windows. A window has ``min_words`` lines at most.
     """
     rows = lines.select(*_KEY, F.posexplode("lines").alias("p", "x")).select(*_KEY, "p", "x.h", "x.w")
     whole = Window.partitionBy(*_KEY)
     rows = rows.withColumn("to", F.sum("w").over(whole.orderBy("p"))).withColumn("from", F.col("to") - F.col("w"))
-    digit = F.col("h").bitwiseAND(F.lit((1 << 40) - 1))
-
     def chosen(side: str, frame) -> Column:
         low = F.min(F.struct("h", "p")).over(frame)
-        return F.struct(F.lit(side).alias("side"), low.alias("low"), F.sum(digit).over(frame).alias("digest"), F.count("*").over(frame).alias("n"), F.sum("w").over(frame).alias("words"), F.col("h").alias("edge"))
+        return F.struct(F.lit(side).alias("side"), low.alias("low"), F.xxhash64(F.collect_list("h").over(frame)).alias("digest"), F.sum("w").over(frame).alias("words"))
 
     # word offsets grow by at least one a line, so a range of them is a run of lines
     ahead = chosen("f", whole.orderBy("from").rangeBetween(0, min_words - 1))
     behind = chosen("b", whole.orderBy("to").rangeBetween(-(min_words - 1), 0))
     windows = rows.select(*_KEY, ahead.alias("f"), behind.alias("b")).select(*_KEY, F.explode(F.array("f", "b")).alias("v")).where(F.col("v.words") >= min_words)
-    return windows.select(*_KEY, F.xxhash64("v.side", "v.low.h", "v.digest", "v.n", "v.edge").alias("print"), F.col("v.low.p").alias("at"))
+    return windows.select(*_KEY, F.xxhash64("v.side", "v.low.h", "v.digest").alias("print"), F.col("v.low.p").alias("at"))
 
 
 def _diagonals(prints: DataFrame) -> DataFrame:
