@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from scorewright.functions import score as S
 from scorewright.functions.text import words
-from scorewright.operators import intervals, matching
+from scorewright.operators import intervals, line_match, matching
 from scorewright.operators.skew import spread
 from scorewright.plans.catalog import over, query
 from scorewright.plans.text import ACCENTS, map_sql, normalise_sql, plain, quoted
@@ -377,22 +377,21 @@ def reading_order_error(t):
 
 
 def _lines(t):
-    gold = spread(t.documents).select(c("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter("length(line) > 0")
+    gold = spread(t.documents).select(c("doc_id").alias("page"), F.posexplode(F.split(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), "\n")).alias("pos", "line")).filter("length(line) > 0")
     pred = gold.select("page", (1000 - c("pos")).alias("pos"), F.when(c("pos") % 3 == 0, F.replace("line", F.lit("th"), F.lit("t"))).when(c("pos") % 3 == 1, F.concat("line", F.lit(" zz"))).otherwise(c("line")).alias("line"))
     return gold, pred
 
 
-@query("d38_greedy_line_match", """WITH g AS (SELECT doc_id AS page, i - 1 AS pos, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE length(l[i]) > 0),
+@query("d38_greedy_line_match", """WITH g AS (SELECT doc_id AS page, i - 1 AS pos, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g'), chr(10)) AS l FROM documents)) WHERE length(l[i]) > 0),
  p AS (SELECT page, 1000 - pos AS pos, CASE WHEN pos % 3 = 0 THEN replace(line, 'th', 't') WHEN pos % 3 = 1 THEN line || ' zz' ELSE line END AS line FROM g),
- gd AS (SELECT DISTINCT page, line, list_distinct(list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> '')) AS w FROM g), pd AS (SELECT DISTINCT page, line, list_distinct(list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> '')) AS w FROM p),
- j AS (SELECT gd.page, gd.line AS gl, pd.line AS pl, len(list_intersect(gd.w, pd.w)) AS i, len(gd.w) + len(pd.w) AS n FROM gd JOIN pd USING (page)),
- k AS (SELECT page, gl, pl, levenshtein(gl, pl) / greatest(length(gl), length(pl)) AS cost FROM j WHERE i >= 0.5 * (n - i)),
+ gd AS (SELECT DISTINCT page, line FROM g), pd AS (SELECT DISTINCT page, line FROM p),
+ k AS (SELECT page, gd.line AS gl, pd.line AS pl, CASE WHEN gd.line = pd.line THEN 0 ELSE levenshtein(gd.line, pd.line) / greatest(length(gd.line), length(pd.line)) END AS cost FROM gd JOIN pd USING (page)),
  m AS (SELECT a.page, a.gl, a.pl, a.cost FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY page, gl ORDER BY cost, pl) = 1) a JOIN (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY page, pl ORDER BY cost, gl) = 1) b ON a.page = b.page AND a.gl = b.gl AND a.pl = b.pl),
  gc AS (SELECT *, row_number() OVER (PARTITION BY page, line ORDER BY pos) AS copy FROM g), pc AS (SELECT *, row_number() OVER (PARTITION BY page, line ORDER BY pos) AS copy FROM p)
  SELECT gc.page, gc.pos, gc.line AS gold_line, pc.line AS pred_line, pc.pos AS pred_pos, CASE WHEN pc.pos IS NULL THEN 1.0 ELSE m.cost END AS edit FROM gc LEFT JOIN m ON m.page = gc.page AND m.gl = gc.line LEFT JOIN pc ON pc.page = gc.page AND pc.line = m.pl AND pc.copy = gc.copy""", "edit", "pos pred_pos")
 def greedy_line_match(t):
     gold, pred = _lines(t)
-    return matching.greedy_line_match(gold, pred, "page", 0.5)
+    return line_match.greedy_line_match(gold, pred, "page")
 
 
 KIE_GOLD = "SELECT o_orderkey AS file, 'status' AS field, o_orderstatus AS value FROM orders UNION ALL SELECT l_orderkey, 'item', CAST(l_quantity AS INT)::VARCHAR FROM lineitem"

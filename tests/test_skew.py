@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from scorewright.operators import intervals, matching, sampling
+from scorewright.operators import intervals, line_match, matching, sampling
 from scorewright.operators.joins import missing_pairs
 from scorewright.operators.skew import ordered, ranked, salted_join, with_halo
 from scorewright.session import ensure_checkpoint_dir
@@ -93,15 +93,43 @@ def test_components_against_brute_force(spark):
     assert got == {x: find(x) for x in root}
 
 
-def test_line_candidates_are_complete(spark):
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_every_line_meets_its_cheapest_partner(spark, monkeypatch):
+    monkeypatch.setattr(line_match, "BLOCK", 7)
     rng = random.Random(5)
-    words = [f"w{i}" for i in range(12)]
-    line = lambda: " ".join(rng.choice(words) if rng.random() < 0.7 else "the" for _ in range(rng.randrange(2, 7)))
-    gold, pred = [(0, i, line()) for i in range(60)], [(0, i, line()) for i in range(60)]
+    words = ["the", "quick", "brown", "fox", "jumps", "aaaa", "aaaaaaaaaaaaaaaaaaaa", "é日", "over"]
+    line = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 14)))
+
+    def touched(s):
+        s = list(s)
+        for _ in range(rng.randrange(0, 5)):
+            i = rng.randrange(len(s) + 1)
+            s[i : i + rng.randrange(2)] = rng.choice(["", "z", "the", "a"])
+        return "".join(s) or "z"
+
+    gold = [(p, i, line()) for p in range(4) for i in range(40)]
+    pred = [(p, 100 - i, touched(x)) for p, i, x in gold if p < 3 and rng.random() < 0.9] + [(p, 200 + i, line()) for p in range(1, 4) for i in range(5)]
+    gold += [(7, 90, "the quick brown fox jumps"), (9, 0, "alone"), (1, 91, " "), (1, 92, "  ")]
+    pred += [(7, 290, "teh qiuck brwon fox jmups"), (8, 0, "alone"), (1, 291, " ")]
     frame = lambda r: spark.createDataFrame(r, "page int, pos int, line string")
-    got = {(r.gold_line, r.pred_line) for r in matching.line_candidates(frame(gold), frame(pred), "page", 0.5).collect()}
-    share = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split()))
-    assert got == {(a, b) for _, _, a in gold for _, _, b in pred if share(a, b) >= 0.5}
+    got = {(r.page, r.side, r.line): (r.cost, r.other) for r in line_match.best_partners(frame(gold), frame(pred), "page").collect()}
+    cost = lambda a, b: 0.0 if a == b else edits(a, b) / max(len(a), len(b))
+    want = {}
+    for p in range(10):
+        g, q = {x for k, _, x in gold if k == p}, {x for k, _, x in pred if k == p}
+        if g and q:
+            want |= {(p, "g", a): min((cost(a, b), b) for b in q) for a in g} | {(p, "p", b): min((cost(a, b), a) for a in g) for b in q}
+    assert got == want
+    match = {(r.page, r.gold_line): r.pred_line for r in line_match.greedy_line_match(frame(gold), frame(pred), "page").collect()}
+    assert match[(7, "the quick brown fox jumps")] == "teh qiuck brwon fox jmups"
 
 
 def test_missing_pairs(spark):
