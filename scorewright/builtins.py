@@ -12,9 +12,9 @@ COLUMN_SCORERS = (
     "dict_key_recall dict_precision exact_string simple_string near_string multi_reference positive_int relative_difference mean_square normalised_rmse "
     "general_number geo_proximity coordinate_sequence array_box_iou boxes_mean_iou interval_array_iou single_interval_iou graded_count_score "
     "single_option_match first_char_or_phrase option_pair_match choice_or_line_match category_equal closeness table_lists_equal typed_equal "
-    "line_edit_similarity reading_order_error document_similarity true_false_fact"
+    "line_edit_similarity reading_order_error document_similarity true_false_fact damerau_similarity list_edit_distance"
 ).split()
-PANDAS_SCORERS = "damerau_similarity matcher_ratio list_edit_distance lcs_length".split()
+PANDAS_SCORERS = "matcher_ratio lcs_length".split()
 EXTRACTORS = (
     "infer_option infer_option_by_text infer infer_sequence infer_by_type first_letter yes_no first_of leading_yes_no true_false choice_by_rule match_caption_option "
     "last_answer_tag tagged_option ans_tag last_braces first_capital fenced_json fenced_choice_score fenced_intervals fenced_open_result numbers single_number count_0_20 "

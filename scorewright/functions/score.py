@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import math
 import re
 from collections import Counter
@@ -11,6 +10,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from scorewright.functions.alignment import damerau_distances, matched_characters
 from scorewright.functions.text import let, literal_map, normalise_answer, strip_space, words
 
 FLOAT = T.DoubleType()
@@ -264,32 +264,28 @@ def near_string(pred: Column, gold: Column, threshold: float = 0.9) -> Column:
 
 
 @F.pandas_udf(FLOAT)
-def damerau_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """1 - unrestricted Damerau distance over the longer length."""
-
-    def distance(a, b):
-        last, top = {}, len(a) + len(b)
-        rows = {-1: [top] * (len(b) + 2), 0: [top] + list(range(len(b) + 1))}
-        for i in range(1, len(a) + 1):
-            rows[i] = [top, i] + [0] * len(b)
-            match = 0
-            for j in range(1, len(b) + 1):
-                k, m = last.get(b[j - 1], 0), match
-                cost = int(a[i - 1] != b[j - 1])
-                if not cost:
-                    match = j
-                rows[i][j + 1] = min(rows[i - 1][j] + cost, rows[i][j] + 1, rows[i - 1][j + 1] + 1,
-                                     rows[k - 1][m] + (i - k - 1) + 1 + (j - m - 1))
-            last[a[i - 1]] = i
-        return rows[len(a)][len(b) + 1]
-
-    def one(a, b):
-        if a is None or b is None:
-            return None
-        longest = max(len(a), len(b))
-        return 1.0 if longest == 0 else 1 - distance(a, b) / longest
-
-    return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="float64")
+def _damerau(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Distances of the pairs, null where a side is null."""
+    held = left.notna() & right.notna()
+    out = pd.Series(float("nan"), left.index, dtype="float64")
+    out[held] = damerau_distances(list(zip(left[held], right[held]))).astype("float64")
+    return out
+
+
+def damerau_similarity(left: Column, right: Column) -> Column:
+    """1 - unrestricted Damerau distance over the longer length.
+
+    A transposition replaces two other edits at the most, so texts at most one edit apart need no table.
+    """
+    def similar(x: Column) -> Column:
+        longest = F.greatest(F.length(x["a"]), F.length(x["b"]))
+        return F.when(longest == 0, 1.0).otherwise(1 - x["d"] / longest)
+
+    both = left.isNotNull() & right.isNotNull()
+    plain = F.levenshtein(left, right)
+    asked = both & (plain > 1)
+    distance = F.coalesce(_damerau(F.when(asked, left), F.when(asked, right)), plain.cast("double"))
+    return F.when(both, let(F.struct(left.alias("a"), right.alias("b"), distance.alias("d")), similar))
 
 
 def multi_reference(pred: Column, references: Column) -> Column:
@@ -479,8 +475,9 @@ def fact_penalty(facts: Column, gamma: float = 10.0) -> Column:
 
 @F.pandas_udf(FLOAT)
 def matcher_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Matching-block similarity 2M/T of two texts."""
-    return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+    """Matching-block similarity 2M/T of two texts; 1 for two empty ones."""
+    size = left.str.len() + right.str.len()
+    return (2 * pd.Series(matched_characters(list(zip(left, right))), left.index) / size.where(size > 0)).fillna(1.0).astype("float64")
 
 
 def cell_text(text: Column) -> Column:
@@ -547,19 +544,20 @@ def line_edit_similarity(gold: Column, pred: Column) -> Column:
     return F.levenshtein(gold, pred) / F.nullif(longest, F.lit(0))
 
 
-@F.pandas_udf(T.IntegerType())
-def list_edit_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Insert / delete / replace distance between two lists."""
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            before, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-        return row[-1]
-
-    return pd.Series([None if a is None or b is None else distance(list(a), list(b)) for a, b in zip(left, right)], dtype="Int32")
+def list_edit_distance(left: Column, right: Column) -> Column:
+    """Insert / delete / replace distance between two lists: each distinct element becomes one character, null being an element too."""
+    def distance(x: Column) -> Column:
+        def text(values: Column) -> Column:
+            # 2, 3, ... without the range that stands for halves of characters; the leading 1 is in both texts
+            number = lambda v: F.array_position(x["all"], v).cast("bigint") + 1
+            code = F.transform(values, lambda v: let(number(v), lambda n: F.lpad(F.hex(F.when(n >= 0xD800, n + 0x800).otherwise(n)), 8, "0")))
+            return F.decode(F.unhex(F.concat(F.lit("00000001"), F.array_join(code, ""))), "UTF-32")
+
+        return F.levenshtein(text(x["a"]), text(x["b"]))
+
+    named = lambda values: F.transform(values, lambda v: F.coalesce(F.concat(F.lit("v"), v.cast("string")), F.lit("")))
+    both = F.struct(named(left).alias("a"), named(right).alias("b"), F.array_union(named(left), named(right)).alias("all"))
+    return F.when(left.isNotNull() & right.isNotNull(), let(both, distance))
 
 
 @F.pandas_udf(T.IntegerType())
