@@ -336,18 +336,28 @@ def penalised_fact_score(t):
 NGRAM = "concat(CAST(conv_id AS VARCHAR(20)), ':', CAST(turn AS VARCHAR(20))) AS idx, concat(split_part({0}, ' ', 3), ' ', split_part({0}, ' ', 4), ' ', split_part({0}, ' ', 6)) AS needle, {0} AS hay".format(plain("text"))
 
 
-@query("d33_best_ngram_match", over("conversations", NGRAM, f""", k AS (SELECT idx, needle, {_TOK('needle')} AS w, {_TOK('hay')} AS h FROM d), n AS (SELECT *, len(w) AS n FROM k),
- g AS (SELECT idx, needle, w, i, h[i:i + n - 1] AS g FROM (SELECT *, unnest(range(1, greatest(len(h) - n + 2, 1))) AS i FROM n)), f AS (SELECT *, array_to_string(g, ' ') AS t FROM g WHERE len(list_intersect(g, w)) > 0),
- s AS (SELECT *, 1 - levenshtein(lower(needle_f), lower(t)) / greatest(length(needle), length(t)) AS sim FROM (SELECT *, array_to_string({_TOK('needle')}, ' ') AS needle_f FROM f)),
- b AS (SELECT idx, g, sim FROM s QUALIFY row_number() OVER (PARTITION BY idx ORDER BY sim DESC, i) = 1),
+_NGRAMS = f""", k AS (SELECT idx, needle, {_TOK('needle')} AS w, {_TOK('hay')} AS h FROM d), n AS (SELECT *, len(w) AS n FROM k),
+ g AS (SELECT idx, needle, w, i, h[i:i + n - 1] AS g FROM (SELECT *, unnest(range(1, greatest(len(h) - n + 2, 1))) AS i FROM n)), f AS (SELECT *, array_to_string(g, ' ') AS t FROM g WHERE len(list_intersect(g, w)) > 0)"""
+_BEST = """, b AS (SELECT idx, g, sim FROM s QUALIFY row_number() OVER (PARTITION BY idx ORDER BY sim DESC, i) = 1),
  j AS (SELECT k.idx, coalesce(b.g, []) AS g, k.w, coalesce(sim, 0) AS sim, len(list_intersect(coalesce(b.g, []), k.w)) AS c FROM k LEFT JOIN b USING (idx)),
  m AS (SELECT idx, sim AS max_sim, array_to_string(g, ' ') AS best, coalesce(c / nullif(len(list_distinct(g)), 0), 0) AS precision, coalesce(c / nullif(len(list_distinct(w)), 0), 0) AS recall, CASE WHEN len(g) = 0 THEN 0 ELSE c / (len(list_distinct(g)) + len(list_distinct(w)) - c) END AS jaccard, CASE WHEN len(g) > 0 AND g = w THEN 1.0 ELSE 0 END AS exact FROM j)
- SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM m"""), "max_sim precision recall f1 jaccard exact")
+ SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM m"""
+_EDITED = f""", s AS (SELECT *, 1 - levenshtein(lower(needle_f), lower(t)) / greatest(length(needle), length(t)) AS sim FROM (SELECT *, array_to_string({_TOK('needle')}, ' ') AS needle_f FROM f))"""
+# spans of two texts, each cut by its longest common block; a block's length is the longest run of equal characters from its two starts
+_CUT = """SELECT z.*, i, j, coalesce(nullif(list_position(list_transform(range(least(ah - i, bh - j)), lambda q: substr(a, i + q + 1, 1) = substr(b, j + q + 1, 1)), false), 0) - 1, least(ah - i, bh - j)) AS size
+   FROM (SELECT *, unnest(range(bl, bh)) AS j FROM (SELECT *, unnest(range(al, ah)) AS i FROM z)) z WHERE substr(a, i + 1, 1) = substr(b, j + 1, 1)
+   QUALIFY row_number() OVER (PARTITION BY a, b, al, ah, bl, bh ORDER BY size DESC, i, j) = 1"""
+_BLOCKS = f""", z AS (SELECT a, b, 0::BIGINT AS al, length(a)::BIGINT AS ah, 0::BIGINT AS bl, length(b)::BIGINT AS bh FROM (SELECT DISTINCT t AS a, needle AS b FROM f)
+   UNION ALL SELECT a, b, x.al, x.ah, x.bl, x.bh FROM (SELECT a, b, unnest([{{'al': al, 'ah': i, 'bl': bl, 'bh': j}}, {{'al': i + size, 'ah': ah, 'bl': j + size, 'bh': bh}}]) AS x FROM ({_CUT})) WHERE x.al < x.ah AND x.bl < x.bh),
+ y AS (SELECT a, b, sum(size) AS size FROM ({_CUT}) GROUP BY ALL), s AS (SELECT f.*, coalesce(2 * size / (length(t) + length(needle)), 0) AS sim FROM f LEFT JOIN y ON y.a = t AND y.b = needle)"""
+
+
+@query("d33_best_ngram_match", over("conversations", NGRAM, _NGRAMS + _EDITED + _BEST), "max_sim precision recall f1 jaccard exact")
 def best_ngram_match(t):
     return matching.best_ngram_match(t.derive("conversations", NGRAM), "idx", "needle", "hay", words, similarity="edit")
 
 
-@query("d33_best_ngram_match_blocks")
+@query("d33_best_ngram_match_blocks", over("conversations", NGRAM, _NGRAMS + _BLOCKS + _BEST).replace("WITH d", "WITH RECURSIVE d", 1), "max_sim precision recall f1 jaccard exact")
 def best_ngram_match_blocks(t):
     return matching.best_ngram_match(t.derive("conversations", NGRAM), "idx", "needle", "hay", words)
 
