@@ -13,18 +13,52 @@ from scorewright.session import partitions
 HOT_SHARE = 0.002
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    """A number in the order of the column: times as seconds, texts by their first six bytes (longer ties meet in one bucket)."""
+# Texts are compared by this many characters; cuts come from about this many different values.
+TEXT_KEY = 1_024
+TEXT_SAMPLE = 20_000
+_DRAW = 1 << 30
+
+
+def _sort_value(df: DataFrame, name: str) -> Column:
+    """A value in the order of the column: a number, times as seconds, texts by their beginning."""
     kind = dict(df.dtypes)[name]
     if kind.startswith(("timestamp", "date")):
         return F.col(name).cast("timestamp").cast("double")
     if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(name, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+        return F.substring(name, 1, TEXT_KEY)
     if kind.startswith(("decimal", "double", "float", "bigint", "int", "smallint", "tinyint", "boolean")):
         return F.col(name).cast("double")
     raise TypeError(f"cannot order by {name} of type {kind}")
 
 
+def _text_cuts(values: DataFrame, buckets: int) -> DataFrame:
+    """One row: ``c``, the quantiles of the texts ``v`` as an array; a value that fills several quantiles is there several times.
+
+    Values are counted (combined before their shuffle); those that fill a quantile alone all count, the others through a hash share of about
+    TEXT_SAMPLE of them, each standing for those not drawn. So the window below sees a bounded number of rows.
+    """
+    counts = values.where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.struct(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows")).alias("t"))
+    counted = counts.withColumn("t", total.select("t").scalar())
+    frequent = F.col("n") * buckets > F.col("t.rows")
+    share = F.least(F.lit(1.0), TEXT_SAMPLE / F.col("t.values"))
+    drawn = counted.where(frequent | (F.pmod(F.xxhash64("v"), F.lit(_DRAW)) < share * _DRAW)).select("v", F.when(frequent, F.col("n")).otherwise(F.col("n") / share).alias("w"))
+    upto = Window.partitionBy(F.lit(0)).orderBy("v")
+    run = drawn.select("v", "w", F.sum("w").over(upto).alias("to"), F.sum("w").over(Window.partitionBy(F.lit(0))).alias("all"))
+    first = F.ceil((F.col("to") - F.col("w")) / F.col("all") * buckets - 1e-9)
+    last = F.ceil(F.col("to") / F.col("all") * buckets - 1e-9) - 1
+    cuts = run.select("v", first.alias("first"), last.alias("last")).where("last >= first").select("v", F.explode(F.sequence("first", "last")).alias("q"))
+    return cuts.agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "v"))), lambda x: x["v"]).alias("c"))
+
+
+def _cuts(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """One row: ``c``, the quantiles of a column as an array."""
+    values = df.select(_sort_value(df, name).alias("v"))
+    if dict(df.dtypes)[name] == "string":
+        return _text_cuts(values, buckets)
+    return values.agg(F.percentile_approx("v", F.array(*[F.lit(i / buckets) for i in range(buckets)]), 20000).alias("c"))
+
+
 def _range_number(bounds: str, heads: str, value: str, fine: int) -> Column:
     """How many cuts lie below the value: first among every ``fine``-th cut, then among the ``fine`` cuts from there on."""
     head = F.greatest(F.size(F.filter(heads, lambda b: b < F.col(value))), F.lit(1)) - 1
@@ -38,18 +72,17 @@ def _bucketed(df: DataFrame, order: Sequence[str], buckets: int) -> DataFrame:
     order column, so ties on the first column do not end in one task either.
     """
     fine = max(1, round(buckets**0.5))
-    cuts = F.array(*[F.lit(i / buckets) for i in range(buckets)])
     names = order[:2]
-    values = df.select(*[_as_number(df, n).alias(f"v{i}") for i, n in enumerate(names)])
-    bounds = values.agg(*[F.percentile_approx(f"v{i}", cuts, 20000).alias(f"_bounds{i}") for i in range(len(names))])
-    bounds = bounds.select("*", *[F.filter(f"_bounds{i}", lambda b, k: k % fine == 0).alias(f"_heads{i}") for i in range(len(names))])
-    # scalar subqueries: the cut lists, as many numbers as there are buckets, and every ``fine``-th of them
-    tagged = df.withColumns({f"_value{i}": _as_number(df, n) for i, n in enumerate(names)})
-    tagged = tagged.withColumns({f"_{k}{i}": bounds.select(f"_{k}{i}").scalar() for i in range(len(names)) for k in ("bounds", "heads")})
+    tagged = df.withColumns({f"_value{i}": _sort_value(df, n) for i, n in enumerate(names)})
+    # scalar subqueries: the cut lists, as many values as there are buckets, and every ``fine``-th of them
+    for i, n in enumerate(names):
+        bounds = _cuts(df, n, buckets).select(F.struct(F.col("c").alias("all"), F.filter("c", lambda b, k: k % fine == 0).alias("heads")).alias("b"))
+        tagged = tagged.withColumn(f"_b{i}", bounds.scalar()).withColumns({f"_bounds{i}": F.col(f"_b{i}.all"), f"_heads{i}": F.col(f"_b{i}.heads")}).drop(f"_b{i}")
     number = lambda i: F.coalesce(_range_number(f"_bounds{i}", f"_heads{i}", f"_value{i}", fine), F.lit(0))
-    first, below = number(0), F.lit(0)
+    # nulls come first, in buckets of their own
+    first, below = F.when(F.col("_value0").isNull(), -1).otherwise(number(0)), F.lit(0)
     if len(names) > 1:
-        frequent = F.get("_bounds0", first + 1) == F.col("_value0")
+        frequent = F.col("_value0").isNull() | (F.get("_bounds0", first + 1) == F.col("_value0"))
         below = F.when(frequent, number(1) + 1).otherwise(0)
     return tagged.withColumn("_bucket", first.cast("bigint") * (buckets + 2) + below).drop(*[f"_{k}{i}" for k in ("value", "bounds", "heads") for i in range(len(names))])
 

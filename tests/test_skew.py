@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from scorewright.operators import intervals, line_match, matching, sampling
+from scorewright.operators import intervals, line_match, matching, sampling, skew
 from scorewright.operators.joins import missing_pairs
 from scorewright.operators.skew import ordered, ranked, salted_join, with_halo
 from scorewright.session import ensure_checkpoint_dir
@@ -132,6 +132,21 @@ def test_every_line_meets_its_cheapest_partner(spark, monkeypatch):
     assert match[(7, "the quick brown fox jumps")] == "teh qiuck brwon fox jmups"
 
 
+def test_texts_with_a_common_beginning_use_all_buckets(spark):
+    rng = random.Random(9)
+    keys = [f"https://example.com/a/very/long/common/beginning/{rng.randrange(10**9):09d}" for _ in range(20_000)]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, n int").repartition(8)
+    sizes = [r["count"] for r in skew._bucketed(df, ["k"], 64).groupBy("_bucket").count().collect()]
+    assert len(sizes) >= 60 and max(sizes) <= 3 * len(keys) / 64
+    # one text on a third of the rows, with nulls and empty texts around: positions stay exact and the frequent text is cut by the second column
+    rows = [(rng.choice([None, "", "z", "same", "same", "é"]) if rng.random() < 0.6 else k, i) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "k string, n int").repartition(8)
+    got = [(r.k, r.n) for r in ranked(df, ["k", "n"], name="at").orderBy("at").collect()]
+    assert got == sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1]))
+    sizes = [r["count"] for r in skew._bucketed(df, ["k", "n"], 64).groupBy("_bucket").count().collect()]
+    assert max(sizes) <= 4 * len(keys) / 64
+
+
 def test_missing_pairs(spark):
     left = spark.createDataFrame([("m1",), ("m2",)], "m string")
     right = spark.createDataFrame([("d1",), ("d2",)], "d string")
