@@ -17,6 +17,7 @@ KEEP = 48  # hashes retained per set
 SHARED = 25  # retained values two linked sets share at least: 3.7 deviations under the mean at similarity 0.75, more above it
 ESTIMATE = 0.5  # least union-sketch estimate that goes on to the exact test: 4 deviations under 0.75
 LEADER_ROUNDS = 3
+HOT = 16  # sets still apart that share a shingle, from which on it brings no pairs of its own
 FILTER_BITS = 26  # of the bit filter that tells the second read of the texts which sets are asked for
 
 
@@ -135,21 +136,52 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, text: str)
     return saved(joined.where("100 * i >= 75 * (s - i)").select("a", "b"))
 
 
-def _shared_sizes(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
-    """(node, common): how many shingles of each whole set some other of ``nodes`` has too; nodes that share too little to be similar to any are left out."""
-    sets = saved(_full_sets(docs, text, nodes).join(nodes.select(F.col("node").alias("set_print")).distinct(), "set_print", "left_semi"))
+def _apart(docs: DataFrame, text: str, left: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``left`` (node, n, root), few for each node, that hold together all that is similar among them and in different groups.
+
+    Similar sets of n and m shingles share 3/7 of n + m, so at least 0.75 of either. Among the whole sets of ``left`` a shingle is hot when more than
+    HOT of them have it. In a common order, the rarest first, two similar sets meet among the first quarter of each. Where that is a shingle
+    that is not hot, its list has HOT members at most, and they are paired. Otherwise all that the two share is hot. Sets with equal hot parts
+    of h shingles are then similar when n + m <= 7/3 h, so each is held against the smallest of them; of different hot parts, which are few, those
+    that overlap enough are found in the same way, and each set is held against the smallest one with the other part: if two sets are similar, so
+    is each to the other's smallest, and those to each other.
+    """
+    sets = saved(_full_sets(docs, text, left).join(left.select(F.col("node").alias("set_print")), "set_print", "left_semi"))
     flat = sets.select(F.col("set_print").alias("node"), F.explode("shingles").alias("h"))
-    shared = flat.groupBy("h").agg(F.count("*").alias("users")).where("users > 1").select("h")
-    common = flat.join(shared, "h").groupBy("node").agg(F.count("*").alias("common"))
-    return common.join(sets.select(F.col("set_print").alias("node"), F.size("shingles").alias("whole")), "node").where("100 * common >= 75 * whole").select("node", "common")
+    users = flat.groupBy("h").agg(F.count("*").alias("users")).where("users > 1")
+    shared = flat.join(users, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("users", "h"))).alias("shared")).join(left, "node")
+    # shingles that no other has come first in the order
+    room = F.col("n") - F.ceil(F.col("n") * 0.75) + 1 - (F.col("n") - F.size("shared"))
+    shared = saved(shared.withColumn("room", room.cast("int")).where("room > 0"))
+    rare = F.filter(F.slice("shared", F.lit(1), F.col("room")), lambda s: s.users <= HOT)
+    entries = shared.select("node", "n", "root", F.explode(rare).alias("s")).select("node", "n", "root", F.col("s.h").alias("h"))
+    other = entries.select("h", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
+    met = entries.join(other, "h").where((F.col("node") < F.col("other")) & (F.col("root") != F.col("other_root")) & _size_fits("n", "other_n"))
+    pairs = met.select(F.col("node").alias("a"), F.col("other").alias("b"))
+    hot = F.transform(F.filter("shared", lambda s: s.users > HOT), lambda s: s.h)
+    # sets whose first quarter reaches into the hot shingles
+    dense = shared.select("node", "n", "root", "room", F.array_sort(hot).alias("hot"), (F.size("shared") - F.size(hot)).alias("cold")).where("room > cold")
+    dense = saved(dense.select("node", "n", "root", F.xxhash64("hot").alias("part"), "hot"))
+    parts = dense.groupBy("part").agg(F.first("hot").alias("hot"), F.min(F.struct("n", "node", "root")).alias("least"))
+    size = F.size("hot")
+    seen = parts.select("part", F.explode("hot").alias("h")).groupBy("h").agg(F.count("*").alias("users"))
+    order = parts.select("part", size.alias("size"), F.explode("hot").alias("h")).join(seen, "h").groupBy("part", "size").agg(F.array_sort(F.collect_list(F.struct("users", "h"))).alias("o"))
+    first = order.select("part", F.explode(F.slice("o", F.lit(1), (F.col("size") - F.ceil(F.col("size") * 0.75) + 1).cast("int"))).alias("s")).select("part", F.col("s.h").alias("h"), F.col("s.users").alias("users"))
+    first = first.where("users > 1").select("part", "h")
+    crossed = first.join(first.withColumnRenamed("part", "to"), "h").where("part <> to").select("part", "to").distinct()
+    far = parts.select(F.col("part").alias("to"), F.col("hot").alias("to_hot"), "least")
+    crossed = crossed.join(parts.select("part", "hot"), "part").join(far, "to").select("part", F.size(F.array_intersect("hot", "to_hot")).alias("overlap"), "least")
+    meets = crossed.unionByName(parts.select("part", size.alias("overlap"), "least"))
+    near = dense.select("part", "node", "n", "root").join(meets, "part").where((F.col("root") != F.col("least.root")) & (F.col("overlap") * 7 >= (F.col("n") + F.col("least.n")) * 3))
+    return pairs.unionByName(near.select(F.least("node", "least.node").alias("a"), F.greatest("node", "least.node").alias("b")))
 
 
 def _links(docs: DataFrame, text: str, sketches: DataFrame) -> DataFrame | None:
     """Links that hold every group of similar sets together, without all pairs of a group.
 
     Each round compares one leader of every inverted list with the members that are in other groups and joins those that match. A leader has
-    then met all members of its list and leaves it. After ``LEADER_ROUNDS`` rounds large groups are one. The members of a list that are
-    still in different groups are then compared with each other, but for pairs that their counts of shared shingles rule out, so no link is lost.
+    then met all members of its list and leaves it. After ``LEADER_ROUNDS`` rounds large groups are one. What is then still apart in some list is
+    paired through the whole sets, by ``_apart``, so no link is lost.
     """
     members = saved(_prefixes(sketches))
     # the rounds read the texts that are in some list, not all of them again
@@ -168,13 +200,8 @@ def _links(docs: DataFrame, text: str, sketches: DataFrame) -> DataFrame | None:
             met = held.join(lead, "value").where((F.col("root") != F.col("leader_root")) & _size_fits("n", "leader_n"))
             pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         else:
-            left = saved(held.join(lead.select("value"), "value", "left_semi"))
-            left = left.join(_shared_sizes(docs, text, left.select("node")), "node")
-            other = left.select("value", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"), F.col("common").alias("other_common"))
-            # what two sets have in common is no more than either shares with any, and similar sets need 3/7 of both sizes
-            fits = F.least("common", "other_common") * 7 >= (F.col("n") + F.col("other_n")) * 3
-            met = left.join(other, "value").where((F.col("node") < F.col("other")) & (F.col("root") != F.col("other_root")) & _size_fits("n", "other_n") & fits)
-            pairs = met.select(F.col("node").alias("a"), F.col("other").alias("b"))
+            left = held.join(lead.select("value"), "value", "left_semi").select("node", "n", "root").distinct()
+            pairs = _apart(docs, text, saved(left))
         pairs = saved(pairs.distinct())
         if pairs.isEmpty():
             if turn == LEADER_ROUNDS:
