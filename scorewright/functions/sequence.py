@@ -33,21 +33,15 @@ def register_tokens(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def encode(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame, unknown: int = 0, output: str = "ids") -> DataFrame:
-    """Token arrays to id arrays through a vocabulary join.
-
-    Spark broadcasts a vocabulary below its size limit; a larger one is joined with adaptive skew splitting for the frequent tokens.
-    """
-    flat = df.select(key, F.posexplode(tokens).alias("_pos", "token"))
-    joined = flat.join(vocabulary.select("token", "id"), "token", "left")
-    packed = joined.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("id", F.lit(unknown)).alias("id")))).alias("_p"))
-    return packed.select(key, F.transform("_p", lambda s: s["id"].cast("bigint")).alias(output))
+    """Token arrays to id arrays; tokens outside the vocabulary get ``unknown``. ``key`` names a row."""
+    from scorewright.operators.coding import coded
+    return coded(df, key, tokens, vocabulary.select("token", F.col("id").cast("bigint").alias("id")), "token", "id", F.lit(unknown).cast("bigint"), output)
 
 
 def decode(df: DataFrame, key: str, ids: str, vocabulary: DataFrame, output: str = "tokens") -> DataFrame:
-    flat = df.select(key, F.posexplode(ids).alias("_pos", "id"))
-    joined = flat.join(vocabulary.select("token", "id"), "id", "left")
-    packed = joined.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_pos", "token"))).alias("_p"))
-    return packed.select(key, F.transform("_p", lambda s: s["token"]).alias(output))
+    """Id arrays to token arrays; an id outside the vocabulary gives a null token. ``key`` names a row."""
+    from scorewright.operators.coding import coded
+    return coded(df, key, ids, vocabulary.select(F.col("id").cast("bigint").alias("id"), "token"), "id", "token", F.lit(None).cast("string"), output)
 
 
 def with_bos(ids: Column, bos: int) -> Column:
