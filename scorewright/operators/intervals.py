@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scorewright.operators.cells import bin_of, cells_of, span_pairs, top_level
 from scorewright.operators.skew import ordered, ranked
 
 
@@ -26,35 +27,35 @@ def interval_iou(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
     return total.select(key, F.when(F.col("either") > 0, F.col("both") / F.col("either")).otherwise(0.0).alias("iou"))
 
 
-def _bins(start: Column, end: Column, width: float) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
-
-
 def overlap_join(left: DataFrame, right: DataFrame, key: str, width: float) -> DataFrame:
-    """Pairs of left and right rows of a key whose closed intervals meet.
+    """Pairs of left and right rows of a key whose closed intervals meet. Columns: key, l_* and r_*.
 
-    Intervals are cut into time bins of ``width``, so a hot key spreads over its bins; each pair is kept in the bin where
-    the later of the two starts. Columns: key, l_* and r_*.
+    Intervals are cut into dyadic cells from ``width`` up, so a hot key spreads over its cells and a long interval adds a few rows.
     """
-    tag = lambda df, p: df.select(F.col(key), *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != key]).withColumn("_bin", _bins(F.col(f"{p}_start"), F.col(f"{p}_end"), width))
-    joined = tag(left, "l").join(tag(right, "r"), [key, "_bin"])
-    meet = (F.col("l_start") <= F.col("r_end")) & (F.col("r_start") <= F.col("l_end"))
-    first = F.col("_bin") == F.floor(F.greatest("l_start", "r_start") / width)
-    return joined.filter(meet & first).drop("_bin")
+    return span_pairs(left, right, [key], [("start", "end")], [width])
 
 
 def covered(spans: DataFrame, points: DataFrame, key: str, width: float) -> DataFrame:
     """Spans (key, start, end, ...) with a point (key, t) strictly inside; equal spans all stay.
 
-    A span meets the list of distinct points of each of its bins, not the points row by row.
+    A span asks its first and last bin for their distinct points and the dyadic cells between them whether any point is there, so a long span
+    adds a few rows and no list grows with the span.
     """
-    bin_of = lambda at: F.floor(at / width)
-    held = points.select(F.col(key), F.col("t").cast("double").alias("_t")).where("_t IS NOT NULL").groupBy(key, bin_of(F.col("_t")).alias("_bin")).agg(
-        F.sort_array(F.collect_set("_t")).alias("_ts"))
-    tagged = spans.withColumn("_id", F.struct(*spans.columns))
-    per = tagged.groupBy(key, "_id").agg(F.count(F.lit(1)).alias("_times"))
-    cut = per.withColumn("_bin", _bins(F.col("_id.start"), F.col("_id.end"), width)).join(held, [key, "_bin"])
-    inside = F.exists("_ts", lambda t: (t > F.col("_id.start")) & (t < F.col("_id.end")))
+    at = points.select(F.col(key), F.col("t").cast("double").alias("_t")).where("_t IS NOT NULL")
+    levels = top_level([(spans, F.col("start"), F.col("end"))], width)
+    listed = at.groupBy(key, bin_of(F.col("_t"), width).alias("_no")).agg(F.collect_set("_t").alias("_ts"))
+    cell = lambda level, no: F.struct(level.cast("int").alias("level"), no.alias("no"))
+    # a list has level -1; the cells above it, from level 0 on, carry none
+    above_it = F.transform(F.sequence(F.lit(0), F.col("_top")), lambda k: cell(k, F.floor(F.col("_no") / F.pow(F.lit(2.0), k)).cast("bigint")))
+    lists = listed.select(key, F.lit(-1).alias("level"), F.col("_no").alias("no"), "_ts")
+    marks = listed.withColumn("_top", levels).select(key, F.inline(above_it)).distinct().withColumn("_ts", F.lit(None).cast("array<double>"))
+    per = spans.withColumn("_id", F.struct(*spans.columns)).groupBy(key, "_id").agg(F.count(F.lit(1)).alias("_times")).withColumn("_top", levels)
+    first, last = (bin_of(F.col(f"_id.{c}"), width) for c in ("start", "end"))
+    per = per.where(last >= first)
+    edges = per.select(key, "_id", "_times", F.inline(F.array_distinct(F.array(cell(F.lit(-1), first), cell(F.lit(-1), last)))))
+    between = cells_of(per, first + 1, last - 1, F.col("_top")).where(~F.col("part")).select(key, "_id", "_times", "level", "no")
+    cut = edges.unionByName(between).join(lists.unionByName(marks), [key, "level", "no"])
+    inside = F.col("_ts").isNull() | F.exists("_ts", lambda t: (t > F.col("_id.start")) & (t < F.col("_id.end")))
     hit = cut.filter(inside).groupBy(key, "_id").agg(F.first("_times").alias("_times"))
     return hit.select("_id.*", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select(*spans.columns)
 

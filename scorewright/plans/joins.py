@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from scorewright.operators import intervals, joins
+from scorewright.operators import boxes, intervals, joins
 from scorewright.operators.skew import salted_join
-from scorewright.plans.catalog import query
+from scorewright.plans.catalog import over, query
 from scorewright.plans.score import _spans
 from scorewright.plans.text import unit_sql
 
@@ -63,6 +63,37 @@ def in_key_theta(t):
     return intervals.overlap_join(side("click"), side("view"), "user_id", 7200.0).select("user_id", "l_event_id", "r_event_id")
 
 
+# boxes of a supplier's lines; one in 300 covers a large part of the frame
+BOXES = """l_suppkey AS frame, l_orderkey, l_linenumber, CAST(l_extendedprice / 100 AS DOUBLE) AS x1, CAST(l_partkey % 997 AS DOUBLE) AS y1,
+ CAST(l_extendedprice / 100 AS DOUBLE) + CASE WHEN l_orderkey % 300 = 0 THEN 500.0 ELSE CAST(l_quantity / 4 AS DOUBLE) END AS x2, CAST(l_partkey % 997 AS DOUBLE) + CASE WHEN l_orderkey % 300 = 0 THEN 400.0 ELSE CAST(1 + l_linenumber AS DOUBLE) END AS y2"""
+_SHARED = "(least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))"
+_AREA = "({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1)"
+
+
+@query("h08_box_overlap", over("lineitem", BOXES, f"""SELECT a.frame, a.l_orderkey, a.l_linenumber, count(*) AS partners, max({_SHARED} / ({_AREA.format("a")} + {_AREA.format("b")} - {_SHARED})) AS best FROM d a JOIN d b
+ ON a.frame = b.frame AND a.x1 <= b.x2 AND b.x1 <= a.x2 AND a.y1 <= b.y2 AND b.y1 <= a.y2 AND (a.l_orderkey, a.l_linenumber) <> (b.l_orderkey, b.l_linenumber) GROUP BY ALL"""), "best", "partners", 11)
+def box_overlap(t):
+    d = t.derive("lineitem", BOXES)
+    pairs = boxes.box_pairs(d, d, "frame", 64.0).where((c("l_l_orderkey") != c("r_l_orderkey")) | (c("l_l_linenumber") != c("r_l_linenumber")))
+    return pairs.groupBy("frame", c("l_l_orderkey").alias("l_orderkey"), c("l_l_linenumber").alias("l_linenumber")).agg(F.count(F.lit(1)).alias("partners"), F.max(boxes.box_iou()).alias("best"))
+
+
+# whole coordinates, so that both engines find the same turns; roads of one kind against roads of the other
+SEGMENTS = """l_suppkey AS frame, l_orderkey, l_linenumber, l_linenumber % 2 AS kind, l_partkey * 7 % 1009 AS ax, l_orderkey % 1013 AS ay,
+ l_partkey * 7 % 1009 + l_linenumber * 9 - 30 AS bx, l_orderkey % 1013 + l_partkey % 61 - 30 AS by"""
+_TURN = "sign(({q}x - {p}x) * ({r}y - {p}y) - ({q}y - {p}y) * ({r}x - {p}x))"
+_turn = lambda p, q, r: _TURN.format(p=p, q=q, r=r)
+
+
+@query("h08_segment_crossing", over("lineitem", SEGMENTS, f"""SELECT l.l_orderkey AS left_order, l.l_linenumber AS left_line, r.l_orderkey AS right_order, r.l_linenumber AS right_line FROM d l JOIN d r ON l.frame = r.frame AND l.kind = 0 AND r.kind = 1
+ AND greatest(least(l.ax, l.bx), least(r.ax, r.bx)) <= least(greatest(l.ax, l.bx), greatest(r.ax, r.bx)) AND greatest(least(l.ay, l.by), least(r.ay, r.by)) <= least(greatest(l.ay, l.by), greatest(r.ay, r.by))
+ AND {_turn("l.a", "l.b", "r.a")} * {_turn("l.a", "l.b", "r.b")} <= 0 AND {_turn("r.a", "r.b", "l.a")} * {_turn("r.a", "r.b", "l.b")} <= 0"""))
+def segment_crossing(t):
+    d = t.derive("lineitem", SEGMENTS)
+    pairs = boxes.segment_crossings(d.where("kind = 0"), d.where("kind = 1"), "frame", 32.0)
+    return pairs.select(c("l_l_orderkey").alias("left_order"), c("l_l_linenumber").alias("left_line"), c("r_l_orderkey").alias("right_order"), c("r_l_linenumber").alias("right_line"))
+
+
 @query("h09_full_outer", "SELECT coalesce(a.k, b.k) AS k, a.v AS left_value, b.v AS right_value FROM (SELECT o_custkey AS k, count(*) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, count(*) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b USING (k)", ints="left_value right_value")
 def full_outer(t):
     side = lambda s, n: t.orders.filter(c("o_orderstatus") == s).groupBy(c("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias(n))
