@@ -19,12 +19,21 @@ def _finish(query):
     query.awaitTermination()
 
 
-@query("n01_stream_score", "SELECT conv_id, count(*) AS rows FROM (SELECT DISTINCT conv_id FROM conversations) GROUP BY conv_id", ints="rows")
+@query("n01_stream_score", "SELECT DISTINCT conv_id, turn, CASE WHEN role = 'user' THEN 1.0 ELSE 0.0 END AS score FROM conversations", "score", "turn")
 def stream_score(t):
     target = scratch(t.spark, "scores")
     rows = _stream(t, "conversations")
-    _finish(N.append_batches(N.stream_score(rows, "conv_id", exact(c("role"), F.lit("user"))), f"{target}/out", f"{target}/state"))
-    return t.spark.read.parquet(f"{target}/out").groupBy("conv_id").agg(F.count("score").alias("rows"))
+    _finish(N.append_batches(N.stream_score(rows, ["conv_id", "turn"], exact(c("role"), F.lit("user"))), f"{target}/out", f"{target}/state"))
+    return t.spark.read.parquet(f"{target}/out").select("conv_id", "turn", "score")
+
+
+@query("n01_stream_score_event_time", "SELECT event_id, CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END AS score FROM events", "score", "event_id")
+def stream_score_event_time(t):
+    """Every event arrives twice and is scored once; the state ends with the watermark."""
+    target = scratch(t.spark, "event_scores")
+    twice = _stream(t, "events").withColumn("ts", c("ts").cast("timestamp")).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    _finish(N.append_batches(N.stream_score(twice, "event_id", exact(c("event_type"), F.lit("click")), "ts", "40 days"), f"{target}/out", f"{target}/state"))
+    return t.spark.read.parquet(f"{target}/out").select("event_id", "score")
 
 
 @query("n02_stream_latest_frame", "SELECT user_id, ts, event_id, value, CASE WHEN value <= 100 THEN 1.0 ELSE 0.0 END AS speed_ok FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1", "speed_ok")
@@ -32,15 +41,15 @@ def stream_latest_frame(t):
     target = scratch(t.spark, "frames")
     frames = _stream(t, "events").select("user_id", "ts", "event_id", "value")
     newest = N.stream_latest_frame(frames, "user_id", ["ts", "event_id"], lambda df: df.withColumn("speed_ok", F.when(c("value") <= 100, 1.0).otherwise(0.0)))
-    _finish(N.snapshot_batches(newest, f"{target}/out", f"{target}/state"))
-    return N.latest_batch(t.spark, f"{target}/out")
+    _finish(N.changed_batches(newest, ["user_id"], f"{target}/out", f"{target}/state"))
+    return N.current_rows(t.spark, f"{target}/out", ["user_id"])
 
 
 @query("n03_stream_running_metrics", "SELECT event_type, count(*) AS n, avg(value) AS mean_value, avg(user_id) AS mean_user_id FROM events GROUP BY event_type", "mean_value mean_user_id", "n")
 def stream_running_metrics(t):
     target = scratch(t.spark, "metrics")
-    _finish(N.snapshot_batches(N.stream_running_metrics(_stream(t, "events"), ["event_type"], ["value", "user_id"]), f"{target}/out", f"{target}/state"))
-    return N.latest_batch(t.spark, f"{target}/out")
+    _finish(N.changed_batches(N.stream_running_metrics(_stream(t, "events"), ["event_type"], ["value", "user_id"]), ["event_type"], f"{target}/out", f"{target}/state"))
+    return N.current_rows(t.spark, f"{target}/out", ["event_type"])
 
 
 _LINE = "replace(text, chr(10), '')"
