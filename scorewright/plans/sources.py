@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from scorewright.plans.catalog import over, query
-from scorewright.sources import media, records
+from scorewright.sources import archives, media, records
 
 c = F.col
 
@@ -61,6 +61,26 @@ def group_members(t):
     return out.select("url", "key", "first_position", text.alias("members"))
 
 
+SHARDED = "concat('shard-', CAST(event_id % 16 AS VARCHAR(20)), '.tar') AS url, event_id AS position, concat('d/k', CAST(CAST(floor(event_id / 64) AS BIGINT) AS VARCHAR(20)), '.', CAST(CAST(floor(event_id / 16) AS BIGINT) % 4 AS VARCHAR(20)), '.', event_type) AS fname, CAST(user_id AS VARCHAR(20)) AS data"
+
+
+@query("a06_archive_shards", over("events", SHARDED, "SELECT url, row_number() OVER (PARTITION BY url ORDER BY position) - 1 AS position, fname, data FROM d"), ints="position")
+def archive_shards(t):
+    """Shards are written, read back in a stream of headers, and hold what went in."""
+    folder = records.scratch(t.spark, "shards")
+    archives.write_shards(t.derive("events", SHARDED), folder)
+    return archives.read_shards(t.spark, folder).withColumn("data", F.decode("data", "UTF-8"))
+
+
+@query("a06_group_archives", over("events", SHARDED, "SELECT url, regexp_extract(fname, '^[^.]+') AS key, string_agg(regexp_extract(fname, '[.](.*)$', 1) || '=' || data, ',' ORDER BY position) AS members FROM d GROUP BY url, key"))
+def group_archives(t):
+    folder = records.scratch(t.spark, "shards")
+    archives.write_shards(t.derive("events", SHARDED), folder)
+    out = media.group_members(archives.read_shards(t.spark, folder))
+    text = F.array_join(F.transform(F.map_entries("members"), lambda e: F.concat(e["key"], F.lit("="), F.decode(e["value"], "UTF-8"))), ",")
+    return out.select("url", "key", text.alias("members"))
+
+
 TRIPLE = "doc_id, concat('/x/', CAST(doc_id AS VARCHAR(20)), '.jpg') AS a, concat('/x/', CAST(doc_id AS VARCHAR(20)), '.caption') AS b, concat('/x/', CAST(doc_id AS VARCHAR(20)), '.shortcaption') AS s, text"
 
 
@@ -114,6 +134,15 @@ def decode_images(t):
     return media.decode_images(df, "images", "path").select("idx", "image_path", F.decode("image", "UTF-8").alias("text"))
 
 
+@query("a12_image_files", "SELECT 'src/' || doc_id || '.jpg' AS name, md5(text) AS md5, strlen(text) AS size FROM documents", ints="size")
+def image_files(t):
+    folder = records.scratch(t.spark, "images")
+    cells = t.documents.select(c("doc_id").alias("idx"), F.array(F.base64(c("text").cast("binary"))).alias("images"), F.concat(F.lit("src/"), c("doc_id").cast("string"), F.lit(".jpg")).alias("path"))
+    archives.write_files(media.decode_images(cells, "images", "path"), folder)
+    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select(F.regexp_extract("path", r"(src/[^/]+)$", 1).alias("name"), F.md5("content").alias("md5"), F.length("content").alias("size"))
+
+
 @query("a13_checksum", "SELECT doc_id, md5(text) AS md5, CASE WHEN doc_id % 7 = 0 THEN 'stale' ELSE md5(text) END AS expected, doc_id % 7 > 0 AS matches FROM documents")
 def checksum(t):
     expected = t.documents.select("doc_id", F.when(c("doc_id") % 7 == 0, "stale").otherwise(F.md5("text")).alias("expected"))
