@@ -12,7 +12,8 @@ c = F.col
 
 
 def _stream(t, table):
-    return N.read_files(t.spark, t.folder, getattr(t, table).schema, pattern=f"{table}.parquet")
+    # a table is one file or a folder of files; as a pattern the path may be either
+    return N.read_files(t.spark, f"{t.folder}/{{{table}}}.parquet", getattr(t, table).schema)
 
 
 def _finish(query):

@@ -4,6 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from scorewright.plans import load_all
+from scorewright.plans.catalog import QUERIES
 from scorewright.streaming import stream as N
 
 
@@ -35,3 +37,20 @@ def test_an_index_is_scored_once_over_batches(spark, tmp_path):
     N.append_batches(scored, f"{folder}/out", f"{folder}/state").awaitTermination()
     got = sorted(map(tuple, spark.read.parquet(f"{folder}/out").select("i", "j", "score").collect()))
     assert got == [(1, 1, 1.0), (1, 2, 0.0), (2, 1, 0.0)]
+
+
+def test_a_table_is_one_file_or_a_folder_of_files(spark, tmp_path):
+    load_all()
+    turns = [(i, 0, "user" if i % 2 else "assistant", "t") for i in range(20)]
+    texts = [(i, "de", f"text {i}") for i in range(20)]
+    for files in (1, 4):
+        folder = str(tmp_path / str(files))
+        for name, rows, schema in (("conversations", turns, "conv_id int, turn int, role string, text string"), ("documents", texts, "doc_id int, lang string, text string")):
+            table = spark.createDataFrame(rows, schema)
+            if files > 1:
+                table.repartition(files).write.parquet(f"{folder}/{name}.parquet")
+            else:
+                (tmp_path / "1").mkdir(exist_ok=True)
+                table.toPandas().to_parquet(f"{folder}/{name}.parquet")
+        assert sorted(map(tuple, QUERIES["n01_stream_score"](spark, folder).collect())) == [(i, 0, float(i % 2)) for i in range(20)]
+        assert sorted(map(tuple, QUERIES["n04_stream_corpus_prepare"](spark, folder).collect())) == [(i, f"text {i}") for i in range(20)]
