@@ -31,11 +31,6 @@ def cells_of(df: DataFrame, first: Column, last: Column, levels: Column, names:
     return kept.drop("_keep")
 
 
-def holds(level: Column, no: Column, at: Column) -> Column:
-    """Whether the cell holds the bin."""
-    return F.floor(at / F.pow(F.lit(2.0), level)) == no
-
-
 def top_level(sides: Sequence[tuple[DataFrame, Column, Column]], width: float) -> Column:
     """Level of the longest span of all sides, as a scalar subquery."""
     longest = [df.agg(F.max(F.abs(bin_of(end, width) - bin_of(start, width)) + 1).alias("n")) for df, start, end in sides]
@@ -46,33 +41,46 @@ def top_level(sides: Sequence[tuple[DataFrame, Column, Column]], width: float) -
     return every.agg(F.greatest(F.coalesce(F.floor(F.log2(F.max("n") + 0.5)), F.lit(0)), F.lit(0)).cast("int").alias("l")).scalar()
 
 
+def _leveled(df: DataFrame, side: str, keys: Sequence[str], axes: Sequence[tuple[str, str]], widths: Sequence[float]) -> DataFrame:
+    """Rows with whole spans, columns but the keys named by side: first and last bin ``_a``, ``_b`` and ``_level`` of each axis."""
+    out = df.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in keys])
+    for i, (axis, width) in enumerate(zip(axes, widths)):
+        ends = [F.col(f"{side}_{c}") for c in axis]
+        bins = [bin_of(e, width) for e in ends]
+        out = out.where(ends[0].isNotNull() & ends[1].isNotNull()).withColumns({f"_a{i}": F.least(*bins), f"_b{i}": F.greatest(*bins)})
+        # a rounded logarithm may give a neighbouring level, which costs a cell and loses nothing
+        wide = F.col(f"_b{i}") - F.col(f"_a{i}")
+        out = out.withColumn(f"_level{i}", F.when(wide <= 1, 0).otherwise(F.ceil(F.log2(wide))).cast("int"))
+    return out
+
+
+def _dealt(mine: DataFrame, other: DataFrame, side: str, axes: int) -> DataFrame:
+    """Leveled rows sent to the cells they touch, for each combination of levels that ``other`` has: levels ``_l``, ``_r`` and cell ``_no``."""
+    levels, seen = [f"_level{i}" for i in range(axes)], [f"_seen{i}" for i in range(axes)]
+    held = other.agg(F.collect_set(F.struct(*[F.col(l).alias(s) for l, s in zip(levels, seen)]))).scalar()
+    out = mine.withColumn("_s", F.explode(held)).select("*", "_s.*").drop("_s")
+    for i in range(axes):
+        ends = [F.expr(f"shiftright({n}{i}, greatest(_level{i}, _seen{i}))") for n in ("_a", "_b")]
+        out = out.withColumn(f"_no{i}", F.explode(F.sequence(*ends))).drop(f"_a{i}", f"_b{i}")
+    one, two = (levels, seen) if side == "l" else (seen, levels)
+    return out.withColumnsRenamed({c: f"_{p}{i}" for p, names in (("l", one), ("r", two)) for i, c in enumerate(names)})
+
+
 def span_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], axes: Sequence[tuple[str, str]], widths: Sequence[float]) -> DataFrame:
     """Pairs of left and right rows of the keys whose closed spans meet on every axis; each pair once. Columns: keys, l_* and r_*.
 
-    ``axes`` names the (start, end) columns. Of two cells that share a bin one holds the other, so a pair meets in the larger of its two cells
-    that hold the later start: a row is sent to the cells of its cover and to the larger cells above them, O(log) each an axis, and two rows
-    are compared only where the span of one fills the cell. Levels go up to the longest span there is, so tables of short spans add none.
-    Spans with a null end meet nothing. A span that ends before it starts meets what its two ends, taken as they are, allow.
+    ``axes`` names the (start, end) columns. A row's level on an axis is the first whose cells, twice as wide each, hold its bins in two at most.
+    Rows of two levels meet in the cells of the higher one, so a row is sent, for each combination of levels that the other side has, to the
+    cells it touches there: two an axis at most, mostly one. Only rows of those two levels are compared there, and of the cells that hold both
+    the one with the later start counts. A few combinations are in use, however many rows there are, and no more than the logarithm of the
+    longest span an axis. Spans with a null end meet nothing. A span that ends before it starts meets what its two ends, taken as they are, allow.
     """
     keys = list(keys)
-    levels = [top_level([(left, F.col(s), F.col(e)), (right, F.col(s), F.col(e))], w) for (s, e), w in zip(axes, widths)]
-
-    def dealt(df: DataFrame, side: str) -> DataFrame:
-        out = df.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in keys])
-        whole = [F.col(f"{side}_{c}").isNotNull() for a in axes for c in a]
-        for test in whole:
-            out = out.where(test)
-        for i, (axis, width) in enumerate(zip(axes, widths)):
-            ends = [bin_of(F.col(f"{side}_{c}"), width) for c in axis]
-            out = cells_of(out, F.least(*ends), F.greatest(*ends), levels[i], (f"_level{i}", f"_no{i}", "_part"))
-            # 0: met in a cell of the left cover, 1: in a larger cell of the right cover
-            roles = F.when(F.col("_part"), F.array(F.lit(1 if side == "l" else 0))).otherwise(F.array(F.lit(0)) if side == "l" else F.array(F.lit(0), F.lit(1)))
-            out = out.withColumn(f"_role{i}", F.explode(roles)).drop("_part")
-        return out
-
-    cells = [f"{n}{i}" for i in range(len(axes)) for n in ("_role", "_level", "_no")]
-    pairs = dealt(left, "l").join(dealt(right, "r"), [*keys, *cells])
+    one, two = _leveled(left, "l", keys, axes, widths), _leveled(right, "r", keys, axes, widths)
+    cells = [f"_{p}{i}" for p in ("l", "r", "no") for i in range(len(axes))]
+    pairs = _dealt(one, two, "l", len(axes)).join(_dealt(two, one, "r", len(axes)), [*keys, *cells])
     for i, ((s, e), width) in enumerate(zip(axes, widths)):
-        later = F.greatest(F.col(f"l_{s}"), F.col(f"r_{s}"))
-        pairs = pairs.where((F.col(f"l_{s}") <= F.col(f"r_{e}")) & (F.col(f"r_{s}") <= F.col(f"l_{e}")) & holds(F.col(f"_level{i}"), F.col(f"_no{i}"), bin_of(later, width)))
+        later = bin_of(F.greatest(F.col(f"l_{s}"), F.col(f"r_{s}")), width)
+        pairs = pairs.where((F.col(f"l_{s}") <= F.col(f"r_{e}")) & (F.col(f"r_{s}") <= F.col(f"l_{e}")))
+        pairs = pairs.withColumn("_later", later).where(F.expr(f"shiftright(_later, greatest(_l{i}, _r{i})) = _no{i}")).drop("_later")
     return pairs.drop(*cells)

@@ -93,3 +93,14 @@ def test_boxes_and_segments_equal_all_pairs(spark):
         return proper or on(p, q, r) or on(p, q, s) or on(r, s, p) or on(r, s, q)
 
     assert got == Counter((a[1], b[1]) for a in one for b in two if a[0] == b[0] and cross(a, b))
+
+
+def test_boxes_are_sent_to_few_cells(spark):
+    """A few large boxes among small ones: about a cell for each size the other side has, not every level of both axes."""
+    draw = random.Random(5)
+    at = [(draw.uniform(0, 1000), draw.uniform(0, 1000), 400.0 if i % 300 == 0 else 6.0) for i in range(1500)]
+    df = spark.createDataFrame([("f", x, y, x + n, y + n) for x, y, n in at], "frame string, x1 double, y1 double, x2 double, y2 double")
+    one, two = (cells._leveled(df, side, ["frame"], boxes.BOX, [64.0, 64.0]) for side in "lr")
+    assert cells._dealt(one, two, "l", 2).count() < 4 * len(at) and cells._dealt(two, one, "r", 2).count() < 4 * len(at)
+    got = boxes.box_pairs(df, df, "frame", 64.0).count()
+    assert got == sum(a[0] <= b[0] + b[2] and b[0] <= a[0] + a[2] and a[1] <= b[1] + b[2] and b[1] <= a[1] + a[2] for a in at for b in at)
