@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scorewright.functions.score import edit_ratio, matcher_ratio, shared_tokens
+from scorewright.operators.skew import dealt
 from scorewright.session import ensure_checkpoint_dir
 
 
@@ -77,9 +78,14 @@ def best_ngram_match(df: DataFrame, key: str, needle: str, hay: str, tokens, sep
                       F.when(~none & (g == w), 1.0).otherwise(0.0).alias("exact"))
 
 
-def field_match(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Fields (file, field, value) as multisets: true positives, missing and surplus per file and field."""
-    count = lambda df, n: df.groupBy("file", "field", "value").agg(F.count(F.lit(1)).alias(n))
-    j = count(gold, "g").join(count(pred, "p"), ["file", "field", "value"], "full")
-    g, p = F.coalesce("g", F.lit(0)), F.coalesce("p", F.lit(0))
-    return j.groupBy("file", "field").agg(F.sum(F.least(g, p)).alias("tp"), F.sum(g - F.least(g, p)).alias("fn"), F.sum(p - F.least(g, p)).alias("fp"))
+def field_match(gold: DataFrame, pred: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Fields (file, field, value) as multisets: true positives, missing and surplus per file and field; a null matches nothing.
+
+    Both sides are counted in one grouping, so no join sorts them; ``tasks`` deals the fields of both to so many tasks.
+    """
+    side = lambda df, g, p: df.select("file", "field", "value", F.lit(g).alias("g"), F.lit(p).alias("p"))
+    both = dealt(side(gold, 1, 0).unionByName(side(pred, 0, 1)), ["file", "field"], tasks)
+    j = both.groupBy("file", "field", "value").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    whole = F.col("file").isNotNull() & F.col("field").isNotNull() & F.col("value").isNotNull()
+    met = F.when(whole, F.least("g", "p")).otherwise(0)
+    return j.groupBy("file", "field").agg(F.sum(met).alias("tp"), F.sum(F.col("g") - met).alias("fn"), F.sum(F.col("p") - met).alias("fp"))

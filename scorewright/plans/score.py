@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from scorewright.functions import score as S
 from scorewright.functions.text import words
 from scorewright.operators import intervals, line_match, matching
-from scorewright.operators.skew import spread
+from scorewright.operators.skew import spread, tasks_for
 from scorewright.plans.catalog import over, query
 from scorewright.plans.text import ACCENTS, map_sql, normalise_sql, plain, quoted
 
@@ -416,7 +416,7 @@ def fields(t):
     gold = status(c("o_orderstatus")).unionByName(items(t.lineitem, c("l_quantity")))
     wrong = F.when(c("l_suppkey") % 5 == 0, c("l_quantity") + 1).otherwise(c("l_quantity"))
     pred = status(F.when(c("o_custkey") % 3 == 0, "F").otherwise(c("o_orderstatus"))).unionByName(items(t.lineitem.filter("l_linenumber < 6"), wrong))
-    return matching.field_match(gold, pred)
+    return matching.field_match(gold, pred, tasks_for(t.orders, t.lineitem))
 
 
 @query("d39_field_match_kie", f"WITH {KIE_SQL} SELECT * FROM m", ints="tp fn fp")
