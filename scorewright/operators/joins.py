@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from scorewright.operators.skew import salted_join, unit_hash
+from scorewright.operators.skew import dealt, salted_join, unit_hash
 
 
 def lookup(facts: DataFrame, dimension: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -25,8 +25,9 @@ def one_of_many(df: DataFrame, choices: DataFrame, on: str, tie: str, seed: str
     return df.join(chosen, on, "left")
 
 
-def first_match(wanted: DataFrame, found: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with their first holder by ``order``, wanted keys held nowhere)."""
+def first_match(wanted: DataFrame, found: DataFrame, key: str, order: str, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with their first holder by ``order``, wanted keys held nowhere); ``tasks`` deals both tables to so many tasks by key."""
+    wanted, found = dealt(wanted, [key], tasks), dealt(found, [key], tasks)
     rest = [c for c in found.columns if c != key]
     first = found.groupBy(key).agg(F.min(F.struct(order, *[c for c in rest if c != order])).alias("_f")).select(key, *[F.col(f"_f.{c}").alias(c) for c in rest])
     return wanted.join(first, key), wanted.select(key).join(found.select(key), key, "left_anti")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from scorewright.operators import boxes, intervals, joins
-from scorewright.operators.skew import salted_join
+from scorewright.operators.skew import salted_join, tasks_for
 from scorewright.plans.catalog import over, query
 from scorewright.plans.score import _spans
 from scorewright.plans.text import unit_sql
@@ -51,7 +51,7 @@ def one_of_many(t):
 @query("h07_first_match_lookup", """WITH f AS (SELECT l_orderkey AS k, min(l_suppkey) AS root FROM lineitem GROUP BY ALL) SELECT o_orderkey AS k, root, 'found' AS status FROM orders JOIN f ON o_orderkey = k
  UNION ALL SELECT o_orderkey, NULL, 'missing' FROM orders WHERE o_orderkey NOT IN (SELECT k FROM f)""", ints="root")
 def first_match_lookup(t):
-    found, missing = joins.first_match(t.orders.select(c("o_orderkey").alias("k")), t.lineitem.select(c("l_orderkey").alias("k"), c("l_suppkey").alias("root")), "k", "root")
+    found, missing = joins.first_match(t.orders.select(c("o_orderkey").alias("k")), t.lineitem.select(c("l_orderkey").alias("k"), c("l_suppkey").alias("root")), "k", "root", tasks_for(t.orders, t.lineitem))
     return found.select("k", "root", F.lit("found").alias("status")).unionByName(missing.select("k", F.lit(None).cast("bigint").alias("root"), F.lit("missing").alias("status")))
 
 
