@@ -107,12 +107,15 @@ def future_boxes(boxes: DataFrame, steps: DataFrame) -> DataFrame:
     A heading that turns by more than 10 degrees from the one before is replaced by it. ``steps`` has scene, frame,
     box_id, seq, relative_time, valid, x, y, yaw. At most ten steps per box are gathered.
     """
+    key = [*FRAME, "box_id"]
     slot = F.rint(F.col("relative_time") * 10).cast("int")
     usable = steps.filter(F.col("valid")).withColumn("step", slot).filter(F.col("step").between(1, 10))
-    last = usable.groupBy(*FRAME, "box_id", "step").agg(F.max_by(F.struct("relative_time", "x", "y", "yaw"), "seq").alias("s"))
-    track = last.groupBy(*FRAME, "box_id").agg(F.sort_array(F.collect_list(F.struct("step", "s"))).alias("track"))
-    current = boxes.select(*FRAME, "box_id", "l", "w", F.col("yaw").alias("yaw0"))
-    joined = current.join(track, [*FRAME, "box_id"])
+    last = usable.groupBy(*key, "step").agg(F.max_by(F.struct("relative_time", "x", "y", "yaw"), "seq").alias("s"))
+    # boxes and tracks meet in one grouping: tables dealt by frame stay as they are, which a join on the box would not allow
+    current = boxes.select(*key, F.struct("l", "w", F.col("yaw").alias("yaw0")).alias("box"))
+    both = last.select(*key, F.struct("step", "s").alias("place")).unionByName(current, allowMissingColumns=True)
+    met = both.na.drop(subset=key).groupBy(*key).agg(F.sort_array(F.collect_list("place")).alias("track"), F.collect_list("box").alias("boxes"))
+    joined = met.filter(F.size("track") > 0).select(*key, "track", F.explode("boxes").alias("box")).select(*key, "track", "box.*")
 
     def fold(acc: Column, item: Column) -> Column:
         turn = item["s"]["yaw"] - acc["yaw"] + math.pi

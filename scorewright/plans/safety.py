@@ -4,6 +4,7 @@
 from pyspark.sql import functions as F
 
 from scorewright.operators import safety as L
+from scorewright.operators.skew import dealt, tasks_for
 from scorewright.plans.catalog import query
 
 c = F.col
@@ -18,8 +19,11 @@ def _ego(t):
     return t.spark.sql(EGO, orders=t.orders)
 
 
-def _boxes(t):
-    return t.spark.sql(BOXES, orders=t.orders, lineitem=t.lineitem)
+def _boxes(t, by_frame=True):
+    # dealt by order, then (``by_frame``) as the joins with the ego ask for it, before anything is multiplied
+    tasks = tasks_for(t.lineitem)
+    boxes = t.spark.sql(BOXES, orders=dealt(t.orders, ["o_orderkey"], tasks), lineitem=dealt(t.lineitem, ["l_orderkey"], tasks))
+    return dealt(boxes, ["scene", "frame"], tasks if by_frame else None)
 
 
 WITH = f"WITH ego AS ({EGO.format(orders='orders')}), box AS ({BOXES.format(orders='orders', lineitem='lineitem')})"
@@ -33,7 +37,7 @@ def _meet(ex, ey, bx, by, b="b"):
 
 @query("l01_box_corners", f"{WITH} SELECT scene, frame, box_id, x + l / 2 * cos(yaw) - w / 2 * sin(yaw) AS x0, y + l / 2 * sin(yaw) + w / 2 * cos(yaw) AS y0, x - l / 2 * cos(yaw) + w / 2 * sin(yaw) AS x2, y - l / 2 * sin(yaw) - w / 2 * cos(yaw) AS y2 FROM box", "x0 y0 x2 y2")
 def box_corners(t):
-    b = _boxes(t).withColumn("k", L.box_corners(*[c(n) for n in ("x", "y", "l", "w", "yaw")]))
+    b = _boxes(t, by_frame=False).withColumn("k", L.box_corners(*[c(n) for n in ("x", "y", "l", "w", "yaw")]))
     return b.select("scene", "frame", "box_id", *[F.get(F.get("k", F.lit(i)), F.lit(j)).alias(f"{n}{i}") for i in (0, 2) for j, n in enumerate("xy")])
 
 
