@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from scorewright.functions.alignment import damerau_distances, matched_characters
+from scorewright.functions.alignment import damerau_distances, edit_distance_of, matched_characters
 from scorewright.functions.text import let, literal_map, normalise_answer, strip_space, words
 
 FLOAT = T.DoubleType()
@@ -55,17 +55,23 @@ def array_mean(values: Column) -> Column:
     return F.when(F.size(values) > 0, total / F.size(values))
 
 
-def edit_ratio(gold: Column, pred: Column) -> Column:
-    """Edit distance of the folded texts over the longer raw length; 0 = equal."""
+@F.pandas_udf(T.IntegerType())
+def edit_distance(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Insert, delete and replace distance of two texts; long texts take a step a character, where ``levenshtein`` fills a table."""
+    return pd.Series([None if a is None or b is None else edit_distance_of(a, b) for a, b in zip(left, right)], dtype="Int32")
+
+
+def edit_ratio(gold: Column, pred: Column, distance=edit_distance) -> Column:
+    """Edit distance of the folded texts over the longer raw length; 0 = equal. ``distance`` is ``F.levenshtein`` for short texts or within a lambda."""
     fold = lambda x: F.array_join(words(F.lower(x)), " ")
     longest = F.greatest(F.length(gold), F.length(pred))
-    return F.when(longest == 0, 0.0).otherwise(F.levenshtein(fold(gold), fold(pred)) / longest)
+    return F.when(longest == 0, 0.0).otherwise(distance(fold(gold), fold(pred)) / longest)
 
 
-def anls(gold: Column, pred: Column, threshold: float = 0.5, strict: bool = False) -> Column:
-    """1 - edit share; zero at or below the threshold (``strict``: only below it)."""
+def anls(gold: Column, pred: Column, threshold: float = 0.5, strict: bool = False, distance=edit_distance) -> Column:
+    """1 - edit share; zero at or below the threshold (``strict``: only below it). ``distance`` as in ``edit_ratio``."""
     longest = F.greatest(F.length(gold), F.length(pred))
-    value = F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(gold, pred) / longest)
+    value = F.when(longest == 0, 1.0).otherwise(1 - distance(gold, pred) / longest)
     low = value < threshold if strict else value <= threshold
     return F.when(low, 0.0).otherwise(value)
 
@@ -128,11 +134,11 @@ def typed_score(gold: Column, pred: Column, kind: Column, gold_list: Column, pre
     as_int = as_number(gold.try_cast("int") == F.floor(pred.try_cast("double")))
     as_float = close_number(clean_string(gold), clean_string(pred))
     g, p = clean_string(gold), clean_string(pred)
-    as_text = F.when(needs_exact(g), as_number(g == p)).otherwise(anls(g, p))
+    as_text = F.when(needs_exact(g), as_number(g == p)).otherwise(anls(g, p, distance=F.levenshtein))
     gs, ps = F.array_sort(F.transform(gold_list, clean_string)), F.array_sort(F.transform(pred_list, clean_string))
     first = F.try_element_at(gs, F.lit(1))
     joined = as_number(F.array_join(gs, "-") == F.array_join(ps, "-"))
-    worst = F.array_min(F.zip_with(gs, ps, lambda a, b: anls(a, b)))
+    worst = F.array_min(F.zip_with(gs, ps, lambda a, b: anls(a, b, distance=F.levenshtein)))
     as_list = F.when(F.size(gs) != F.size(ps), 0.0).when(first.try_cast("double").isNotNull() | needs_exact(first), joined).otherwise(worst)
     return F.when(kind == "Int", as_int).when(kind == "Float", as_float).when(kind == "Str", as_text).otherwise(as_list)
 
@@ -543,10 +549,10 @@ def typed_equal(pred: Column, gold: Column, kind: Column) -> Column:
     return as_number(F.when(kind == "integer", same("bigint")).when(kind == "float", same("double")).otherwise(pred == gold))
 
 
-def line_edit_similarity(gold: Column, pred: Column) -> Column:
-    """Edit distance over the longer length (0 = equal); null for two empty lines."""
+def line_edit_similarity(gold: Column, pred: Column, distance=edit_distance) -> Column:
+    """Edit distance over the longer length (0 = equal); null for two empty lines. ``distance`` as in ``edit_ratio``."""
     longest = F.greatest(F.length(gold), F.length(pred))
-    return F.levenshtein(gold, pred) / F.nullif(longest, F.lit(0))
+    return distance(gold, pred) / F.nullif(longest, F.lit(0))
 
 
 def list_edit_distance(left: Column, right: Column) -> Column:
@@ -608,7 +614,7 @@ def document_similarity(gold: Column, pred: Column) -> Column:
     flat = lambda x: F.translate(x, " \n", "")
     g, p = flat(gold), flat(inside)
     longest = F.greatest(F.length(g), F.length(p))
-    return F.coalesce(F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(g, p) / longest), F.lit(0.0))
+    return F.coalesce(F.when(longest == 0, 1.0).otherwise(1 - edit_distance(g, p) / longest), F.lit(0.0))
 
 
 def true_false_fact(pred: Column, gold: Column) -> Column:

@@ -63,7 +63,7 @@ def best_ngram_match(df: DataFrame, key: str, needle: str, hay: str, tokens, sep
     grams = F.when((n > 0) & (last >= 0), F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.transform(F.sequence(i, i + n - 1), lambda k: F.get("_have", k))))
     near = F.filter(F.transform(grams, lambda g, i: F.struct(i.alias("i"), g.alias("g"))), lambda s: F.arrays_overlap(s["g"], F.col("_want")))
     flat = base.select(key, "_needle", "_want", F.explode(near).alias("c")).withColumn("_gram", F.array_join("c.g", sep))
-    sim = matcher_ratio(F.col("_gram"), F.col("_needle")) if similarity == "matcher" else 1 - edit_ratio(F.col("_needle"), F.col("_gram"))
+    sim = matcher_ratio(F.col("_gram"), F.col("_needle")) if similarity == "matcher" else 1 - edit_ratio(F.col("_needle"), F.col("_gram"), F.levenshtein)
     best = flat.withColumn("_sim", sim).groupBy(key).agg(F.max(F.struct(F.col("_sim").alias("s"), (-F.col("c.i")).alias("i"), F.col("c.g").alias("g"))).alias("b"))
     out = base.select(key, "_want").join(best, key, "left")
     g, w = F.coalesce(F.col("b.g"), F.array().cast("array<string>")), F.col("_want")

@@ -78,7 +78,7 @@ _A = f"CASE WHEN {_LONG} = 0 THEN 1.0 ELSE 1 - levenshtein(gold, pred) / {_LONG}
 
 @query("d06_anls", over("conversations", SHORT, f"SELECT idx, CASE WHEN {_A} <= 0.5 THEN 0 ELSE {_A} END AS score, CASE WHEN {_A} < 0.5 THEN 0 ELSE {_A} END AS strict FROM d"), "score strict")
 def anls(t):
-    return t.derive("conversations", SHORT).select("idx", S.anls(c("gold"), c("pred")).alias("score"), S.anls(c("gold"), c("pred"), strict=True).alias("strict"))
+    return t.derive("conversations", SHORT, deal=True).select("idx", S.anls(c("gold"), c("pred")).alias("score"), S.anls(c("gold"), c("pred"), strict=True).alias("strict"))
 
 
 NUMBERS = """o_orderkey AS idx, CASE o_orderkey % 5 WHEN 0 THEN concat(CAST(o_custkey % 90 AS VARCHAR(9)), '%') WHEN 1 THEN 'Paris' ELSE CAST(o_custkey % 50 AS VARCHAR(9)) END AS pred,

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorewright.functions import score as S
-from scorewright.functions.alignment import damerau_distances, matched_characters
+from scorewright.functions.alignment import damerau_distances, edit_distance_of, matched_characters
 
 
 def pairs(rng, n, letters, high):
@@ -74,3 +74,18 @@ def test_list_distance_equals_table(spark):
         assert r.d == want
     numbers = spark.createDataFrame([([1, 2, 3], [1, 3, 4, 5])], "a array<int>, b array<int>").select(S.reading_order_error(F.col("a"), F.col("b")).alias("e")).first()
     assert numbers.e == pytest.approx(3 / 4)
+
+
+def test_edit_distance_is_the_table_one(spark):
+    draw = random.Random(5)
+    text = lambda n: "".join(draw.choices("ab é\U0001f600", k=n))
+    rows = [(text(draw.randrange(0, 90)), text(draw.randrange(0, 90))) for _ in range(300)] + [("", ""), ("", "abc"), (None, "a"), ("a", None), ("x" * 200, "y" * 70), ("abcdef" * 30, "abdef" * 31)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for r in df.select(S.edit_distance("a", "b").alias("d"), F.levenshtein("a", "b").alias("l"), S.edit_ratio(F.col("a"), F.col("b")).alias("r"), S.edit_ratio(F.col("a"), F.col("b"), F.levenshtein).alias("s")).collect():
+        assert r["d"] == r["l"] and r["r"] == r["s"]
+
+
+def test_edit_distance_of_long_texts_fills_no_table():
+    # a table of these would have 1.6 thousand million cells
+    a, b = "abcd" * 10_000, "abce" * 10_000
+    assert edit_distance_of(a, b) == 10_000
