@@ -51,8 +51,8 @@ def default_vqa(pred: Column, golds: Column) -> Column:
 
 
 def array_mean(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(values) > 0, total / F.size(values))
+    # bound: the sum and both sizes read the values
+    return let(values, lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)))
 
 
 @F.pandas_udf(T.IntegerType())
@@ -365,7 +365,11 @@ def box_iou(a: Sequence[Column], b: Sequence[Column]) -> Column:
 
 
 def array_box_iou(a: Column, b: Column) -> Column:
-    return box_iou([a[i] for i in range(4)], [b[i] for i in range(4)])
+    """``box_iou`` of boxes held as arrays, for lambdas, which work out a repeated part again: sides, shared part and union are bound."""
+    side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo]))
+    area = lambda box: (box[2] - box[0]) * (box[3] - box[1])
+    parts = lambda shared: F.struct(shared.alias("shared"), (area(a) + area(b) - shared).alias("union"))
+    return let(let(side(0, 2) * side(1, 3), parts), lambda p: F.when(p["union"] > 0, p["shared"] / p["union"]).otherwise(0.0))
 
 
 def boxes_mean_iou(pred: Column, gold: Column) -> Column:
@@ -503,10 +507,12 @@ def cell_text(text: Column) -> Column:
 
 def table_value(text: Column) -> Column:
     """Comparable form of a table cell: number, date or normalised text."""
-    x = cell_text(text)
-    number = F.replace(x, F.lit(","), F.lit("")).try_cast("double")
-    date = F.to_date(F.when(x.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.regexp_replace(F.regexp_replace(x, r"-(\d)(?!\d)", "-0$1"), r"-(\d)-", "-0$1-")))
-    return F.coalesce(F.concat(F.lit("n:"), number.cast("string")), F.concat(F.lit("d:"), date.cast("string")), F.concat(F.lit("s:"), x))
+    def value(x: Column) -> Column:
+        number = F.replace(x, F.lit(","), F.lit("")).try_cast("double")
+        date = F.to_date(F.when(x.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.regexp_replace(F.regexp_replace(x, r"-(\d)(?!\d)", "-0$1"), r"-(\d)-", "-0$1-")))
+        return F.coalesce(F.concat(F.lit("n:"), number.cast("string")), F.concat(F.lit("d:"), date.cast("string")), F.concat(F.lit("s:"), x))
+
+    return let(cell_text(text), value)
 
 
 # Words a financial cell loses, and the powers of ten its scale words and percent sign stand for.
