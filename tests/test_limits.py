@@ -92,3 +92,9 @@ def test_finance_cells(one):
     assert score("5 thousand shares", "5") == (0.0, 1.0)
     assert score("12 %", "0.12") == (1.0, 1.0)
     assert score("north", "south") == (0.0, 0.0)
+
+
+def test_python_batches_are_bounded(spark):
+    from scorewright.session import configure
+    # a batch of 10,000 whole texts with their token lists is more than a worker should hold
+    assert int(configure(spark).conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
