@@ -4,7 +4,9 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -213,3 +215,37 @@ def test_pages_beyond_the_tuned_ones():
         assert main_text(f"<body><article><p>{first}</p><div><{name}><div>gone</div><{name}>gone</{name}>gone</{name}></div><p>{second}</p></article></body>").split("\n") == both
     formula = "<math><semantics><mrow><mi>a</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='application/x-tex'>a = 2</annotation></semantics></math>"
     assert main_text(f"<article><p>{first} So {formula} holds here.</p></article>") == f"{first} So a=2 holds here."
+
+
+def test_grams_of_a_block_travel_packed(spark, monkeypatch):
+    """One row per block and segment goes to the filter and comes back, whatever the number of distinct grams; repeated rows change nothing."""
+    rows = [(i, " ".join(f"w{(i * 37 + k * k) % 4_000}" for k in range(300))) for i in range(60)] + [(60, "again and again " * 40)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    get = lambda: sorted((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in language_model.language_scores(docs).collect())
+    want = get()
+    monkeypatch.setattr(language_model, "MAX_FILTER_BITS", 1)
+    kept = []
+    saved = language_model.saved
+    monkeypatch.setattr(language_model, "saved", lambda df: kept.append(saved(df)) or kept[-1])
+    for size in (1 << 14, 1 << 20):  # with the repeated rows above the size of a block and below
+        monkeypatch.setattr(language_model, "BLOCK_BYTES", size)
+        kept.clear()
+        assert get() == want
+        found = [df for df in kept if "levels" in df.columns]
+        assert len(found) == 1
+        n = found[0].select("block").distinct().count()
+        assert n >= 1 and found[0].count() <= n * language_model.LEAST_SEGMENTS
+
+
+def test_saved_tables_leave_no_shuffle_files(spark, tmp_path):
+    """What a saved table was shuffled by is gone when it is written, and the caller's setting is back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    root = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    held = lambda: {p.name for p in root.rglob("shuffle_*.data")}
+    old = held()
+    out = saved(spark.range(20_000).repartition(4, "id"))
+    deadline = time.time() + 20
+    while held() - old and time.time() < deadline:
+        time.sleep(0.2)
+    assert not held() - old and out.count() == 20_000 and spark.conf.get(name) == before
