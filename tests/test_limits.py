@@ -98,3 +98,18 @@ def test_python_batches_are_bounded(spark):
     from scorewright.session import configure
     # a batch of 10,000 whole texts with their token lists is more than a worker should hold
     assert int(configure(spark).conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_cider_shuffles_grams_once(spark):
+    """Token lists are shuffled to be counted, not their grams; a gram of a key goes to its frequency in one row."""
+    import re
+
+    from scorewright.operators.corpus_metrics import cider
+    text = lambda i: f"a b c d e{i} f g{i}".split()
+    pred = spark.createDataFrame([(i, text(i)) for i in range(6)] + [(6, ["x"])], "id long, tokens array<string>")
+    refs = spark.createDataFrame([(i, r, text(i) if r else text(i)[:5]) for i in range(7) for r in (0, 1)], "id long, ref int, tokens array<string>")
+    out = cider(pred, refs, "id")
+    plan = out._jdf.queryExecution().sparkPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(id#\d+L?, n#\d+, gram#\d+", plan)
+    got = {r.id: r.cider for r in out.collect()}
+    assert got.keys() == set(range(7)) and got[6] == 0 and all(0 < got[i] <= 10 for i in range(6)) and len({round(got[i], 9) for i in range(6)}) == 1
