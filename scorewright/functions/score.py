@@ -632,17 +632,19 @@ def true_false_fact(pred: Column, gold: Column) -> Column:
 
 # --- text constraints -------------------------------------------------------------------------------------------
 
-def _lines_trimmed(text: Column) -> Column:
-    return strip_space(F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"(?m)^[^\S\n]+|[^\S\n]+$", ""))
+def lines_trimmed(text: Column) -> Column:
+    # both forms begin with a blank, which is quickly looked for
+    return strip_space(F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"(?m)(?=[ \t\x0B\f\r])(?:^[^\S\n]+|[^\S\n]+$)", ""))
 
 
-def paragraphs(text: Column) -> Column:
-    return F.filter(F.split(_lines_trimmed(text), r"\n\s*\n"), lambda p: strip_space(p) != "")
+def paragraphs(text: Column, trimmed: Column | None = None) -> Column:
+    """Paragraphs end with an empty line. ``trimmed`` is what ``lines_trimmed`` gives for the text, if it is known."""
+    return F.filter(F.split(lines_trimmed(text) if trimmed is None else trimmed, r"\n\s*\n"), lambda p: strip_space(p) != "")
 
 
-def sentences(text: Column) -> Column:
-    """Sentences end with . ! or ? (and closing quotes) before white space."""
-    return F.filter(F.split(_lines_trimmed(text), r"(?<=[.!?])\s+|(?<=[.!?][\"')\]])\s+"), lambda s: s != "")
+def sentences(text: Column, trimmed: Column | None = None) -> Column:
+    """Sentences end with . ! or ? (and closing quotes) before white space. ``trimmed`` is what ``lines_trimmed`` gives for the text, if it is known."""
+    return F.filter(F.split(lines_trimmed(text) if trimmed is None else trimmed, r"(?=\s)(?:(?<=[.!?])|(?<=[.!?][\"')\]]))\s+"), lambda s: s != "")
 
 
 def word_count(text: Column) -> Column:
@@ -663,23 +665,24 @@ def _precision_ok(token: Column, places: int) -> Column:
     return F.when(mantissa.contains("."), F.length(F.split_part(mantissa, F.lit("."), F.lit(-1))) == places).otherwise(F.lit(places == 0))
 
 
-def text_constraint(rule: str, text: Column, *params) -> Column:
-    """Boolean of a named text rule."""
+def text_constraint(rule: str, text: Column, *params, parts: tuple[Column, Column] | None = None) -> Column:
+    """Boolean of a named text rule. ``parts`` are the paragraphs and sentences of the text, if they are known."""
     each = lambda parts, test: F.forall(parts, test)
+    whole, ended = parts or (paragraphs(text), sentences(text))
     rules = {
-        "paragraph_count": lambda lo, hi: F.size(paragraphs(text)).between(lo, hi),
-        "sentence_count": lambda lo, hi: F.size(sentences(text)).between(lo, hi),
-        "sentences_per_paragraph": lambda lo, hi: each(paragraphs(text), lambda p: F.size(sentences(p)).between(lo, hi)),
-        "sentences_per_listed_paragraph": lambda ranges: (F.size(paragraphs(text)) == len(ranges)) & F.forall(
-            F.zip_with(paragraphs(text), F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in ranges]),
+        "paragraph_count": lambda lo, hi: F.size(whole).between(lo, hi),
+        "sentence_count": lambda lo, hi: F.size(ended).between(lo, hi),
+        "sentences_per_paragraph": lambda lo, hi: each(whole, lambda p: F.size(sentences(p)).between(lo, hi)),
+        "sentences_per_listed_paragraph": lambda ranges: (F.size(whole) == len(ranges)) & F.forall(
+            F.zip_with(whole, F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in ranges]),
                        lambda p, r: F.coalesce(F.size(sentences(p)).between(r[0], r[1]), F.lit(False))), lambda x: x),
         "word_count": lambda lo, hi: word_count(text).between(lo, hi),
-        "words_per_paragraph": lambda lo, hi: each(paragraphs(text), lambda p: word_count(p).between(lo, hi)),
+        "words_per_paragraph": lambda lo, hi: each(whole, lambda p: word_count(p).between(lo, hi)),
         "without_substrings": lambda *subs: ~F.exists(F.array(*[F.lit(s) for s in subs]), lambda s: text.contains(s)),
-        "sentences_begin_with": lambda s: each(sentences(text), lambda x: x.startswith(s)),
-        "sentences_end_with": lambda s: each(sentences(text), lambda x: x.endswith(s)),
-        "paragraphs_begin_with": lambda s: each(paragraphs(text), lambda x: x.startswith(s)),
-        "paragraphs_end_with": lambda s: each(paragraphs(text), lambda x: x.endswith(s)),
+        "sentences_begin_with": lambda s: each(ended, lambda x: x.startswith(s)),
+        "sentences_end_with": lambda s: each(ended, lambda x: x.endswith(s)),
+        "paragraphs_begin_with": lambda s: each(whole, lambda x: x.startswith(s)),
+        "paragraphs_end_with": lambda s: each(whole, lambda x: x.endswith(s)),
         "begins_with": lambda s: strip_space(text).startswith(s),
         "ends_with": lambda s: strip_space(text).endswith(s),
         "each_keyword_count": lambda keys, lo, hi: F.forall(F.array(*[keyword_count(text, k) for k in keys]), lambda n: n.between(lo, hi)),

@@ -199,9 +199,15 @@ def dealt(df: DataFrame, keys: Sequence[str], tasks: int | None) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out when the input has fewer tasks than cores (a few small files before costly row work).
+    """Deal rows out when the input would keep less than half of the cores busy (a few small files, or a file of few row groups, before costly row work).
 
-    Large inputs already have more splits than cores and pass through without a shuffle.
+    A split of a file has the rows of the row groups that begin in it, so splits alone do not tell: their rows are counted, from the footers of a stored
+    table. Inputs whose rows are spread pass through without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits = df.rdd.getNumPartitions()
+    if splits >= cores:
+        rows = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("split")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        if max(rows, default=0) * cores <= 2 * sum(rows):
+            return df
+    return df.repartition(max(cores, splits))

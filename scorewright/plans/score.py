@@ -478,16 +478,17 @@ SQL_RULES = [r for r in RULES if r != "no_arabic_number"]
 
 @query("d44_text_constraint", f"{_D44} SELECT idx, {', '.join(f'{RULES[r][1]} AS {r}' for r in SQL_RULES)} FROM p")
 def text_constraint(t):
-    df = _plain(t)
-    return df.select("idx", *[S.text_constraint(RULES[r][0][0], c("text"), *RULES[r][0][1:]).alias(r) for r in SQL_RULES])
+    from scorewright.operators.constraints import rules_held
+    return rules_held(_plain(t), "text", {r: RULES[r][0] for r in SQL_RULES}).drop("text")
 
 
 @query("d44_number_constraints")
 def number_constraints(t):
+    from scorewright.operators.constraints import rules_held
     df = _plain(t)
     rules = [("percent_precision", 2), ("number_precision", 0), ("no_arabic_number",), ("words_per_paragraph", 1, 400), ("sentences_per_paragraph", 1, 20), ("paragraphs_end_with", "."), ("sentences_begin_with", "A"),
              ("each_keyword_count", ["and"], 0, 40), ("sentences_per_listed_paragraph", [[1, 40]])]
-    return df.select("idx", *[S.text_constraint(r[0], c("text"), *r[1:]).alias(r[0]) for r in rules])
+    return rules_held(df, "text", {r[0]: r for r in rules}).drop("text")
 
 
 @query("d45_constraint_score", f"""{_D44}, s AS (SELECT idx, CASE WHEN {RULES['word_count'][1]} AND {RULES['ends_with'][1]} THEN 1.0 ELSE 0 END AS a, CASE WHEN {RULES['without_substrings'][1]} THEN 1.0 ELSE 0 END AS b, CASE WHEN {RULES['sentence_count'][1]} AND {RULES['paragraph_count'][1]} THEN 1.0 ELSE 0 END AS e FROM p)
