@@ -38,10 +38,10 @@ def encode(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame, unknown:
     return coded(df, key, tokens, vocabulary.select("token", F.col("id").cast("bigint").alias("id")), "token", "id", F.lit(unknown).cast("bigint"), output)
 
 
-def decode(df: DataFrame, key: str, ids: str, vocabulary: DataFrame, output: str = "tokens") -> DataFrame:
-    """Id arrays to token arrays; an id outside the vocabulary gives a null token. ``key`` names a row."""
+def decode(df: DataFrame, key: str, ids: str, vocabulary: DataFrame, output: str = "tokens", keep: bool = False) -> DataFrame:
+    """Id arrays to token arrays; an id outside the vocabulary gives a null token. ``key`` names a row, ``keep`` returns the ids too."""
     from scorewright.operators.coding import coded
-    return coded(df, key, ids, vocabulary.select(F.col("id").cast("bigint").alias("id"), "token"), "id", "token", F.lit(None).cast("string"), output)
+    return coded(df, key, ids, vocabulary.select(F.col("id").cast("bigint").alias("id"), "token"), "id", "token", F.lit(None).cast("string"), output, keep)
 
 
 def with_bos(ids: Column, bos: int) -> Column:

@@ -30,10 +30,10 @@ def register_tokens(t):
 @query("k02_encode_decode", f"WITH v AS ({VOC}), d AS (SELECT doc_id, w, i FROM (SELECT doc_id, unnest({_W('lower(text)')}) AS w, generate_subscripts({_W('lower(text)')}, 1) AS i FROM documents)) SELECT doc_id, string_agg(coalesce(id, 0), ',' ORDER BY i) AS ids, string_agg(CASE WHEN id IS NULL THEN '?' ELSE w END, ' ' ORDER BY i) AS back FROM d LEFT JOIN v ON v.token = w GROUP BY doc_id")
 def encode_decode(t):
     v = vocabulary(t)
-    ids = K.encode(t.documents.select("doc_id", words(F.lower("text")).alias("tokens")), "doc_id", "tokens", v)
-    back = K.decode(ids, "doc_id", "ids", v)
-    text = F.array_join(F.transform("tokens", lambda x: F.coalesce(x, F.lit("?"))), " ")
-    return ids.select("doc_id", TEXT(c("ids")).alias("ids")).join(back.select("doc_id", text.alias("back")), "doc_id")
+    # dealt by id before the words are cut, as whole texts
+    documents = t.documents.select("doc_id", "text").where("doc_id is not null").repartition("doc_id")
+    ids = K.encode(documents.select("doc_id", words(F.lower("text")).alias("tokens")), "doc_id", "tokens", v)
+    return K.decode(ids, "doc_id", "ids", v, keep=True).select("doc_id", TEXT(c("ids")).alias("ids"), F.array_join("tokens", " ", "?").alias("back"))
 
 
 # ids of a row: word length + 20 of each word, with a header end wherever a word has three letters
