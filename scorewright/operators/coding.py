@@ -30,7 +30,7 @@ def _looked_up(values: pa.Array, entries: pa.Array, default: pa.Array) -> pa.Arr
 def coded(df: DataFrame, key: str, values: str, dictionary: DataFrame, source: str, target: str, default: Column, output: str, keep: bool = False) -> DataFrame:
     """(key, output): the arrays of ``values`` with each element replaced by its dictionary entry, ``default`` where there is none.
 
-    ``key`` names a row. A row sends its distinct elements to the dictionary once, gets back those that have a code and looks its elements up
+    ``key`` names a row; two rows of one key are an error. A row sends its distinct elements to the dictionary once, gets back those that have a code and looks its elements up
     in place, so a repeated element is not shuffled again. Rows are dealt by key before they are taken apart: a dictionary that is broadcast (its
     bounds are checked) then leaves every element where its row is. With a larger one an element that many rows hold is there once a row; its join
     partition is split adaptively. Of equal dictionary entries the least code counts. A null array stays null, a null element gets the default; an
@@ -47,7 +47,8 @@ def coded(df: DataFrame, key: str, values: str, dictionary: DataFrame, source: s
     found = rows.select("_key", F.inline(F.concat(F.array(mark), F.transform("_once", element)))).join(F.broadcast(codes) if small else codes, "v", "left")
     found = found.where("mark or code is not null")
     entry = F.when(~F.col("mark"), F.struct("v", "code"))
-    packed = (found if small else found.repartition("_key")).groupBy("_key").agg(F.collect_list(entry).alias("_known"), F.first("row", ignorenulls=True).alias("_values"))
+    packed = (found if small else found.repartition("_key")).groupBy("_key").agg(F.collect_list(entry).alias("_known"), F.first("row", ignorenulls=True).alias("_row"), F.count_if("mark").alias("_rows"))
+    packed = packed.withColumn("_values", F.when(F.col("_rows") > 1, F.raise_error(F.lit(f"two rows have the same {key}"))).otherwise(F.col("_row")))
     look = F.arrow_udf(_looked_up, f"array<{kinds['code']}>")
     given = [F.col("_values").alias(values)] if keep else []
     return packed.select(F.col("_key").alias(key), *given, look("_values", "_known", default.cast(kinds["code"])).alias(output))

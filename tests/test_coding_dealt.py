@@ -1,5 +1,7 @@
 """Dictionary coding: rows are dealt by key once, and a dictionary of any size gives the same codes."""
 
+import pytest
+
 from scorewright.functions import sequence as K
 from scorewright.operators import coding
 
@@ -27,3 +29,9 @@ def test_a_large_dictionary_gives_the_same(spark, monkeypatch):
         names = {i: w for w, i in known.items()}
         got = {r.k: (r.ids, r.tokens) for r in K.decode(ids, "k", "ids", v, keep=True).collect()}
         assert got == {k: (t, t if t is None else [names.get(i) for i in t]) for k, t in want.items()}
+
+
+def test_two_rows_of_one_key_are_an_error(spark):
+    df = spark.createDataFrame([(1, ["a"]), (1, ["b"])], "k int, tokens array<string>")
+    with pytest.raises(Exception, match="two rows have the same k"):
+        K.encode(df, "k", "tokens", spark.createDataFrame([("a", 1)], "token string, id int")).collect()
