@@ -108,6 +108,7 @@ class _FileWriter(_TaskWriter):
     def write(self, iterator) -> _Written:
         store, folder = self._attempt()
         written: set[str] = set()
+        made: set[str] = {""}
         for row in iterator:
             name = row["name"]
             if not name or name.startswith("/") or ".." in name.split("/"):
@@ -115,8 +116,10 @@ class _FileWriter(_TaskWriter):
             if name in written:
                 raise ValueError(f"two rows of one task have the file name {name!r}")
             written.add(name)
-            if "/" in name:
-                store.create_dir(f"{folder}/{os.path.dirname(name)}", recursive=True)
+            below = os.path.dirname(name)
+            if below not in made:
+                store.create_dir(f"{folder}/{below}", recursive=True)
+                made.add(below)
             with store.open_output_stream(f"{folder}/{name}", compression=None) as out:
                 out.write(row["content"] or b"")
         return _Written(folder, len(written))
@@ -199,7 +202,8 @@ def write_shards(df: DataFrame, folder: str, url: str = "url", position: str = "
 def write_files(df: DataFrame, folder: str, name: str = "image_path", content: str = "image") -> None:
     """One file a row, in a folder for each task: read back with ``binaryFile`` and a recursive look-up. A null content is an empty file.
 
-    File names stay inside the folder. Equal names in one task are an error, in different tasks two files.
+    File names stay inside the folder. Rows are dealt by file name, so the work does not stay with the few tasks that a table of few row groups has,
+    and equal names meet in one task, where they are an error.
     """
     df.sparkSession.dataSource.register(NamedFiles)
-    df.selectExpr(f"`{name}` AS name", f"CAST(`{content}` AS BINARY) AS content").write.format("named_files").mode("append").save(folder)
+    df.selectExpr(f"`{name}` AS name", f"CAST(`{content}` AS BINARY) AS content").repartition("name").write.format("named_files").mode("append").save(folder)
