@@ -139,7 +139,7 @@ def image_files(t):
     folder = records.scratch(t.spark, "images")
     cells = t.documents.select(c("doc_id").alias("idx"), F.array(F.base64(c("text").cast("binary"))).alias("images"), F.concat(F.lit("src/"), c("doc_id").cast("string"), F.lit(".jpg")).alias("path"))
     archives.write_files(media.decode_images(cells, "images", "path"), folder)
-    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    files = archives.read_files(t.spark, folder)
     return files.select(F.regexp_extract("path", r"(src/[^/]+)$", 1).alias("name"), F.md5("content").alias("md5"), F.length("content").alias("size"))
 
 

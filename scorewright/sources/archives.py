@@ -14,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 MEMBERS = "url STRING, position BIGINT, fname STRING, data BINARY"
 FILES = "name STRING, content BINARY"
+BATCH_FILES, BATCH_BYTES = 1_000, 8_000_000  # files and bytes a reading task holds at once
 
 
 def _store(path: str):
@@ -68,6 +69,57 @@ class _ShardReader(DataSourceReader):
                     position += 1
 
 
+def _hidden(name: str) -> bool:
+    return name[:1] in ("", ".", "_")
+
+
+@dataclass
+class _Folder(InputPartition):
+    path: str
+    deep: bool
+
+
+class _FolderReader(DataSourceReader):
+    """The driver lists the folders right below the path, one task each; files are listed where they are read, so the driver holds none of their names."""
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def partitions(self):
+        from pyarrow import fs
+        store, inner = _store(self.root)
+        found = store.get_file_info(fs.FileSelector(inner))
+        # files that lie beside the folders are one task's work
+        return [_Folder(inner, False), *(_Folder(p, True) for p in sorted(f.path for f in found if f.type == fs.FileType.Directory and not _hidden(f.base_name)))]
+
+    def read(self, partition: _Folder | None) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+        if partition is None:
+            return
+        store, _ = _store(self.root)
+        below, names, contents, held = [partition.path], [], [], 0
+
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["name", "content"])
+
+        while below:
+            found = sorted((f for f in store.get_file_info(fs.FileSelector(below.pop())) if not _hidden(f.base_name)), key=lambda f: f.path)
+            below += [f.path for f in found if partition.deep and f.type == fs.FileType.Directory]
+            for file in found:
+                if file.type != fs.FileType.File:
+                    continue
+                with store.open_input_stream(file.path, compression=None) as stream:
+                    contents.append(stream.read())
+                names.append(file.path)
+                held += len(contents[-1])
+                if len(names) >= BATCH_FILES or held >= BATCH_BYTES:
+                    yield packed()
+                    names, contents, held = [], [], 0
+        if names:
+            yield packed()
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     folder: str
@@ -170,7 +222,7 @@ class TarShards(DataSource):
 
 
 class NamedFiles(DataSource):
-    """``named_files``: every row (name, content) becomes one file."""
+    """``named_files``: every row (name, content) becomes one file, and files under a path are rows with their whole path as name."""
 
     @classmethod
     def name(cls) -> str:
@@ -179,6 +231,9 @@ class NamedFiles(DataSource):
     def schema(self) -> str:
         return FILES
 
+    def reader(self, schema):
+        return _FolderReader(_options(self.options))
+
     def writer(self, schema, overwrite):
         return _FileWriter(_options(self.options), overwrite)
 
@@ -200,10 +255,19 @@ def write_shards(df: DataFrame, folder: str, url: str = "url", position: str = "
 
 
 def write_files(df: DataFrame, folder: str, name: str = "image_path", content: str = "image") -> None:
-    """One file a row, in a folder for each task: read back with ``binaryFile`` and a recursive look-up. A null content is an empty file.
+    """One file a row, in a folder for each task: read back with ``read_files``, or with ``binaryFile`` and a recursive look-up, which lists all files on the driver. A null content is an empty file.
 
     File names stay inside the folder. Rows are dealt by file name, so the work does not stay with the few tasks that a table of few row groups has,
     and equal names meet in one task, where they are an error.
     """
     df.sparkSession.dataSource.register(NamedFiles)
     df.selectExpr(f"`{name}` AS name", f"CAST(`{content}` AS BINARY) AS content").repartition("name").write.format("named_files").mode("append").save(folder)
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content) of all files under a folder, as ``write_files`` leaves them: a task lists and reads one of the folders right below it.
+
+    Names that begin with a dot or an underscore are left out, as Spark's readers do.
+    """
+    spark.dataSource.register(NamedFiles)
+    return spark.read.format("named_files").load(folder).withColumnRenamed("name", "path")

@@ -20,3 +20,28 @@ def test_equal_names_of_different_tasks_are_an_error(spark, tmp_path):
     df = spark.createDataFrame([("x.jpg", b"1")], "image_path string, image binary")
     with pytest.raises(Exception, match="file name 'x.jpg'"):
         archives.write_files(df.unionByName(df), f"{tmp_path}/f")
+
+
+def test_files_are_listed_by_the_tasks_that_read_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "BATCH_FILES", 7)
+    names = [f"part-{i % 3}/{'deep/' * (i % 2)}é {i}.jpg" for i in range(90)] + ["loose.jpg", "part-0/empty.jpg"]
+    hidden = [".x/a.jpg", "_temporary/a.jpg", "part-1/_b.jpg", "part-1/.c.jpg", "_SUCCESS"]
+    for name in names + hidden:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "empty" in name else name.encode())
+    # what the driver plans has a part a folder and names no file
+    parts = archives._FolderReader(str(tmp_path)).partitions()
+    assert len(parts) == 4 and not any(".jpg" in str(p) for p in parts)
+    got = {r.path.removeprefix(f"{tmp_path}/"): bytes(r.content) for r in archives.read_files(spark, f"file://{tmp_path}").collect()}
+    assert got == {n: b"" if "empty" in n else n.encode() for n in names}
+
+
+def test_the_image_file_query_lists_no_files_on_the_driver(spark, tmp_path):
+    from scorewright.plans import load_all
+    from scorewright.plans.catalog import QUERIES
+
+    load_all()
+    spark.createDataFrame([(i, f"text {i}" if i else "") for i in range(50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["a12_image_files"](spark, str(tmp_path))
+    assert "binaryFile" not in df._jdf.queryExecution().toString() and not df.inputFiles()
+    assert {r.name: r.size for r in df.collect()} == {f"src/{i}.jpg": len(f"text {i}") if i else 0 for i in range(50)}
