@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections import Counter
 
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from scorewright.functions.alignment import mutual_partners
 from scorewright.functions.text import let
 from scorewright.sources.records import scratch
 
@@ -11,6 +15,7 @@ GRAM = 4
 NEAR = 0.1  # edit share up to which partners come from the gram index
 BLOCK = 64  # lines of one side that a line left over is held against at once
 SAMPLE = 2_000  # lines whose grams tell which are common
+PAGE_PAIRS, PAGE_CHARS = 4_000_000, 4_000_000  # pairs of lines and characters of a page up to which one row holds it
 COMMON = (64, 512, 4_096)  # sizes of the classes of common grams, commonest first
 
 
@@ -104,11 +109,59 @@ def best_partners(gold: DataFrame, pred: DataFrame, page: str) -> DataFrame:
     return near.unionByName(far).select("page", "side", "line", "b.cost", "b.other").unionByName(equal)
 
 
+def _placed(gold: pa.Array, pred: pa.Array) -> pa.Array:
+    """For each gold line of a page the place of its predicted line, -1 for none, and the cost; the n-th copy of a line gets the n-th of its partner."""
+    def page(gold: list, pred: list) -> list[dict]:
+        places: dict[str, list[int]] = {}
+        for j, line in enumerate(pred):
+            if line is not None:
+                places.setdefault(line, []).append(j)
+        mutual = mutual_partners(list(dict.fromkeys(x for x in gold if x is not None)), list(places))
+        copies: Counter = Counter()
+        out = []
+        for line in gold:
+            partner, cost = mutual.get(line, (None, 1.0))
+            held = places.get(partner, ())
+            out.append({"at": held[copies[line]], "edit": cost} if copies[line] < len(held) else {"at": -1, "edit": 1.0})
+            copies[line] += 1
+        return out
+
+    return pa.array([page(g.as_py(), p.as_py()) for g, p in zip(gold, pred)], pa.list_(pa.struct([("at", pa.int32()), ("edit", pa.float64())])))
+
+
+PLACES = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("edit", T.DoubleType())]))
+
+
 def greedy_line_match(gold: DataFrame, pred: DataFrame, page: str) -> DataFrame:
     """Gold lines (page, pos, line) with the predicted line that is mutually the cheapest by edit share; others cost 1.
 
-    Equal lines of a page are compared once and their copies paired in order.
+    Equal lines of a page are compared once and their copies paired in order. The lines of a page meet in one row and are paired there, so a line is
+    shuffled once; pages of more than PAGE_PAIRS pairs or PAGE_CHARS characters are paired by joins, their lines over many tasks.
     """
+    line = lambda df, of_pred: df.select(F.col(page).alias("page"), F.lit(of_pred).alias("pred"), *[(F.col("pos") if of_pred == p else F.lit(None).cast(dict(d.dtypes)["pos"])).alias(n)
+                                         for p, d, n in ((False, gold, "gold_pos"), (True, pred, "pred_pos"))], "line")
+    both = line(gold, False).unionByName(line(pred, True)).where("page is not null")
+    lines = lambda of_pred: F.count_if(F.col("pred") == of_pred).cast("double")
+    sizes = both.groupBy("page").agg((lines(False) * lines(True)).alias("pairs"), F.sum(F.length("line")).alias("chars"))
+    large = sizes.where((F.col("pairs") > PAGE_PAIRS) | (F.col("chars") > PAGE_CHARS)).select("page")
+    # a page of neither size is not named, so the names are few
+    joined = [] if large.isEmpty() else [_match_by_joins(*[df.join(large.withColumnRenamed("page", page), page, "left_semi") for df in (gold, pred)], page)]
+    rest = both.join(large, "page", "left_anti") if joined else both
+    packed = rest.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("pred", "gold_pos", "pred_pos", "line"))).alias("m"))
+    packed = packed.select("page", F.filter("m", lambda x: ~x["pred"]).alias("g"), F.filter("m", lambda x: x["pred"]).alias("p")).where("size(g) > 0")
+    text = lambda side: F.transform(side, lambda x: x["line"])
+    met = packed.withColumn("placed", F.arrow_udf(_placed, PLACES)(text("g"), text("p")))
+    flat = met.select("page", "p", F.inline(F.arrays_zip("g", "placed")))
+    partner = F.get("p", F.col("placed.at"))
+    out = flat.select(F.col("page").alias(page), F.col("g.gold_pos").alias("pos"), F.col("g.line").alias("gold_line"), partner["line"].alias("pred_line"), partner["pred_pos"].alias("pred_pos"), F.col("placed.edit").alias("edit"))
+    alone = gold.where(F.col(page).isNull()).select(page, "pos", F.col("line").alias("gold_line"), *[F.lit(None).cast(kind).alias(n) for n, kind in out.dtypes[3:5]], F.lit(1.0).alias("edit"))
+    for more in [alone, *joined]:
+        out = out.unionByName(more)
+    return out
+
+
+def _match_by_joins(gold: DataFrame, pred: DataFrame, page: str) -> DataFrame:
+    """``greedy_line_match`` with the partners of ``best_partners``."""
     best = best_partners(gold, pred, page).withColumnRenamed("page", page)
     pick = lambda side: F.when(F.col("side") == side, F.col("line")).otherwise(F.col("other"))
     # a pair chosen from both of its ends is mutual
