@@ -4,7 +4,7 @@ import os
 import random
 from collections import Counter
 
-from scorewright.functions.alignment import edit_distance_of
+from scorewright.functions.alignment import edit_distance_of, few_edits
 from scorewright.operators import line_match
 from scorewright.session import ensure_checkpoint_dir
 
@@ -45,6 +45,16 @@ def matched(spark, gold, pred):
     return sorted(((r.page, r.pos, r.gold_line, r.pred_line, r.pred_pos, round(r.edit, 9)) for r in rows), key=repr)
 
 
+def test_few_edits_equal_the_distance_up_to_their_limit():
+    draw = random.Random(11)
+    text = lambda n: "".join(draw.choice("abé") for _ in range(draw.randrange(n)))
+    for _ in range(4_000):
+        a, most = text(60), draw.randrange(9)
+        b = text(60) if draw.random() < 0.2 else "".join(draw.choice(["", c, c, c, c, c, c, c, c, c + "x", "y"]) for c in a) + draw.choice(["", " zz"])
+        want = edit_distance_of(a, b)
+        assert few_edits(a, b, most) == (want if want <= most else None)
+
+
 def test_pages_equal_every_pair_priced(spark):
     gold, pred = some(3, [*range(25), None])
     gold.append((99, 1, "only gold"))
