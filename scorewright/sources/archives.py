@@ -107,7 +107,7 @@ class _FolderReader(DataSourceReader):
             found = sorted((f for f in store.get_file_info(fs.FileSelector(below.pop())) if not _hidden(f.base_name)), key=lambda f: f.path)
             below += [f.path for f in found if partition.deep and f.type == fs.FileType.Directory]
             for file in found:
-                if file.type != fs.FileType.File:
+                if file.type != fs.FileType.File or not file.size:
                     continue
                 with store.open_input_stream(file.path, compression=None) as stream:
                     contents.append(stream.read())
@@ -267,7 +267,7 @@ def write_files(df: DataFrame, folder: str, name: str = "image_path", content: s
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of all files under a folder, as ``write_files`` leaves them: a task lists and reads one of the folders right below it.
 
-    Names that begin with a dot or an underscore are left out, as Spark's readers do.
+    Empty files and names that begin with a dot or an underscore are left out, as Spark's readers do.
     """
     spark.dataSource.register(NamedFiles)
     return spark.read.format("named_files").load(folder).withColumnRenamed("name", "path")
